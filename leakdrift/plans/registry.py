@@ -5,6 +5,207 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from leakdrift.functions import text as T
+from leakdrift.operators import oplog, scan, team
+from leakdrift.plans.oracles import ORACLES
+from leakdrift.sources.corpus import corpus, op_log, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(name: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        return f
+
+    return add
+
+
+def pattern_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of the library, scored."""
+    rows = scan.scored(scan.pattern_matches(corpus(spark, sf_dir)))
+    return rows.withColumn("stage", F.lit(0)).withColumnRenamed("name", "detector_name")
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.first_of_span(pattern_findings(spark, sf_dir))
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ", -1)).alias("value"))
+    return rows.where(F.length("value") >= 8).distinct()
+
+
+@query("c02_find_all_matches")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.pattern_matches(corpus(spark, sf_dir)).select("doc_id", "seq", "value", "start_position", "end_position", "line_number", "column_number")
+
+
+@query("c05_hook_scan")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.hook_lines(corpus(spark, sf_dir)).select("doc_id", "name", "value", "col_bytes")
+
+
+@query("c06_content_warnings")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.content_warnings(corpus(spark, sf_dir)).select("doc_id", "file_path", "warnings")
+
+
+@query("c19_composite_confidence")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pattern_findings(spark, sf_dir).select("doc_id", "seq", "start_position", "confidence", F.round("entropy_score", 6).alias("entropy_score"))
+
+
+@query("c25_scan_content")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan.scan_content(corpus(spark, sf_dir))
+    return found.select("doc_id", "file_path", "value", "secret_type", "start_position", "end_position", "line_number", "column_number", "stage", "confidence", "confidence_level", "severity")
+
+
+@query("c26_post_process")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.post_process(scan.scan_content(corpus(spark, sf_dir)), most=100).select("doc_id", "value", "secret_type", "confidence")
+
+
+@query("i01_span_dedup")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings(spark, sf_dir).select("doc_id", "start_position", "end_position", "detector_name", "secret_type", "confidence_level")
+
+
+@query("g01_by_level")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings(spark, sf_dir).groupBy("confidence_level").agg(F.count("*").alias("n"))
+
+
+@query("g02_by_type")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings(spark, sf_dir).groupBy("secret_type").agg(F.count("*").alias("n"))
+
+
+@query("g03_summary")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("confidence")
+    return findings(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(c >= 0.7).alias("high"), F.count_if(c >= 0.3).alias("reportable"), F.count_distinct("file_path").alias("files"))
+
+
+@query("g05_risk")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("confidence")
+    return findings(spark, sf_dir).groupBy("file_path").agg(F.count("*").alias("n"), F.count_if(c >= 0.8).alias("high"), F.count_if((c >= 0.5) & (c < 0.8)).alias("medium"))
+
+
+@query("b11_critical")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("secret_type")
+    return findings(spark, sf_dir).where((F.col("confidence") >= 0.9) | kind.contains("AWS") | kind.contains("Private Key")).select("doc_id", "start_position", "detector_name")
+
+
+@query("b01_skip_classifier")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).select("doc_id", "file_path", T.skip_reason(F.col("file_path"), F.octet_length("content")).alias("skip_reason"))
+
+
+@query("g04_scan_totals")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reason = F.coalesce(T.skip_reason(F.col("file_path"), F.octet_length("content")), F.lit("scanned"))
+    return corpus(spark, sf_dir).groupBy(reason.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("d02_entropy")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    return tokens(spark, sf_dir).select("value", F.round(T.entropy(v), 6).alias("shannon"), T.charset_size(v).alias("charset"), T.class_count(v).alias("classes"))
+
+
+@query("c12_false_positives")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(spark, sf_dir).select("value", T.false_positive(F.col("value")).alias("false_positive"))
+
+
+@query("g07_op_metrics")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oplog.metrics(op_log(spark, sf_dir)).select("op_type", "n", "errors", "min_ms", "max_ms", "avg_ms", "error_rate", "throughput")
+
+
+@query("g11_durations")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oplog.durations(op_log(spark, sf_dir))
+
+
+@query("i04_trailing_rate")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oplog.trailing_rate(op_log(spark, sf_dir))
+
+
+@query("g13_alerts")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oplog.alerts(op_log(spark, sf_dir))
+
+
+@query("g14_health")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oplog.health(oplog.alerts(op_log(spark, sf_dir)))
+
+
+@query("i06_failure_runs")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oplog.failure_runs(op_log(spark, sf_dir), threshold=2)
+
+
+@query("f08_keys_available")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return team.keys_available(team.grants(table(spark, sf_dir, "lineitem")), team.members(table(spark, sf_dir, "supplier")))
+
+
+@query("f09_permissions")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return team.allowed(team.members(table(spark, sf_dir, "supplier"))).drop("reason")
+
+
+@query("n02_decrypt_batch")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.lit("0123456789abcdef")  # a caller's key; this one is for the round trip only
+    return team.decrypted(team.encrypted(table(spark, sf_dir, "documents").select("doc_id", "text"), key), key)
+
+
+@query("n03_verify_wrong_key")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sealed = team.encrypted(table(spark, sf_dir, "documents").select("doc_id", "text"), F.lit("0123456789abcdef"))
+    return team.decrypted(sealed, F.lit("fedcba9876543210")).select("doc_id", F.col("error").isNull().alias("verified"))
+
+
+@query("n07_chunks")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = team.chunks(table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("payload")), 1024)
+    return parts.select("doc_id", "chunk_no", F.sha2("chunk", 256).alias("digest"))
+
+
+@query("n08_integrity")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    whole = team.reassembled(team.chunks(docs.select("doc_id", F.col("text").cast("binary").alias("payload")), 4096))
+    sums = docs.select("doc_id", F.sha2("text", 256).alias("checksum"))
+    return whole.join(sums, "doc_id").select("doc_id", (F.sha2("payload", 256) == F.col("checksum")).alias("intact"))
+
+
+@query("g16_storage")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("text is not null").groupBy("lang").agg(F.count("*").alias("objects"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+@query("g17_duplicate_objects")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("checksum"), F.octet_length("text").alias("n"))
+    found = rows.groupBy("checksum").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), (F.sum("n") - F.min("n")).alias("wasted"))
+    return found.where("copies > 1")
+
+
+@query("l06_human_size")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.human_size(F.octet_length("text")).alias("size"))
+
+
+__all__ = ["ORACLES", "QUERIES"]
