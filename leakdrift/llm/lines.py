@@ -15,6 +15,8 @@ BINS, ROWS = 24, 3
 #: Pairs that agree in fewer bins are no candidates; at a similarity of 0.8 that happens to one pair in 10,000.
 AGREE = 12
 SALTS = 16
+#: Lines of a bucket that one task compares with as many others at once.
+CHUNK = 1024
 HAS_WORD = r"[^ \t-\r]"
 
 
@@ -77,15 +79,21 @@ def agreeing(x: Column, y: Column) -> Column:
     return F.size(F.array_intersect(x, y)) + BINS - used
 
 
-def candidates(sigs: DataFrame) -> DataFrame:
-    """(a, b, agree): lines with the least line of their bucket, and with the least of their salt of the bucket.
+def bucketed(sigs: DataFrame) -> DataFrame:
+    """(h1, h2, key, hub, n): the lines of each bucket of more than one, with its least h1 and its size.
 
-    A bucket of n lines makes 2n pairs at most. Least lines are grouped minima of h1 that are pre-aggregated; the
-    join back is one whose hot keys are split. A shared h1 only means one candidate more.
+    Least lines are grouped minima of h1 that are pre-aggregated; the join back is one whose hot keys are split.
     """
     slots = sigs.select("h1", "h2", F.explode(band_keys()).alias("key"))
-    hubs = slots.groupBy("key").agg(F.min("h1").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    slots = written(slots.join(hubs, "key"))
+    hubs = slots.groupBy("key").agg(F.min("h1").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    return written(slots.join(hubs, "key"))
+
+
+def candidates(slots: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(a, b, agree): lines with the least line of their bucket, and with the least of their salt of the bucket.
+
+    A bucket of n lines makes 2n pairs at most. A shared h1 only means one candidate more.
+    """
     salted = slots.withColumn("salt", F.pmod(F.xxhash64("h1", "h2"), F.lit(SALTS)))
     near = salted.groupBy("key", "salt").agg(F.min("h1").alias("hub"))
     more = salted.drop("hub").join(near, ["key", "salt"]).select("h1", "h2", "hub")
@@ -96,6 +104,58 @@ def candidates(sigs: DataFrame) -> DataFrame:
     return both.select("a", "b", agreeing(F.col("x"), F.col("y")).alias("agree")).where(F.col("agree") >= AGREE)
 
 
+def digests() -> list[Column]:
+    """A signature as longs of eight bins, one byte for each bin's value and 0 for an empty bin."""
+
+    def word(k: int) -> Column:
+        def put(acc: Column, x: Column) -> Column:
+            byte = (F.pmod(F.hash(x), F.lit(255)) + 1).cast("long")
+            return acc.bitwiseOR(F.call_function("shiftleft", byte, (bin_of(x) % 8 * 8).cast("int")))
+
+        return F.aggregate(F.filter("sig", lambda x: F.floor(bin_of(x) / 8) == k), F.lit(0).cast("long"), put)
+
+    return [word(k).alias(f"w{k}") for k in range(BINS // 8)]
+
+
+def digests_agree(x: str, y: str) -> Column:
+    """In how many bins the digests of two lines are equal: never less than `agreeing`. All of it is generated code."""
+    unlike = F.lit(0)
+    for k in range(BINS // 8):
+        d = F.col(f"{x}.w{k}").bitwiseXOR(F.col(f"{y}.w{k}"))
+        any_bit = d
+        for i in range(1, 8):
+            any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(d, i))
+        unlike = unlike + F.bit_count(any_bit.bitwiseAND(F.lit(0x0101010101010101)))
+    return F.lit(BINS) - unlike
+
+
+def crossing(slots: DataFrame, sigs: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b, agree): all candidate pairs of a bucket's lines that the links leave in different components.
+
+    What isn't in a bucket's largest component meets all lines of other components. Buckets are dealt to chunks by
+    a hash, and a pair of chunks is one key of the join, so that no task has a large bucket to itself; its condition
+    is held against the digests before a pair is made. A pair of several buckets comes once.
+    """
+    parts = connected_components(links).withColumnRenamed("node", "id")
+    rows = slots.select("h1", "h2", F.concat_ws(":", "h1", "h2").alias("id"), "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    rows = written(rows.join(parts, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"))
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("big"), F.count("*").alias("m"))
+    rows = rows.join(largest.where("m > 1").select("key", "big"), "key").withColumn("minor", F.col("comp") != F.col("big"))
+    rows = rows.join(sigs.select("h1", "h2", *digests()), ["h1", "h2"]).drop("h1", "h2", "big")
+    rows = written(rows.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int")))
+    minors = rows.where("minor").groupBy("key").agg(F.collect_set("chunk").alias("ours"))
+    left = rows.where("minor").withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    left = left.withColumnRenamed("chunk", "ours").alias("l")
+    right = rows.withColumnRenamed("chunk", "theirs").join(minors, "key").withColumn("ours", F.explode("ours")).alias("r")
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "ours", "theirs")]
+    apart = (F.col("l.comp") != F.col("r.comp")) & (~F.col("r.minor") | (F.col("l.id") < F.col("r.id")))
+    agree = digests_agree("l", "r")
+    both = left.join(right, [*same, apart, agree >= AGREE])
+    a, b = F.col("l.id"), F.col("r.id")
+    return both.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), agree.alias("agree")).distinct()
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
     """The pairs whose shingle sets have a Jaccard similarity of at least the threshold."""
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
@@ -105,25 +165,40 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold: float, width: int)
     return written(rows.where(F.col("both") >= F.lit(threshold) * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b"))
 
 
-def line_links(lines: DataFrame, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
-    """(h1, h2, line) to (node, component) of the different lines that are linked with others; ids are 'h1:h2'."""
-    ident = F.concat_ws(":", "h1", "h2")
-    pairs = written(candidates(written(signatures(lines, width))))
+def linked_pairs(pairs: DataFrame, links: DataFrame | None, lines: DataFrame, threshold: float, width: int) -> DataFrame:
+    """The links, with those candidate pairs that are similar and can join two of their components."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     need = need.select(*[F.split("id", ":")[k].cast("long").alias(h) for k, h in enumerate(("h1", "h2"))])
     small = need.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = lines.join(F.broadcast(need) if small else need, ["h1", "h2"], "left_semi")
-    texts = written(texts.select(ident.alias("id"), "line").groupBy("id").agg(F.first("line").alias("line")))
+    texts = texts.select(F.concat_ws(":", "h1", "h2").alias("id"), "line")
+    texts = written(texts.groupBy("id").agg(F.first("line").alias("line")))
     # The likeliest pair of each line first; the others only where they would join two components.
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
-    links = confirmed(best, texts, threshold, width)
+    found = confirmed(best, texts, threshold, width)
+    links = found if links is None else links.unionByName(found)
     known = written(connected_components(links))
     rest = pairs.join(best, ["a", "b"], "left_anti").select("a", "b")
     for side in ("a", "b"):
         rest = rest.join(known.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
         rest = rest.withColumn(f"c{side}", F.coalesce(f"c{side}", side))
     rest = rest.where("ca <> cb").select("a", "b")
-    return connected_components(links.unionByName(confirmed(rest, texts, threshold, width)))
+    return links.unionByName(confirmed(rest, texts, threshold, width))
+
+
+def line_links(lines: DataFrame, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
+    """(h1, h2, line) to (node, component) of the different lines that are linked with others; ids are 'h1:h2'.
+
+    Lines are compared with the least lines of their buckets first; then every candidate pair of a bucket that still
+    lies in two components is compared too, so that no link is lost which could change a component.
+    """
+    sigs = written(signatures(lines, width))
+    slots = bucketed(sigs)
+    links = linked_pairs(written(candidates(slots, sigs)), None, lines, threshold, width)
+    pairs = written(crossing(slots, sigs, links))
+    if not pairs.isEmpty():
+        links = linked_pairs(pairs, links, lines, threshold, width)
+    return connected_components(links)
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:

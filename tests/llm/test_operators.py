@@ -173,3 +173,28 @@ def test_edge_rows_and_empty_tables(spark):
     # The long text has 9001 tokens: three pieces.
     assert packing.pack(packing.pieces(docs)).count() == 9
     assert packing.pack(packing.pieces(empty)).count() == 0
+
+
+def test_a_hot_bucket_of_many_clusters_has_the_links_of_all_pairs(spark):
+    rng = np.random.default_rng(11)
+
+    def some(n):
+        return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), n))
+
+    # 200 pairs of similar lines; lines of different pairs have a Jaccard similarity of about 0.75 and share bands.
+    common, texts = some(360), []
+    for _ in range(200):
+        own = some(50)
+        texts += [common + own + some(12), common + own + some(12)]
+    sets = [{t[k : k + lines.WIDTH] for k in range(len(t) - lines.WIDTH + 1)} for t in texts]
+    links = []
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if both >= 0.8 * (len(x) + len(sets[j]) - both):
+                links.append((j, i))
+    want = components(range(len(texts)), links)
+    assert len(set(want.values())) == 200
+    docs = spark.createDataFrame([(i, t, "a", "x") for i, t in enumerate(texts)], DOCS)
+    kept = {r.doc_id for r in lines.dedup_lines(docs).collect() if r.n_kept}
+    assert kept == set(want.values()), len(kept)
