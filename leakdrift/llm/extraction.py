@@ -18,21 +18,43 @@ from leakdrift.llm.common import table
 SAMPLE = 240
 PATH_DIM, WORD_DIM, MORE_DIM, HIDDEN = 64, 24, 6, 24
 
-DROPPED = "script|style|noscript|template|svg|head|title|textarea|select|iframe|object|math|canvas"
+#: Elements whose contents are no text of the page, besides scripts and styles. Those of a head have nothing else.
+DROPPED = frozenset("noscript template svg title textarea select iframe canvas".split())
+MORE = r"((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
 TOKEN = re.compile(
-    rf"(?is)<!--.*?(?:-->|\Z)|<({DROPPED})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-z][^\s/>]*)([^>]*)>"
+    r"(?is)<!--.*?(?:-->|\Z)"
+    r"|<(script|style)\b(?:(?:[^>]*[\s\"'])?/>(?!(?:(?!<\1\b).)*?</\1\s*>)|[^>]*>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>"
+    rf"|<(/?)([a-z][^\s/>]*){MORE}|<(/?)([a-z][^\s/>]*)([^>]*)>"
 )
+ENDS = re.compile(rf"(?is)<(/?)({'|'.join(sorted(DROPPED))})(?=[\s/>])(?:{MORE}|([^>]*)>)")
 NAME = re.compile(r"""(?is)\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
-    "strong sub sup time tt u var wbr img br".split()
+    "strong sub sup time tt u var wbr img br object math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup "
+    "munder mover munderover mmultiscripts mprescripts mstyle mpadded mphantom menclose semantics annotation".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+def element_ends(page: str) -> dict[int, int]:
+    """Where dropped elements begin, and where each ends: an end tag closes the last open element of its name.
+
+    Elements that are never closed aren't here, nor <svg/>; elsewhere HTML takes a slash at a tag's end for nothing.
+    """
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {name: [] for name in DROPPED}
+    for m in ENDS.finditer(page):
+        name = m[2].lower()
+        if not m[1]:
+            if not (name == "svg" and re.search(r"(?:^|[\s\"'])/\s*$", m[3] or m[4] or "")):
+                opened[name].append(m.start())
+        elif opened[name]:
+            ends[opened[name].pop()] = m.end()
+    return ends
+
+
 def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
     """Leaf blocks in page order: text (references decoded, one space for white space), tag path, share of linked text."""
     page = page or ""
@@ -59,7 +81,8 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
             linked += len(text) if in_link else 0
 
     at = 0
-    for m in TOKEN.finditer(page):
+    ends: dict[int, int] | None = None
+    while m := TOKEN.search(page, at):
         say(page[at : m.start()])
         at = m.end()
         close, name, more = m[2], m[3], m[4]
@@ -70,6 +93,13 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
                 parts.append(" ")
             continue
         name = name.lower()
+        if name in DROPPED:
+            # An element without an end loses its tag only.
+            parts.append(" ")
+            if not close:
+                ends = element_ends(page) if ends is None else ends
+                at = ends.get(m.start(), at)
+            continue
         if name == "a":
             in_link = 0 if close else 1
         if name == "br":
@@ -78,6 +108,8 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
             continue
         flush()
         in_link = 0
+        if name == "head":
+            continue
         if close:
             if any(n == name for n, _ in stack):
                 while stack.pop()[0] != name:
@@ -392,7 +424,9 @@ def main_text(model: dict[str, np.ndarray]):  # noqa: ANN201
 def extract(pages: DataFrame, model: dict[str, np.ndarray] | None = None) -> DataFrame:
     """pages with `text`, the main text ('' if none), and `n_chars`, its code points; null html is an empty page.
 
-    Scripts, styles, heads and comments of the markup are no blocks. References are decoded, white space within a
+    Scripts, styles, comments, titles, <template>, <noscript>, <svg>, <canvas>, <iframe>, <select> and <textarea> are
+    no blocks; a head has no other text, as any other begins the body. Of such an element that isn't closed only
+    the tag goes (scripts and styles reach to the page's end, as in HTML). References are decoded, white space within a
     block becomes one space, the blocks taken for main text are joined in page order by two newlines. Rows that
     repeat get the same text.
     """

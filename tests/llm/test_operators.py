@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from leakdrift.llm import formatting, licenses, lines, mixing, neardup, packing, quality, toxicity, vectors
+from leakdrift.llm import extraction, formatting, licenses, lines, mixing, neardup, packing, quality, toxicity, vectors
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -198,3 +198,22 @@ def test_a_hot_bucket_of_many_clusters_has_the_links_of_all_pairs(spark):
     docs = spark.createDataFrame([(i, t, "a", "x") for i, t in enumerate(texts)], DOCS)
     kept = {r.doc_id for r in lines.dedup_lines(docs).collect() if r.n_kept}
     assert kept == set(want.values()), len(kept)
+
+
+def test_unclosed_elements_take_no_text_of_the_page_along():
+    def texts(page):
+        return [t for t, _, _ in extraction.blocks(page)]
+
+    assert texts("<html><head><title>T</title><meta charset=utf-8><style>a{}</style><body><p>One</p><p>Two") == ["One", "Two"]
+    assert texts("<head><title>T</title></head><body><p>One</p>") == ["One"]
+    assert texts("<head><script>var x = '<p>'</script><p>One") == ["One"]
+    for x in ("svg/", 'svg width="1" /', "svg", 'iframe src="x"/', "iframe src=x", "select", "textarea", "template", "canvas", "noscript"):
+        name = x.split()[0].rstrip("/")
+        page = f"<article><p>One</p><{x}><p>Two</p></article><p>Three</p>"
+        assert texts(page) == ["One", "Two", "Three"], x
+        assert texts(f"{page}<{name}>no text</{name}><p>Four</p>") == ["One", "Two", "Three", "Four"], x
+        assert texts(f"<p>One<{name} a='/>'>no text</{name}>two</p>") == ["One two"], x
+    assert texts("<p>a<svg><svg>no</svg>no</svg>b</p>") == ["a b"]
+    assert texts("<p>x <math><mi>y</mi><mo>=</mo><mn>1</mn></math></p><object data=a><p>Instead</p></object>") == ["x y=1", "Instead"]
+    assert texts("<p>a</p><script src='x' /><p>b</p><script>no</script><p>c</p><script>no") == ["a", "b", "c"]
+    assert texts("<p>a</p><script src=x></script><p>b</p><style>no") == ["a", "b"]
