@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -89,59 +90,103 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def gains(own: list[int], other: list[int], lengths: np.ndarray, free: int) -> tuple[int, list[int], list[int]] | None:
-    """The largest way to shift length from `own` to `other` (with so much free room): (gain, given, taken back)."""
-    best = None
-    give = [([a], int(lengths[a])) for a in own]
-    give += [([a, b], int(lengths[a] + lengths[b])) for k, a in enumerate(own) for b in own[k + 1 :]]
-    take = [([], 0)] + [([b], int(lengths[b])) for b in other]
-    for g, x in give:
-        for t, y in take:
-            if 0 < x - y <= free and (best is None or x - y > best[0]):
-                best = (x - y, g, t)
-    return best
+def gifts(own: np.ndarray, capacity: int) -> np.ndarray:
+    """For each room up to twice the capacity the longest one or two of the own lengths that fit into it, 0 if none."""
+    some, n = np.unique(own, return_counts=True)
+    sums = np.concatenate([some, (some[:, None] + some)[np.triu_indices(len(some), 1)], 2 * some[n > 1]])
+    table = np.zeros(2 * capacity + 1, dtype=np.int64)
+    table[sums] = sums
+    return np.maximum.accumulate(table)
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, tries: int = 400) -> list[list[int]]:
-    """Empties underfull bins: moves, one-for-one and two-for-one exchanges into fuller bins that have room.
+def given(own: list[int], lengths: np.ndarray, total: int) -> list[int]:
+    """One or two of the own pieces that are so long together."""
+    seen: dict[int, int] = {}
+    for i in own:
+        if lengths[i] == total:
+            return [i]
+    for i in own:
+        if total - int(lengths[i]) in seen:
+            return [seen[total - int(lengths[i])], i]
+        seen[int(lengths[i])] = i
+    raise AssertionError(total)
 
-    Each step shifts length from the emptiest bin to a fuller one, which increases the sum of squared fills; a bin
-    that is left without documents is dropped. Ends at the lower bound, or when no exchange is left.
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Empties underfull bins: moves, one-for-one and two-for-one exchanges with any bin that has room.
+
+    Each step takes the emptiest bin that may have one; it gives one or two pieces, takes back one at most, and so
+    shifts the largest length that increases the sum of squared fills; a bin that is left without pieces is dropped.
+    A bin without a step is looked at again only against the bins that have changed since. Ends at the lower bound,
+    or when no bin has a step.
     """
+    lengths = lengths.astype(np.int64)
     fewest = -(-int(lengths.sum()) // capacity)
-    fill = {k: int(lengths[b].sum()) for k, b in enumerate(bins)}
-    live = {k: list(b) for k, b in enumerate(bins)}
-    stuck: set[int] = set()
-    while len(live) > fewest and tries > 0:
-        open_bins = sorted((k for k in live if fill[k] < capacity), key=lambda k: fill[k])
-        victim = next((k for k in open_bins if k not in stuck and len(live[k]) <= 64), None)
-        if victim is None:
-            break
-        moved = False
-        for other in sorted(open_bins, key=lambda k: -fill[k])[:256]:
-            if other == victim or fill[other] < fill[victim]:
-                continue
-            step = gains(live[victim], live[other], lengths, capacity - fill[other])
-            if step:
-                gain, given, back = step
-                live[victim] = [x for x in live[victim] if x not in given] + back
-                live[other] = [x for x in live[other] if x not in back] + given
-                fill[victim] -= gain
-                fill[other] += gain
-                moved, tries = True, tries - 1
+    if len(bins) <= fewest:
+        return bins
+    live, count = [list(b) for b in bins], len(bins)
+    fill = np.array([int(lengths[b].sum()) for b in bins], dtype=np.int64)
+    free = capacity - fill
+    # Behind the pieces there is one of length 0 for each bin: to take back nothing.
+    n = len(lengths)
+    size = np.concatenate([lengths, np.zeros(count, dtype=np.int64)])
+    at = np.zeros(n + count, dtype=np.int64)
+    at[n:] = np.arange(count)
+    for k, b in enumerate(bins):
+        at[b] = k
+    changed: list[int] = []
+    #: How many of the changes a bin has been held against; -1 where its own pieces are new.
+    seen = [-1] * len(bins)
+    heap = [(int(fill[k]), k) for k in range(len(bins)) if free[k]]
+    heapq.heapify(heap)
+    while count > fewest:
+        if not heap:
+            heap = [(int(fill[k]), k) for k in range(len(bins)) if free[k] and live[k] and seen[k] < len(changed)]
+            heapq.heapify(heap)
+            if not heap:
                 break
-        if not live[victim]:
-            del live[victim], fill[victim]
-        elif not moved:
-            stuck.add(victim)
-    return list(live.values())
+        was, v = heapq.heappop(heap)
+        if was != fill[v] or not live[v] or seen[v] == len(changed):
+            continue
+        if seen[v] < 0 or len(changed) - seen[v] > len(bins) // 8:
+            size_of, bin_of, ids = size, at, None
+        else:
+            some = set(changed[seen[v] :])
+            ids = np.array([i for k in some for i in (*live[k], n + k)], dtype=np.int64)
+            size_of, bin_of = size[ids], at[ids]
+        room = free[bin_of]
+        gain = gifts(lengths[live[v]], capacity)[size_of + room] - size_of
+        good = (gain > 0) & (room > 0) & (bin_of != v) & (fill[bin_of] + gain > fill[v])
+        score = np.where(good, gain * (capacity + 1) + fill[bin_of], 0)
+        best = int(score.argmax()) if len(score) else 0
+        if not len(score) or not score[best]:
+            seen[v] = len(changed)
+            continue
+        back = best if ids is None else int(ids[best])
+        o, shift = int(bin_of[best]), int(gain[best])
+        give = given(live[v], lengths, shift + int(size[back]))
+        back = [back] if back < n else []
+        live[v] = [x for x in live[v] if x not in give] + back
+        live[o] = [x for x in live[o] if x not in back] + give
+        at[give], at[back] = o, v
+        for k, by in ((v, -shift), (o, shift)):
+            fill[k] += by
+            free[k] -= by
+            seen[k] = -1
+            changed.append(k)
+        if not live[v]:
+            count, free[v] = count - 1, 0
+        for k in (v, o):
+            if free[k] and live[k]:
+                heapq.heappush(heap, (int(fill[k]), k))
+    return [b for b in live if b]
 
 
 def pack(found: DataFrame, capacity: int = 4096, group: int = GROUP) -> DataFrame:
     """Pieces to pieces with sequence_id and a gapless offset from 0 within each sequence.
 
-    Pieces are dealt to groups by a hash, one task packs a group by best fit and local search, and the sequences
-    that stay underfull are opened and packed again across 64 groups. Every row is packed, repeated rows too.
+    Pieces are dealt to groups by a hash, one task packs a group by best fit and local search, and the pieces of the
+    sequences that stay underfull are dealt and packed again by another hash. Every row is packed, repeated rows too.
     """
 
     def packer(shift: int):  # noqa: ANN202
@@ -170,8 +215,9 @@ def pack(found: DataFrame, capacity: int = 4096, group: int = GROUP) -> DataFram
         return first
     fills = first.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
     under = fills.where(F.col("fill") < capacity * 63 // 64).select("sequence_id")
-    again = first.join(under, "sequence_id", "left_semi")
-    again = again.withColumn("g", F.floor(F.col("sequence_id") / (20_000_000 * 64)))
+    again = written(first.join(under, "sequence_id", "left_semi"))
+    groups = max(1, -(-again.count() // group))
+    again = again.withColumn("g", F.pmod(F.xxhash64(F.lit(1), "doc_id", "piece", "ids_crc32"), F.lit(groups)))
     again = again.groupBy("g").applyInPandas(packer(1), PACKED)
     return first.join(under, "sequence_id", "left_anti").select(*again.columns).unionByName(again)
 

@@ -217,3 +217,29 @@ def test_unclosed_elements_take_no_text_of_the_page_along():
     assert texts("<p>x <math><mi>y</mi><mo>=</mo><mn>1</mn></math></p><object data=a><p>Instead</p></object>") == ["x y=1", "Instead"]
     assert texts("<p>a</p><script src='x' /><p>b</p><script>no</script><p>c</p><script>no") == ["a", "b", "c"]
     assert texts("<p>a</p><script src=x></script><p>b</p><style>no") == ["a", "b"]
+
+
+def test_packing_search_ends_without_a_step_left():
+    capacity, rng = 4096, np.random.default_rng(1)
+    for lengths, fewer in ((rng.integers(600, 1901, 1500), 10), (np.concatenate([rng.integers(1300, 2700, 300), rng.integers(1, 9, 150)]), 0)):
+        start = packing.best_fit(lengths, capacity)
+        bins = packing.local_search([list(b) for b in start], lengths, capacity)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+        fill = [int(lengths[b].sum()) for b in bins]
+        assert max(fill) <= capacity and len(bins) <= len(start) - fewer
+        if len(bins) == -(-int(lengths.sum()) // capacity):
+            continue
+        for v, own in enumerate(bins):
+            give = {int(lengths[a]) for a in own} | {int(lengths[a] + lengths[b]) for k, a in enumerate(own) for b in own[:k]}
+            for o, other in enumerate(bins):
+                for y in {0, *lengths[other].tolist()}:
+                    assert o == v or not any(0 < x - y <= capacity - fill[o] and fill[o] + x - y > fill[v] for x in give), (v, o)
+
+
+def test_packing_deals_the_second_round_to_groups_too(spark):
+    lengths = np.random.default_rng(2).integers(600, 1901, 8000).tolist()
+    found = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], packing.PIECES)
+    rows = packing.pack(found, group=100).collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
+    groups = Counter(r.sequence_id // 10_000_000 for r in rows)
+    assert max(groups.values()) < 200, max(groups.values())
