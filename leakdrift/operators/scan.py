@@ -92,8 +92,9 @@ def first_of_span(rows: DataFrame) -> DataFrame:
 
 
 def scan_content(docs: DataFrame) -> DataFrame:
-    """All stages: patterns, then entropy where no found span overlaps, then keywords; one finding for each span.
+    """Patterns, then entropy where no found span overlaps, then keywords; one finding for each span.
 
+    Base64 candidates (C09) and custom rules, the other stages of a scan, are not built: what only they find is missing.
     Texts that are null have no findings; documents with the same doc_id are one. No Python worker runs.
     """
     patterns = scored(pattern_matches(docs)).withColumn("stage", F.lit(0))
