@@ -243,3 +243,11 @@ def test_packing_deals_the_second_round_to_groups_too(spark):
     assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
     groups = Counter(r.sequence_id // 10_000_000 for r in rows)
     assert max(groups.values()) < 200, max(groups.values())
+
+
+def test_labels_without_document_use_up_no_sample(spark):
+    docs = spark.createDataFrame([(i, f"plain words {i}" + " vile" * (i % 2), "a", "x") for i in range(60)], DOCS)
+    labels = spark.createDataFrame([(i, 1, i % 2 if i < 60 else 0) for i in range(6000)], "doc_id long, quality int, toxic int")
+    score = toxicity.scorer(toxicity.train(docs, labels, toxicity.categories(), sample=60))
+    rows = docs.withColumn("s", score("text")).collect()
+    assert all((r.s.toxic >= 0.5) == (r.doc_id % 2 == 1) for r in rows)
