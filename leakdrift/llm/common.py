@@ -63,8 +63,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) links of any ordered type to (node, component): the smallest node that each reaches.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014), each a grouped minimum and a join, until
-    nothing changes; needs O(log^2 n) rounds. Self-links and nulls are ignored. A hub with very many links is
-    pre-aggregated in the minimum and split by the skew join.
+    nothing changes; needs O(log^2 n) rounds, and more than max_rounds are an error. Self-links and nulls are
+    ignored. A hub with very many links is pre-aggregated in the minimum and split by the skew join.
     """
     edges = written(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
@@ -85,5 +85,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if tuple(new) == state:
             break
         state = tuple(new)
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from leakdrift.llm import extraction, formatting, licenses, lines, mixing, neardup, packing, quality, toxicity, vectors
+from leakdrift.llm import common, extraction, formatting, licenses, lines, mixing, neardup, packing, quality, toxicity, vectors
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -251,3 +251,10 @@ def test_labels_without_document_use_up_no_sample(spark):
     score = toxicity.scorer(toxicity.train(docs, labels, toxicity.categories(), sample=60))
     rows = docs.withColumn("s", score("text")).collect()
     assert all((r.s.toxic >= 0.5) == (r.doc_id % 2 == 1) for r in rows)
+
+
+def test_components_that_have_not_settled_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    assert {r.component for r in common.connected_components(edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        common.connected_components(edges, max_rounds=2)
