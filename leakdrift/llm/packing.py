@@ -3,21 +3,30 @@
 from __future__ import annotations
 
 import heapq
+import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakdrift.llm.common import table, written
+from leakdrift.llm.common import small_batches, table, written
 
 END_ID = 1
 #: Pieces that one task packs at most, about; more pieces make more groups.
 GROUP = 20_000
-#: Words whose ids a task remembers; the rest are encoded again.
-REMEMBERED = 400_000
+#: Bytes of text pieces and their ids that a worker remembers, about; the rest are encoded again.
+REMEMBERED = 60_000_000
+#: Texts with any other character than these are cut by the tokenizer itself.
+NOT_PLAIN = re.compile(r"[^\t\n\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027]")
+#: How the tokenizer cuts a lower-case text, for the characters above.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: The signs that stand for bytes in the vocabulary: printable ones for themselves, the others from code point 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -29,33 +38,81 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Remembered(dict):
+    """Ids of a text's pieces as little-endian bytes, made when asked for the first time."""
+
+    def __init__(self, ids_of: Callable[[str], list[int]]) -> None:
+        self.ids_of = ids_of
+        self.size = 0
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.ids_of(piece)
+        if self.size > REMEMBERED:
+            self.clear()
+            self.size = 0
+        self.size += 200 + 2 * len(piece) + 4 * len(ids)
+        known = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return known
+
+
+class Encoder:
+    """Ids of whole texts as little-endian bytes; each piece of a text is encoded once as long as it is remembered.
+
+    The tokenizer lower-cases, drops white space and cuts a text into words, digits and runs of marks before it merges
+    anything, so a text's ids are its pieces' ids one after another. Texts of the characters that NOT_PLAIN leaves, where lower-casing
+    and the classes of characters are the same in Python, are cut here and only new pieces meet the model; of all other
+    texts, and of those that spell a special token, the words between spaces go through the whole tokenizer.
+    """
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        model, encode = self.tok.model, self.tok.encode
+
+        def merged(piece: str) -> list[int]:
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_SIGNS)
+            return [t.id for t in model.tokenize(shown)]
+
+        self.pieces = Remembered(merged)
+        self.words = Remembered(lambda word: encode(word, add_special_tokens=False).ids)
+
+    def ids(self, text: str) -> bytes:
+        if NOT_PLAIN.search(text) is None and not any(t in text for t in self.special):
+            return b"".join(map(self.pieces.__getitem__, PIECE.findall(text.lower())))
+        return b"".join(map(self.words.__getitem__, text.split(" ")))
+
+
+#: One for each tokenizer, kept by a worker from task to task.
+ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
+
+
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = 4096) -> DataFrame:
     """(doc_id, text) to pieces of at most `capacity` ids, with the CRC-32 of the ids as little-endian uint32.
 
-    A document is its text's ids and then END_ID; null texts are empty. Longer documents are cut into full pieces
-    and a rest. The tokenizer drops white space and never joins what it parts, so a text's ids are its words' ids
-    one after another; each task encodes a word once and looks it up from then on.
+    A document is its text's ids and then END_ID; null and empty texts are END_ID alone. Longer documents are cut into
+    full pieces and a rest, whole texts whatever their length. Rows that repeat are documents of their own; null ids
+    stay null; an empty table has no pieces; extra columns are not looked at.
     """
     path = path or tokenizer_file()
+    small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
+        from leakdrift.llm.packing import encoder
 
-        tok = Tokenizer.from_file(path)
-        known: dict[str, bytes] = {}
+        ids_of = encoder(path).ids
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ws = text.split(" ") if text else []
-                new = [w for w in set(ws) if w not in known]
-                if new:
-                    if len(known) + len(new) > REMEMBERED:
-                        known = {}
-                        new = list(set(ws))
-                    for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True):
-                        known[w] = np.array(e.ids, dtype="<u4").tobytes()
-                ids = b"".join([known[w] for w in ws]) + end
+                ids = ids_of(text or "") + end
                 n = len(ids) // 4
                 for k, at in enumerate(range(0, n, capacity)):
                     part = ids[4 * at : 4 * (at + capacity)]
