@@ -22,8 +22,9 @@ GROUP = 20_000
 REMEMBERED = 60_000_000
 #: Texts with any other character than these are cut by the tokenizer itself.
 NOT_PLAIN = re.compile(r"[^\t\n\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027]")
-#: How the tokenizer cuts a lower-case text, for the characters above.
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: How the tokenizer cuts a lower-case text, for the characters above: letters, digits, beginnings of suffixes, marks.
+_LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u02af\u2c65\u2c66"
+PIECE = re.compile(rf"[{_LETTERS}]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\s0-9{_LETTERS}]+")
 #: The signs that stand for bytes in the vocabulary: printable ones for themselves, the others from code point 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
