@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leakdrift.llm.common import connected_components, sized_semi_join, table, written
+from leakdrift.llm.common import connected_components, sized_semi_join, small_batches, table, written
 
 #: MinHash samples; BANDS * ROWS of them make the bands. At a similarity of 0.8 a pair shares no band with
 #: probability (1 - 0.8 ** 4) ** 28 = 4e-7.
@@ -21,6 +21,11 @@ BITS = 512
 FLOOR = 0.6
 #: Documents of a bucket that one task compares at once.
 CHUNK = 1024
+#: Buckets of so many documents at most are compared together, and rows that one call compares, about.
+SMALL, FRAME = 48, 16_384
+
+#: Words whose hashes a task remembers: some 120 bytes each.
+REMEMBERED = 200_000
 
 FEATURES = "n_shingles long, f1 long, f2 long, bands array<int>, sketch binary"
 
@@ -38,7 +43,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 500_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -128,43 +133,103 @@ def candidates(band: int, bands: tuple[np.ndarray, np.ndarray], sketches: tuple[
 PAIRS = "a long, b long"
 
 
-def strongest(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's maximum spanning forest of estimates over its components: fewer pairs than documents."""
-    rows = rows.sort_values("rep").reset_index(drop=True)
-    ids, bands, sketch = load(rows)
-    comp = rows["comp"].to_numpy()
-    r, c, est = candidates(int(key[0]), (bands, bands), (sketch, sketch), comp[:, None] < comp[None, :])
-    root = {x: x for x in set(comp.tolist())}
-
-    def find(x: int) -> int:
-        while root[x] != x:
+def runs(rows: pd.DataFrame, key: list[str]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """The rows sorted by the key and rep, and where each key's run starts and ends."""
+    rows = rows.sort_values([*key, "rep"], kind="stable").reset_index(drop=True)
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (rows[key].to_numpy()[1:] != rows[key].to_numpy()[:-1]).any(1)
+    start = np.flatnonzero(new)
+    return rows, start, np.append(start[1:], len(rows))
+
+
+def small_pairs(start: np.ndarray, size: np.ndarray, band: np.ndarray, bands: np.ndarray, sketch: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidates of many small buckets at once: bucket, both rows and estimate, of rows in different components."""
+    for s in np.unique(size):
+        x, y = np.triu_indices(int(s), 1)
+        own = np.flatnonzero(size == s)
+        step = max(1, 200_000 // max(1, len(x)))
+        for k in range(0, len(own), step):
+            at = own[k : k + step]
+            r, c = (start[at][:, None] + x).ravel(), (start[at][:, None] + y).ravel()
+            bucket = np.repeat(at, len(x))
+            some = comp[r] != comp[c]
+            r, c, bucket = r[some], c[some], bucket[some]
+            est = estimate(np.bitwise_count(sketch[r] ^ sketch[c]).astype(np.int64).sum(1))
+            some = est >= FLOOR
+            r, c, bucket, est = r[some], c[some], bucket[some], est[some]
+            before = (bands[r] == bands[c]) & (np.arange(bands.shape[1]) < band[r][:, None])
+            some = ~before.any(1)
+            yield bucket[some], r[some], c[some], est[some]
+
+
+def kruskal(bucket: np.ndarray, r: np.ndarray, c: np.ndarray, est: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Which of the pairs make the maximum spanning forest of each bucket's components."""
+    root: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def find(x: tuple[int, int]) -> tuple[int, int]:
+        while root.setdefault(x, x) != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
     out = []
-    for k in np.argsort(-est, kind="stable"):
-        x, y = find(int(comp[r[k]])), find(int(comp[c[k]]))
+    order = np.argsort(-est, kind="stable")
+    for k, b, p, q in zip(order.tolist(), bucket[order].tolist(), comp[r[order]].tolist(), comp[c[order]].tolist(), strict=True):
+        x, y = find((b, p)), find((b, q))
         if x != y:
             root[max(x, y)] = min(x, y)
-            out.append((ids[r[k]], ids[c[k]]))
-            if len(out) == len(root) - 1:
-                break
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            out.append(k)
+    return np.array(out, dtype=np.int64)
 
 
-def crossing(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """All candidate pairs of two chunks' documents that lie in different components."""
-    rows = rows.sort_values("rep").reset_index(drop=True)
+def bucket_pairs(rows: pd.DataFrame, forest: bool) -> pd.DataFrame:
+    """Candidate pairs of many buckets (band, value, chunk) between components: a maximum spanning forest of each
+    bucket's estimates, which is fewer pairs than documents, or all of them."""
+    rows, start, end = runs(rows, ["band", "value", "chunk"])
     ids, bands, sketch = load(rows)
-    comp, minor = rows["comp"].to_numpy(), rows["minor"].to_numpy()
-    left, right = np.flatnonzero(rows["left"].to_numpy()), np.flatnonzero(rows["right"].to_numpy())
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    allowed = (comp[left, None] != comp[None, right]) & ~(minor[None, right] & (ids[left, None] >= ids[None, right]))
-    r, c, _ = candidates(int(key[0]), (bands[left], bands[right]), (sketch[left], sketch[right]), allowed)
-    a, b = ids[left[r]], ids[right[c]]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    comp, band, size = rows["comp"].to_numpy(), rows["band"].to_numpy(), end - start
+    found = []
+    small = size <= SMALL
+    found += list(small_pairs(start, np.where(small, size, 0), band, bands, sketch, comp))
+    for k in np.flatnonzero(~small):
+        at = slice(start[k], end[k])
+        own = comp[at]
+        allowed = np.triu(own[:, None] != own[None, :], 1)
+        r, c, est = candidates(int(band[start[k]]), (bands[at], bands[at]), (sketch[at], sketch[at]), allowed)
+        found.append((np.full(len(r), k), start[k] + r, start[k] + c, est))
+        if forest:
+            found[-1] = tuple(v[kruskal(*found[-1], comp)] for v in found[-1])
+    bucket, r, c, est = (np.concatenate([f[i] for f in found]) for i in range(4))
+    if forest:
+        some = kruskal(bucket, r, c, est, comp)
+        r, c = r[some], c[some]
+    return pd.DataFrame({"a": ids[r], "b": ids[c]}).drop_duplicates()
+
+
+def crossing(rows: pd.DataFrame) -> pd.DataFrame:
+    """All candidate pairs of two chunks' documents that lie in different components, for many pairs of chunks."""
+    out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
+    rows, start, end = runs(rows, ["band", "value", "ours", "theirs"])
+    all_ids, all_bands, all_sketch = load(rows)
+    everything = {k: rows[k].to_numpy() for k in ("band", "comp", "minor", "left", "right")}
+    for k in range(len(start)):
+        at = slice(start[k], end[k])
+        ids, bands, sketch = all_ids[at], all_bands[at], all_sketch[at]
+        band, comp, minor, is_left, is_right = (v[at] for v in everything.values())
+        left, right = np.flatnonzero(is_left), np.flatnonzero(is_right)
+        if len(left) and len(right):
+            allowed = (comp[left, None] != comp[None, right]) & ~(minor[None, right] & (ids[left, None] >= ids[None, right]))
+            r, c, _ = candidates(int(band[0]), (bands[left], bands[right]), (sketch[left], sketch[right]), allowed)
+            a, b = ids[left[r]], ids[right[c]]
+            out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
+    return pd.concat(out).drop_duplicates()
+
+
+def in_frames(rows: DataFrame, key: list[str], work: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """Deals the keys to frames of about FRAME rows by a hash, so that a call of `work` has many small keys."""
+    rows = written(rows)
+    n = max(1, -(-rows.count() // FRAME))
+    return rows.groupBy(F.pmod(F.xxhash64(*key), F.lit(n)).alias("frame")).applyInPandas(lambda frame: work(frame), PAIRS)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -204,6 +269,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     into all its pairs. Texts without words are linked with nothing. Rows that share a doc_id count as documents
     of their own with a common id; a null id is linked with nothing. Extra columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     found = written(featured(docs, width))
     real = found.where("n_shingles > 0 and doc_id is not null")
@@ -229,17 +295,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         return rows.join(mixed, ["band", "value"], "left_semi")
 
     # Forests within chunks.
-    pairs = labelled(None).join(members, "rep").groupBy("band", "value", "chunk").applyInPandas(strongest, PAIRS)
+    bucket = ["band", "value", "chunk"]
+    pairs = in_frames(labelled(None).join(members, "rep"), bucket, lambda frame: bucket_pairs(frame, True))
     links = confirmed(written(pairs.distinct()), docs, width, percent)
     # Forests over some documents of each component, for buckets of more than one chunk.
     rows = open_buckets(labelled(links).where("chunks > 1"))
     turn = F.row_number().over(Window.partitionBy("band", "value", "chunk", "comp").orderBy(F.xxhash64("rep")))
     rows = rows.withColumn("turn", turn).where(F.col("turn") <= 8)
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("comp", "turn"), F.ceil(F.col("chunks") / 8).cast("int")))
-    pairs = rows.join(members, "rep").groupBy("band", "value", "chunk").applyInPandas(strongest, PAIRS)
-    links = links.unionByName(confirmed(written(pairs.distinct()), docs, width, percent))
+    pairs = in_frames(rows.join(members, "rep"), bucket, lambda frame: bucket_pairs(frame, True))
+    links = written(links.unionByName(confirmed(written(pairs.distinct()), docs, width, percent)))
     # Everything that still lies in different components: what isn't in a bucket's largest one meets all others.
     rows = written(open_buckets(labelled(links)))
+    whole = in_frames(rows.where("chunks = 1").join(members, "rep"), bucket, lambda frame: bucket_pairs(frame, False))
+    rows = rows.where("chunks > 1")
     sizes = rows.groupBy("band", "value", "comp").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("band", "value").agg(F.max_by("comp", F.struct("n", "comp")).alias("big"))
     rows = rows.join(largest, ["band", "value"]).withColumn("minor", F.col("comp") != F.col("big"))
@@ -248,8 +317,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     right = right.select("band", "value", "ours", F.col("chunk").alias("theirs"), "rep", "comp", "minor", F.lit(False).alias("left"), F.lit(True).alias("right"))
     left = rows.where("minor").withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     left = left.select("band", "value", F.col("chunk").alias("ours"), "theirs", "rep", "comp", "minor", F.lit(True).alias("left"), F.lit(False).alias("right"))
-    pairs = left.unionByName(right).join(members, "rep").groupBy("band", "value", "ours", "theirs").applyInPandas(crossing, PAIRS)
-    links = links.unionByName(confirmed(written(pairs.distinct()), docs, width, percent))
+    pairs = in_frames(left.unionByName(right).join(members, "rep"), ["band", "value", "ours", "theirs"], crossing)
+    links = links.unionByName(confirmed(written(whole.unionByName(pairs).distinct()), docs, width, percent))
     parts = connected_components(links).withColumnRenamed("node", "rep")
     out = rep_of.join(parts, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = found.select("doc_id", "n_shingles").join(out, "doc_id", "left")
