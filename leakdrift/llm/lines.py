@@ -12,9 +12,14 @@ WIDTH = 8
 #: One hash deals a line's shingles to so many bins, and each bin keeps its least value. ROWS of them make a band:
 #: at a similarity of 0.8 a pair shares a band with probability 1 - (1 - 0.8 ** 3) ** 8 = 0.997, at 0.9 0.99997.
 BINS, ROWS = 24, 3
-#: Pairs that agree in fewer bins are no candidates; at a similarity of 0.8 that happens to one pair in 10,000.
-AGREE = 12
-SALTS = 16
+BANDS = BINS // ROWS
+#: Only shingles whose hash is under a line's bar are sorted into bins: so many of them are expected, all where the
+#: line has no more. Lines of similar lengths have nearly the same bar.
+UNDER = 40
+#: Pairs that agree in fewer bins are no candidates; at a similarity of 0.8 that happens to one pair in 2,000.
+AGREE = 13
+#: Documents whose needed lines are sent to every task at most; more are joined by a shuffle.
+BROADCAST_DOCS = 100_000
 #: Lines of a bucket that one task compares with as many others at once.
 CHUNK = 1024
 HAS_WORD = r"[^ \t-\r]"
@@ -36,89 +41,64 @@ def shingles(line: Column, width: int = WIDTH) -> Column:
     )
 
 
+def hash_1(line: Column) -> Column:
+    return F.xxhash64(line)
+
+
+def hash_2(line: Column) -> Column:
+    return F.xxhash64(F.lit(1), line)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """Every line with a word: doc_id, pos, line and its 128-bit hash as h1 and h2."""
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     rows = rows.where(F.col("line").rlike(HAS_WORD))
-    return rows.select("doc_id", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return rows.select("doc_id", "pos", "line", hash_1(F.col("line")).alias("h1"), hash_2(F.col("line")).alias("h2"))
 
 
-def bin_of(x: Column) -> Column:
-    return F.pmod(x, F.lit(BINS))
+def least(k: int) -> str:
+    return f"m{k}"
 
 
-def signatures(lines: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(h1, h2, line) to one row for each different line: h1, h2 and sig, the least shingle hash of each bin that has any.
+def signatures(lines: DataFrame) -> DataFrame:
+    """(h1, h2, line) to one row for each different line: h1, h2 and m0, m1, ..., the least shingle hash of each bin
+    that has any, else null.
 
-    Shingles are rows of a generator inside one generated loop; bins are partial minima before the shuffle, so
-    that repeated lines are one row for each task at most. A value tells its bin; empty bins take no room.
+    Shingles are rows of a generator inside one generated loop, which few leave: those under the line's bar, of which
+    bins are partial minima before the shuffle, so that repeated lines are one row for each task at most.
     """
-    last = F.greatest(F.length("line") - width, F.lit(0))
+    last = F.greatest(F.length("line") - WIDTH, F.lit(0))
     rows = lines.select("h1", "h2", wide(F.col("line")).alias("b"), last.alias("last"))
-    rows = rows.select("h1", "h2", "b", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
-    rows = rows.select("h1", "h2", F.hash(F.substr("b", F.col("i") * 4 + 1, F.lit(4 * width))).alias("x"))
-    rows = rows.select("h1", "h2", "x", bin_of(F.col("x")).alias("bin"))
-    least = rows.groupBy("h1", "h2").agg(*[F.min(F.when(F.col("bin") == k, F.col("x"))).alias(f"m{k}") for k in range(BINS)])
-    return least.select("h1", "h2", F.array_compact(F.array(*[f"m{k}" for k in range(BINS)])).alias("sig"))
-
-
-def band(k: int) -> Column:
-    """A signature's values in band k."""
-    return F.filter("sig", lambda x: F.floor(bin_of(x) / ROWS) == k)
-
-
-def band_keys() -> Column:
-    """The keys of a signature's bands; bands of empty bins only have none."""
-    some = F.filter(F.array(*[band(k) for k in range(BINS // ROWS)]), lambda v: F.size(v) > 0)
-    return F.transform(some, lambda v: F.xxhash64(v))
+    rows = rows.select("h1", "h2", "b", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    rows = rows.select("h1", "h2", "last", F.hash(F.substr("b", F.col("i") * 4 + 1, F.lit(4 * WIDTH))).alias("x"))
+    bar = F.lit(float(UNDER) * 2**32) / (F.col("last") + 1) - F.lit(float(2**31))
+    rows = rows.where(F.col("x") < bar).select("h1", "h2", "x", F.pmod("x", F.lit(BINS)).alias("bin"))
+    return rows.groupBy("h1", "h2").agg(*[F.min(F.when(F.col("bin") == k, F.col("x"))).alias(least(k)) for k in range(BINS)])
 
 
-def agreeing(x: Column, y: Column) -> Column:
-    """In how many bins two signatures have the same least value, or both none."""
-    used = F.size(F.array_distinct(F.transform(F.array_union(x, y), bin_of)))
-    return F.size(F.array_intersect(x, y)) + BINS - used
-
-
-def bucketed(sigs: DataFrame) -> DataFrame:
-    """(h1, h2, key, hub, n): the lines of each bucket of more than one, with its least h1 and its size.
-
-    Least lines are grouped minima of h1 that are pre-aggregated; the join back is one whose hot keys are split.
-    """
-    slots = sigs.select("h1", "h2", F.explode(band_keys()).alias("key"))
-    hubs = slots.groupBy("key").agg(F.min("h1").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    return written(slots.join(hubs, "key"))
-
-
-def candidates(slots: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(a, b, agree): lines with the least line of their bucket, and with the least of their salt of the bucket.
-
-    A bucket of n lines makes 2n pairs at most. A shared h1 only means one candidate more.
-    """
-    salted = slots.withColumn("salt", F.pmod(F.xxhash64("h1", "h2"), F.lit(SALTS)))
-    near = salted.groupBy("key", "salt").agg(F.min("h1").alias("hub"))
-    more = salted.drop("hub").join(near, ["key", "salt"]).select("h1", "h2", "hub")
-    pairs = slots.select("h1", "h2", "hub").unionByName(more).where("h1 <> hub").distinct()
-    left = pairs.join(sigs.withColumnRenamed("sig", "x"), ["h1", "h2"])
-    left = left.select(F.concat_ws(":", "h1", "h2").alias("a"), "hub", "x")
-    both = left.join(sigs.select(F.col("h1").alias("hub"), F.concat_ws(":", "h1", "h2").alias("b"), F.col("sig").alias("y")), "hub")
-    return both.select("a", "b", agreeing(F.col("x"), F.col("y")).alias("agree")).where(F.col("agree") >= AGREE)
+def keyed(sigs: DataFrame) -> DataFrame:
+    """(id, m0, ...) to (id, key): a row for each band that has any value. A value tells its bin."""
+    bands = [[F.col(least(b * ROWS + k)) for k in range(ROWS)] for b in range(BINS // ROWS)]
+    keys = [F.when(F.coalesce(*ms).isNotNull(), F.xxhash64(F.lit(b), *ms)) for b, ms in enumerate(bands)]
+    return sigs.select("id", F.explode(F.array(*keys)).alias("key")).where("key is not null")
 
 
 def digests() -> list[Column]:
     """A signature as longs of eight bins, one byte for each bin's value and 0 for an empty bin."""
 
     def word(k: int) -> Column:
-        def put(acc: Column, x: Column) -> Column:
-            byte = (F.pmod(F.hash(x), F.lit(255)) + 1).cast("long")
-            return acc.bitwiseOR(F.call_function("shiftleft", byte, (bin_of(x) % 8 * 8).cast("int")))
-
-        return F.aggregate(F.filter("sig", lambda x: F.floor(bin_of(x) / 8) == k), F.lit(0).cast("long"), put)
+        out = F.lit(0).cast("long")
+        for j in range(8):
+            m = F.col(least(8 * k + j))
+            byte = F.when(m.isNull(), F.lit(0)).otherwise(F.pmod(F.hash(m), F.lit(255)) + 1).cast("long")
+            out = out.bitwiseOR(F.shiftleft(byte, 8 * j))
+        return out
 
     return [word(k).alias(f"w{k}") for k in range(BINS // 8)]
 
 
 def digests_agree(x: str, y: str) -> Column:
-    """In how many bins the digests of two lines are equal: never less than `agreeing`. All of it is generated code."""
+    """In how many bins the digests of two lines are equal. All of it is generated code."""
     unlike = F.lit(0)
     for k in range(BINS // 8):
         d = F.col(f"{x}.w{k}").bitwiseXOR(F.col(f"{y}.w{k}"))
@@ -129,116 +109,134 @@ def digests_agree(x: str, y: str) -> Column:
     return F.lit(BINS) - unlike
 
 
-def crossing(slots: DataFrame, sigs: DataFrame, links: DataFrame) -> DataFrame:
-    """(a, b, agree): all candidate pairs of a bucket's lines that the links leave in different components.
+def bucketed(sigs: DataFrame) -> DataFrame:
+    """(id, key, hub, n): the lines of each bucket of more than one, with its least line and its size.
+
+    Least lines are grouped minima that are pre-aggregated. Keys of lines that share none with another never move again
+    where the keys of buckets are few enough to be sent to every task; else the join is one whose hot keys are split.
+    """
+    slots = keyed(sigs)
+    hubs = written(slots.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"))
+    small = hubs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    met = slots.join(F.broadcast(hubs) if small else hubs, "key")
+    return written(met)
+
+
+def with_digests(slots: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Adds the digest of each slot's line."""
+    return slots.join(sigs.select("id", *digests()), "id")
+
+
+def candidates(slots: DataFrame) -> DataFrame:
+    """(a, b): lines with the least line of their bucket. A bucket of n lines makes n pairs."""
+    mine = [f"w{k}" for k in range(BINS // 8)]
+    pairs = slots.where("id <> hub").select("id", "hub", *mine).distinct().alias("l")
+    hubs = slots.where("id = hub").select("hub", *mine).distinct().alias("r")
+    both = pairs.join(hubs, (F.col("l.hub") == F.col("r.hub")) & (digests_agree("l", "r") >= AGREE))
+    return both.select(F.col("l.hub").alias("a"), F.col("l.id").alias("b"))
+
+
+def crossing(slots: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b): all candidate pairs of a bucket's lines that the links leave in different components.
 
     What isn't in a bucket's largest component meets all lines of other components. Buckets are dealt to chunks by
     a hash, and a pair of chunks is one key of the join, so that no task has a large bucket to itself; its condition
     is held against the digests before a pair is made. A pair of several buckets comes once.
     """
     parts = connected_components(links).withColumnRenamed("node", "id")
-    rows = slots.select("h1", "h2", F.concat_ws(":", "h1", "h2").alias("id"), "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    rows = slots.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).drop("hub", "n")
     rows = written(rows.join(parts, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"))
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("big"), F.count("*").alias("m"))
     rows = rows.join(largest.where("m > 1").select("key", "big"), "key").withColumn("minor", F.col("comp") != F.col("big"))
-    rows = rows.join(sigs.select("h1", "h2", *digests()), ["h1", "h2"]).drop("h1", "h2", "big")
-    rows = written(rows.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int")))
+    rows = written(rows.drop("big").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int")))
     minors = rows.where("minor").groupBy("key").agg(F.collect_set("chunk").alias("ours"))
     left = rows.where("minor").withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     left = left.withColumnRenamed("chunk", "ours").alias("l")
     right = rows.withColumnRenamed("chunk", "theirs").join(minors, "key").withColumn("ours", F.explode("ours")).alias("r")
     same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "ours", "theirs")]
     apart = (F.col("l.comp") != F.col("r.comp")) & (~F.col("r.minor") | (F.col("l.id") < F.col("r.id")))
-    agree = digests_agree("l", "r")
-    both = left.join(right, [*same, apart, agree >= AGREE])
+    both = left.join(right, [*same, apart, digests_agree("l", "r") >= AGREE])
     a, b = F.col("l.id"), F.col("r.id")
-    return both.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), agree.alias("agree")).distinct()
+    return both.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
 
+def texts_of(ids: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, line) of the lines with the ids, read where each stands first; each document is split once.
 
-def confirmed(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+    Where rows share a doc_id, the line that has the hash is taken.
+    """
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    need = firsts.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+    need = need.groupBy(F.col("at.doc_id").alias("_id")).agg(F.collect_list(F.struct("id", "at.pos", "h1", "h2")).alias("need"))
+    few = need.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
+    rows = docs.select("doc_id", "text").join(F.broadcast(need) if few else need, F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = rows.select("need", F.split("text", "\n").alias("ls"))
+    rows = rows.select(F.inline(F.transform("need", lambda x: F.struct(x["id"].alias("id"), x["h1"].alias("h1"), x["h2"].alias("h2"), F.get("ls", x["pos"]).alias("line")))))
+    rows = rows.where((F.col("h1") == hash_1(F.col("line"))) & (F.col("h2") == hash_2(F.col("line"))))
+    return written(rows.select("id", "line").dropDuplicates(["id"]))
+
+
+def confirmed(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose shingle sets have a Jaccard similarity of at least the threshold."""
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), firsts, docs)
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
     rows = rows.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    rows = rows.select("a", "b", shingles(F.col("x"), width).alias("x"), shingles(F.col("y"), width).alias("y"))
-    rows = rows.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("both"))
+    # Generators keep the optimiser from moving the condition before the sets, where each would be made several times.
+    rows = rows.select("a", "b", F.inline(F.array(F.struct(shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y")))))
+    counts = F.struct(F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("both"))
+    rows = rows.select("a", "b", F.inline(F.array(counts)))
     return written(rows.where(F.col("both") >= F.lit(threshold) * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b"))
 
 
-def linked_pairs(pairs: DataFrame, links: DataFrame | None, lines: DataFrame, threshold: float, width: int) -> DataFrame:
-    """The links, with those candidate pairs that are similar and can join two of their components."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    need = need.select(*[F.split("id", ":")[k].cast("long").alias(h) for k, h in enumerate(("h1", "h2"))])
-    small = need.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = lines.join(F.broadcast(need) if small else need, ["h1", "h2"], "left_semi")
-    texts = texts.select(F.concat_ws(":", "h1", "h2").alias("id"), "line")
-    texts = written(texts.groupBy("id").agg(F.first("line").alias("line")))
-    # The likeliest pair of each line first; the others only where they would join two components.
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
-    found = confirmed(best, texts, threshold, width)
-    links = found if links is None else links.unionByName(found)
-    known = written(connected_components(links))
-    rest = pairs.join(best, ["a", "b"], "left_anti").select("a", "b")
-    for side in ("a", "b"):
-        rest = rest.join(known.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
-        rest = rest.withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-    rest = rest.where("ca <> cb").select("a", "b")
-    return links.unionByName(confirmed(rest, texts, threshold, width))
-
-
-def line_links(lines: DataFrame, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
-    """(h1, h2, line) to (node, component) of the different lines that are linked with others; ids are 'h1:h2'.
+def line_links(firsts: DataFrame, sigs: DataFrame, docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(node, component) of the different lines, by id, that are linked with others.
 
     Lines are compared with the least lines of their buckets first; then every candidate pair of a bucket that still
     lies in two components is compared too, so that no link is lost which could change a component.
     """
-    sigs = written(signatures(lines, width))
-    slots = bucketed(sigs)
-    links = linked_pairs(written(candidates(slots, sigs)), None, lines, threshold, width)
-    pairs = written(crossing(slots, sigs, links))
+    slots = written(with_digests(bucketed(sigs), sigs))
+    links = confirmed(written(candidates(slots)), firsts, docs, threshold)
+    pairs = written(crossing(slots, links))
     if not pairs.isEmpty():
-        links = linked_pairs(pairs, links, lines, threshold, width)
+        links = links.unionByName(confirmed(pairs, firsts, docs, threshold))
     return connected_components(links)
 
 
-def dedup_lines(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """docs with `text` without the lines that repeat a kept one, and n_lines, n_kept; every row stays.
 
     Lines with a word that are equal, or linked by similar ones, are a component, of which the line with the
     smallest (doc_id, position) stays. Blank lines stay where they are. A document of which no line is left has
     blank lines or an empty text; a null text stays null. Rows that share a doc_id count as one document: what is
-    kept of it stays in each of them. A null doc_id comes before all others. Extra columns are passed on.
+    kept of it stays in each of them. A null doc_id comes before all others. An empty table gives an empty one. Extra
+    columns are passed on, but for n_lines and n_kept, which are replaced.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
     docs = docs.select(*columns)
     lines = numbered(docs.select("doc_id", "text"))
     places = written(lines.select("doc_id", "pos", "h1", "h2"))
-    first = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("n"))
-    first = written(first.select(F.concat_ws(":", "h1", "h2").alias("id"), "at", "n"))
-    linked = written(line_links(lines.select("h1", "h2", "line"), threshold, width))
-    linked = first.join(linked.withColumnRenamed("node", "id"), "id")
+    firsts = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("n"))
+    firsts = written(firsts.withColumn("id", F.monotonically_increasing_id()))
+    sigs = written(signatures(lines.select("h1", "h2", "line")).join(firsts.select("h1", "h2", "id"), ["h1", "h2"]).drop("h1", "h2"))
+    linked = written(line_links(firsts, sigs, docs, threshold))
+    linked = firsts.select("id", "at").join(linked.withColumnRenamed("node", "id"), "id")
     heads = linked.groupBy("component").agg(F.min("at").alias("head"))
-    lost = written(linked.join(heads, "component").where("at <> head").select("id"))
+    lost = linked.join(heads, "component").where("at <> head").select("id", F.lit(True).alias("gone"))
     # Every line with a word whose place isn't the first of its text, or whose text is lost, goes.
-    places = places.select("doc_id", "pos", F.concat_ws(":", "h1", "h2").alias("id"))
-    doubtful = first.where("n > 1").select("id", "at").join(lost.withColumn("gone", F.lit(True)), "id", "full")
-    gone = places.join(doubtful, "id").where(
+    doubtful = firsts.select("id", "h1", "h2", "at", "n").join(written(lost), "id", "left").where("n > 1 or gone")
+    gone = places.join(doubtful.select("h1", "h2", "at", "gone"), ["h1", "h2"]).where(
         F.coalesce("gone", F.lit(False)) | ~F.struct("doc_id", "pos").eqNullSafe(F.col("at"))
     )
-    gone = written(gone.select("doc_id", "pos").distinct().groupBy("doc_id").agg(F.collect_set("pos").alias("_gone")))
-    small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    ids = gone.select(F.col("doc_id").alias("_id"))
-    touched = docs.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    others = docs.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    touched = touched.join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    n_lines = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(HAS_WORD)))
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    touched = touched.withColumn("n_lines", F.coalesce(n_lines, F.lit(0)))
-    touched = touched.withColumn("n_kept", F.col("n_lines") - F.size("_gone")).withColumn("text", F.array_join(kept, "\n"))
-    others = others.withColumn("n_lines", F.coalesce(n_lines, F.lit(0))).withColumn("n_kept", F.col("n_lines"))
-    out = [*columns, "n_lines", "n_kept"]
-    return others.select(*out).unionByName(touched.select(*out))
+    gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("_gone"))
+    rows = docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g._id")), "left")
+    n_lines = F.coalesce(F.size(F.filter(F.split("d.text", "\n"), lambda x: x.rlike(HAS_WORD))), F.lit(0))
+    kept = F.array_join(F.filter(F.split("d.text", "\n"), lambda x, i: ~F.array_contains("g._gone", i)), "\n")
+    text = F.when(F.col("g._gone").isNull(), F.col("d.text")).otherwise(kept).alias("text")
+    n_kept = (n_lines - F.coalesce(F.size("g._gone"), F.lit(0))).alias("n_kept")
+    return rows.select(*[text if c == "text" else F.col(f"d.{c}") for c in columns], n_lines.alias("n_lines"), n_kept)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines kept of every document: doc_id, n_lines (with a word), n_kept and the text that is left."""
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_kept", "text")
