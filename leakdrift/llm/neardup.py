@@ -23,6 +23,8 @@ FLOOR = 0.6
 CHUNK = 1024
 #: Buckets of so many documents at most are compared together, and rows that one call compares, about.
 SMALL, FRAME = 48, 16_384
+#: The same where the rows have their documents' full sets.
+FULL_FRAME = 4096
 
 #: Words whose hashes a task remembers: some 120 bytes each.
 REMEMBERED = 200_000
@@ -182,58 +184,109 @@ def kruskal(bucket: np.ndarray, r: np.ndarray, c: np.ndarray, est: np.ndarray, c
     return np.array(out, dtype=np.int64)
 
 
-def bucket_pairs(rows: pd.DataFrame, forest: bool) -> pd.DataFrame:
-    """Candidate pairs of many buckets (band, value, chunk) between components: a maximum spanning forest of each
-    bucket's estimates, which is fewer pairs than documents, or all of them."""
-    rows, start, end = runs(rows, ["band", "value", "chunk"])
-    ids, bands, sketch = load(rows)
+def found_in(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidates of sorted rows' buckets (band, value, chunk): bucket, both rows and estimate, of different components."""
+    rows, start, end = rows
+    _, bands, sketch = load(rows)
     comp, band, size = rows["comp"].to_numpy(), rows["band"].to_numpy(), end - start
-    found = []
     small = size <= SMALL
-    found += list(small_pairs(start, np.where(small, size, 0), band, bands, sketch, comp))
+    yield from small_pairs(start, np.where(small, size, 0), band, bands, sketch, comp)
     for k in np.flatnonzero(~small):
         at = slice(start[k], end[k])
         own = comp[at]
         allowed = np.triu(own[:, None] != own[None, :], 1)
         r, c, est = candidates(int(band[start[k]]), (bands[at], bands[at]), (sketch[at], sketch[at]), allowed)
-        found.append((np.full(len(r), k), start[k] + r, start[k] + c, est))
-        if forest:
-            found[-1] = tuple(v[kruskal(*found[-1], comp)] for v in found[-1])
-    bucket, r, c, est = (np.concatenate([f[i] for f in found]) for i in range(4))
-    if forest:
-        some = kruskal(bucket, r, c, est, comp)
-        r, c = r[some], c[some]
+        yield np.full(len(r), k), start[k] + r, start[k] + c, est
+
+
+def forests(rows: pd.DataFrame) -> pd.DataFrame:
+    """The maximum spanning forest of each bucket's estimates: fewer pairs than documents."""
+    rows = runs(rows, ["band", "value", "chunk"])
+    ids, comp = rows[0]["rep"].to_numpy(), rows[0]["comp"].to_numpy()
+    found = [tuple(v[kruskal(*f, comp)] for v in f) for f in found_in(rows)]
+    r, c = (np.concatenate([f[i] for f in found]) for i in (1, 2))
     return pd.DataFrame({"a": ids[r], "b": ids[c]}).drop_duplicates()
 
 
-def crossing(rows: pd.DataFrame) -> pd.DataFrame:
-    """All candidate pairs of two chunks' documents that lie in different components, for many pairs of chunks."""
-    out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
-    rows, start, end = runs(rows, ["band", "value", "ours", "theirs"])
-    all_ids, all_bands, all_sketch = load(rows)
-    everything = {k: rows[k].to_numpy() for k in ("band", "comp", "minor", "left", "right")}
-    for k in range(len(start)):
-        at = slice(start[k], end[k])
-        ids, bands, sketch = all_ids[at], all_bands[at], all_sketch[at]
-        band, comp, minor, is_left, is_right = (v[at] for v in everything.values())
-        left, right = np.flatnonzero(is_left), np.flatnonzero(is_right)
-        if len(left) and len(right):
-            allowed = (comp[left, None] != comp[None, right]) & ~(minor[None, right] & (ids[left, None] >= ids[None, right]))
-            r, c, _ = candidates(int(band[0]), (bands[left], bands[right]), (sketch[left], sketch[right]), allowed)
-            a, b = ids[left[r]], ids[right[c]]
-            out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
-    return pd.concat(out).drop_duplicates()
-
-
-def in_frames(rows: DataFrame, key: list[str], work: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """Deals the keys to frames of about FRAME rows by a hash, so that a call of `work` has many small keys."""
+class Joined:
+    """Links that join components, found among candidates by their full sets, the likeliest first."""
+
+    def __init__(self, percent: int) -> None:
+        self.percent = percent
+        self.root: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        while self.root.setdefault(x, x) != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
+        return x
+
+    def alike(self, p: np.ndarray, q: np.ndarray) -> bool:
+        n, m = len(p), len(q)
+        if 100 * min(n, m) < self.percent * max(n, m):
+            return False
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        return 100 * both >= self.percent * (n + m - both)
+
+    def add(self, rows: pd.DataFrame, r: np.ndarray, c: np.ndarray, est: np.ndarray) -> None:
+        ids, comp = rows["rep"].to_numpy(), rows["comp"].to_numpy()
+        sets = [np.frombuffer(s, dtype=np.uint64) for s in rows["s"]]
+        order = np.argsort(-est, kind="stable")
+        for p, q in zip(r[order].tolist(), c[order].tolist(), strict=True):
+            x, y = self.find(int(comp[p])), self.find(int(comp[q]))
+            if x != y and self.alike(sets[p], sets[q]):
+                self.root[max(x, y)] = min(x, y)
+                self.links.append((int(ids[p]), int(ids[q])))
+
+    def frame(self) -> pd.DataFrame:
+        return pd.DataFrame(self.links, columns=["a", "b"], dtype="int64")
+
+
+def joining(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """All candidates of buckets between components, held against the full sets where they are: links only leave."""
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, start, end = runs(rows, ["band", "value", "chunk"])
+        joined = Joined(percent)
+        for _, r, c, est in found_in((rows, start, end)):
+            joined.add(rows, r, c, est)
+        return joined.frame()
+
+    return work
+
+
+def crossing(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The same for pairs of two chunks' documents, of many pairs of chunks (band, value, ours, theirs)."""
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, start, end = runs(rows, ["band", "value", "ours", "theirs"])
+        all_ids, all_bands, all_sketch = load(rows)
+        everything = {k: rows[k].to_numpy() for k in ("band", "comp", "minor", "left", "right")}
+        joined = Joined(percent)
+        for k in range(len(start)):
+            at = slice(start[k], end[k])
+            ids, bands, sketch = all_ids[at], all_bands[at], all_sketch[at]
+            band, comp, minor, is_left, is_right = (v[at] for v in everything.values())
+            left, right = np.flatnonzero(is_left), np.flatnonzero(is_right)
+            if len(left) and len(right):
+                allowed = (comp[left, None] != comp[None, right]) & ~(minor[None, right] & (ids[left, None] >= ids[None, right]))
+                r, c, est = candidates(int(band[0]), (bands[left], bands[right]), (sketch[left], sketch[right]), allowed)
+                joined.add(rows, start[k] + left[r], start[k] + right[c], est)
+        return joined.frame()
+
+    return work
+
+
+def in_frames(rows: DataFrame, key: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], size: int) -> DataFrame:
+    """Deals the keys to frames of about `size` rows by a hash, so that a call of `work` has many small keys."""
     rows = written(rows)
-    n = max(1, -(-rows.count() // FRAME))
+    n = max(1, -(-rows.count() // size))
     return rows.groupBy(F.pmod(F.xxhash64(*key), F.lit(n)).alias("frame")).applyInPandas(lambda frame: work(frame), PAIRS)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
+def full_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, s): the full sets of the documents with the ids, sorted, as bytes."""
 
     @F.pandas_udf("binary")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -241,6 +294,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
         for batch in batches:
             yield pd.Series([shingle_set(t, width, known).tobytes() for t in batch], dtype=object)
 
+    return sized_semi_join(docs, ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", sets("text").alias("s"))
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union."""
+
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
@@ -251,8 +310,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
         return pd.Series(out, dtype=bool)
 
     need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    full = sized_semi_join(docs, need, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", sets("text").alias("s"))
-    full = written(full)
+    full = written(full_sets(need, docs, width))
     one = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
     one = one.join(full.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     return written(one.where(alike("sa", "sb")).select("a", "b"))
@@ -265,8 +323,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     buckets; a bucket's odd sketches are compared in blocks, and its maximum spanning forest of estimates is
     confirmed on full sets. What is confirmed makes components. A second forest joins the components of buckets
     that were too large for one block, by some documents of each; then every candidate pair that still lies in two
-    components is confirmed too, so that no link is lost which could change a component, and no group is expanded
-    into all its pairs. Texts without words are linked with nothing. Rows that share a doc_id count as documents
+    components is held against the full sets where the pair is found, so that no link is lost which could change a
+    component, only such links leave a task, and no group is expanded into all its pairs. Texts without words are linked with nothing. Rows that share a doc_id count as documents
     of their own with a common id; a null id is linked with nothing. Extra columns are not looked at.
     """
     small_batches(docs.sparkSession)
@@ -296,18 +354,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     # Forests within chunks.
     bucket = ["band", "value", "chunk"]
-    pairs = in_frames(labelled(None).join(members, "rep"), bucket, lambda frame: bucket_pairs(frame, True))
+    pairs = in_frames(labelled(None).join(members, "rep"), bucket, forests, FRAME)
     links = confirmed(written(pairs.distinct()), docs, width, percent)
     # Forests over some documents of each component, for buckets of more than one chunk.
     rows = open_buckets(labelled(links).where("chunks > 1"))
     turn = F.row_number().over(Window.partitionBy("band", "value", "chunk", "comp").orderBy(F.xxhash64("rep")))
     rows = rows.withColumn("turn", turn).where(F.col("turn") <= 8)
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("comp", "turn"), F.ceil(F.col("chunks") / 8).cast("int")))
-    pairs = in_frames(rows.join(members, "rep"), bucket, lambda frame: bucket_pairs(frame, True))
+    pairs = in_frames(rows.join(members, "rep"), bucket, forests, FRAME)
     links = written(links.unionByName(confirmed(written(pairs.distinct()), docs, width, percent)))
     # Everything that still lies in different components: what isn't in a bucket's largest one meets all others.
     rows = written(open_buckets(labelled(links)))
-    whole = in_frames(rows.where("chunks = 1").join(members, "rep"), bucket, lambda frame: bucket_pairs(frame, False))
+    full = full_sets(rows.select(F.col("rep").alias("doc_id")).distinct(), docs, width).withColumnRenamed("doc_id", "rep")
+    members = written(members.join(full, "rep"))
+    whole = in_frames(rows.where("chunks = 1").join(members, "rep"), bucket, joining(percent), FULL_FRAME)
     rows = rows.where("chunks > 1")
     sizes = rows.groupBy("band", "value", "comp").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("band", "value").agg(F.max_by("comp", F.struct("n", "comp")).alias("big"))
@@ -317,8 +377,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     right = right.select("band", "value", "ours", F.col("chunk").alias("theirs"), "rep", "comp", "minor", F.lit(False).alias("left"), F.lit(True).alias("right"))
     left = rows.where("minor").withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     left = left.select("band", "value", F.col("chunk").alias("ours"), "theirs", "rep", "comp", "minor", F.lit(True).alias("left"), F.lit(False).alias("right"))
-    pairs = in_frames(left.unionByName(right).join(members, "rep"), ["band", "value", "ours", "theirs"], crossing)
-    links = links.unionByName(confirmed(written(whole.unionByName(pairs).distinct()), docs, width, percent))
+    pairs = in_frames(left.unionByName(right).join(members, "rep"), ["band", "value", "ours", "theirs"], crossing(percent), FULL_FRAME)
+    links = links.unionByName(written(whole.unionByName(pairs)))
     parts = connected_components(links).withColumnRenamed("node", "rep")
     out = rep_of.join(parts, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = found.select("doc_id", "n_shingles").join(out, "doc_id", "left")
