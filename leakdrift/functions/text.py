@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,52 +19,50 @@ def let(value: Column, body) -> Column:  # noqa: ANN001
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def spans(text: Column, regex: str, group: int = 0) -> Column:
+def spans(text: Column, regex: str, group: int = 0, keep=None) -> Column:  # noqa: ANN001
     """All leftmost matches that don't overlap: value, byte span, 1-based line and code-point column.
 
-    With group=2 the regex is (before)(value)after, and value, span and place are the second group's.
-    Null texts and texts without match have an empty array. The gaps come from a split by the same regex, so that
-    the places are running sums; texts without a match cost one search.
+    With group=2 the regex is (before)(value)after, and value, span and place are the second group's. `keep` is a
+    condition on the value: only matches that it holds for are placed, which costs a pass over the text each. Null
+    texts and texts without match have an empty array and cost one search.
     """
+    pattern = F.lit(regex)
+    parts = {"gaps": F.split(text, regex, -1), "whole": F.regexp_extract_all(text, pattern, F.lit(0))}
+    if group:
+        parts |= {"lead": F.regexp_extract_all(text, pattern, F.lit(1)), "value": F.regexp_extract_all(text, pattern, F.lit(group))}
 
-    def moved(at: Column, piece: Column) -> Column:
-        lines = F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit("")))
-        tail = F.length(F.substring_index(piece, "\n", -1)) + 1
-        return F.struct(
-            (at["b"] + F.octet_length(piece)).cast("bigint").alias("b"),
-            (at["line"] + lines).cast("int").alias("line"),
-            F.when(lines > 0, tail).otherwise(at["col"] + F.length(piece)).cast("int").alias("col"),
-        )
-
-    def step(acc: Column, x: Column) -> Column:
-        def emit(s: Column) -> Column:
-            one = F.struct(
-                x["value"].alias("value"), s["b"].alias("start"), (s["b"] + F.octet_length(x["value"])).cast("bigint").alias("end"),
-                s["line"].alias("line"), s["col"].alias("col"),
-            )
-            return F.struct(moved(s, x["after"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-        return let(moved(acc["at"], x["before"]), emit)
-
-    whole = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    empty = F.lit("")
-    if group == 0:
-        rows = F.zip_with(F.split(text, regex, -1), whole, lambda g, v: F.struct(g.alias("before"), v.alias("value"), v.alias("after")))
-    else:
-        parts = F.arrays_zip(
-            F.split(text, regex, -1).alias("gap"), whole.alias("whole"),
-            F.regexp_extract_all(text, F.lit(regex), F.lit(1)).alias("lead"), F.regexp_extract_all(text, F.lit(regex), F.lit(group)).alias("value"),
-        )
-        rows = F.transform(parts, lambda x: F.struct(
-            F.concat(x["gap"], F.coalesce(x["lead"], empty)).alias("before"), x["value"].alias("value"),
-            F.substring(x["whole"], F.length(x["lead"]) + 1, F.length(x["whole"])).alias("after"),
-        ))
-    rows = F.filter(rows, lambda x: x["value"].isNotNull())
-    start = F.struct(
-        F.struct(F.lit(0).cast("bigint").alias("b"), F.lit(1).alias("line"), F.lit(1).alias("col")).alias("at"),
-        F.array().cast(SPAN).alias("out"),
-    )
-    return F.when(text.rlike(regex), F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    def placed(m: Column) -> Column:
+        values = m["value"] if group else m["whole"]
+
+        def one(i: Column) -> Column:
+            chars = F.length(F.array_join(F.slice(m["gaps"], 1, i + 1), "")) + F.length(F.array_join(F.slice(m["whole"], 1, i), ""))
+            if group:
+                chars = chars + F.length(F.coalesce(F.get(m["lead"], i), F.lit("")))
+            value = F.get(values, i)
+
+            def at(before: Column) -> Column:
+                start = F.octet_length(before).cast("bigint")
+                line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+                return F.struct(
+                    value.alias("value"), start.alias("start"), (start + F.octet_length(value)).cast("bigint").alias("end"),
+                    line.cast("int").alias("line"), (F.length(F.substring_index(before, "\n", -1)) + 1).cast("int").alias("col"),
+                )
+
+            return let(F.left(text, chars), at)
+
+        places = F.sequence(F.lit(0), F.size(values) - 1)
+        return F.transform(F.filter(places, lambda i: keep(F.get(values, i))) if keep else places, one)
+
+    found = let(F.struct(*[c.alias(k) for k, c in parts.items()]), placed).cast(SPAN)
+    return F.when(text.rlike(regex), found).otherwise(F.array().cast(SPAN))
+
+
+def first_matches(text: Column, low: Column, regex: str, needs: tuple[str, ...], group: int = 0, keep=None) -> Column:  # noqa: ANN001
+    """spans() of texts that hold one of the lower-case strings without which the regex can't match."""
+    found = spans(text, regex, group, keep)
+    if not needs:
+        return found
+    return F.when(reduce(lambda a, b: a | b, [low.contains(x) for x in needs]), found).otherwise(F.array().cast(SPAN))
 
 
 def entropy(value: Column) -> Column:
@@ -103,11 +102,53 @@ def natural_language(value: Column) -> Column:
     return count_parts(F.lower(value), L.COMMON_WORDS) >= 2
 
 
-def likely_secret(value: Column, shannon: Column, normal: Column, charset: Column) -> Column:
-    """The default thresholds, and neither prose, nor one kind of character, nor a common value."""
+@dataclass(frozen=True)
+class Thresholds:
+    """What a value must have at least to be a likely secret; longer or shorter ones in bytes aren't looked at."""
+
+    shortest: int = 8
+    longest: int = 1000
+    shannon: float = 3.5
+    normalized: float = 0.6
+    charset: int = 8
+
+
+# The three presets.
+DEFAULT = Thresholds()
+API_KEYS = Thresholds(10, 200, 4.0, 0.7, 10)
+TOKENS = Thresholds(20, 500, 4.5, 0.75, 16)
+
+
+def likely_secret(value: Column, shannon: Column, normal: Column, charset: Column, at: Thresholds = DEFAULT) -> Column:
+    """The thresholds, and neither prose, nor one kind of character, nor a common value."""
     single = value.rlike(r"\A([0-9]*|[A-Z]*|[a-z]*)\z")
     common = any_part(F.lower(value), L.NON_SECRETS)
-    return (shannon >= 3.5) & (normal >= 0.6) & (charset >= 8) & ~natural_language(value) & ~single & ~common
+    enough = (shannon >= at.shannon) & (normal >= at.normalized) & (charset >= at.charset)
+    return enough & ~natural_language(value) & ~single & ~common
+
+
+def entropy_confidence(value: Column, shannon: Column, normal: Column, charset: Column) -> Column:
+    """How sure the entropy alone makes of a value: by entropy, alphabet, length and classes, at most 1."""
+    n, k = F.octet_length(value), class_count(value)
+    sure = F.least(shannon / 6, F.lit(0.4)) + 0.3 * normal + F.least(charset / 62, F.lit(0.2))
+    sure = sure + F.when(n >= 20, 0.1).when(n >= 12, 0.05).otherwise(0.0) + F.when(k >= 3, 0.1).otherwise(0.0)
+    return F.least(F.lit(1.0), sure)
+
+
+def analyse(value: Column, at: Thresholds = DEFAULT) -> Column:
+    """(shannon, normalized, charset, likely, confidence) of a value; zeros and false outside the lengths and for null."""
+
+    def struct(h: Column, normal: Column, charset: Column, likely: Column, sure: Column) -> Column:
+        named = zip(("shannon", "normalized", "charset", "likely", "confidence"), (h, normal, charset, likely, sure), strict=True)
+        return F.struct(*[c.alias(k) for k, c in named])
+
+    def full(x: Column) -> Column:
+        normal = normalized_entropy(x["h"], x["n"])
+        return struct(x["h"], normal, x["n"], likely_secret(value, x["h"], normal, x["n"], at), entropy_confidence(value, x["h"], normal, x["n"]))
+
+    none = struct(F.lit(0.0), F.lit(0.0), F.lit(0), F.lit(False), F.lit(0.0))
+    measured = let(F.struct(entropy(value).alias("h"), charset_size(value).alias("n")), full)
+    return F.when(F.octet_length(value).between(at.shortest, at.longest), measured).otherwise(none)
 
 
 def sequential(value: Column) -> Column:
@@ -179,9 +220,11 @@ def composite(adjusted_base: Column, value: Column, shannon: Column, path: Colum
 
 
 def human_size(size: Column) -> Column:
+    """Bytes in the largest unit of 1024 that isn't under 1; ties of the one decimal go to the even digit."""
     out = F.concat(size.cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(size >= 1024**k, F.format_string(f"%.1f {unit}", size / float(1024**k))).otherwise(out)
+        part = F.bround(size.cast("decimal(38,0)") / F.lit(1024**k).cast("decimal(20,0)"), 1)
+        out = F.when(size >= 1024**k, F.concat(F.format_string("%.1f", part.cast("double")), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

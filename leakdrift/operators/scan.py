@@ -7,45 +7,56 @@ from pyspark.sql import functions as F
 
 from leakdrift.functions import library as L
 from leakdrift.functions import text as T
+from leakdrift.operators import rules as R
 
 FINDING = ["doc_id", "file_path", "value", "secret_type", "detector_name", "start_position", "end_position", "line_number", "column_number", "stage", "seq", "base_confidence"]
 
 
+TOKEN = r"[\p{IsAlphabetic}\p{N}\-_+/=]+"
+BASE64 = r"[A-Za-z0-9+/]{20,}={0,2}"
+
+
 def tagged(found: Column, seq: int, name: str) -> Column:
     """Spans with the number and name of the regex that found them."""
     return F.transform(found, lambda m: F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("name"), m.alias("m")))
 
 
-def located(docs: DataFrame, regexes: dict[str, str], group: int = 0) -> DataFrame:
-    """docs by all regexes to one row for each match: doc_id, file_path, seq (the regex's number), name, value, span, context.
-
-    One narrow projection; contexts (two lines before and after) are cut out before rows are made, so that
-    texts are not repeated for each match.
-    """
-    found = [tagged(T.spans(F.col("content"), r, group), k, n) for k, (n, r) in enumerate(regexes.items())]
-    rows = docs.select("doc_id", "file_path", "content", F.concat(*found).alias("found")).where(F.size("found") > 0)
-    lines = F.split("content", "\r?\n")
+def library_spans(patterns: list[L.SecretPattern], low: Column) -> Column:
+    """Tagged matches of all patterns in the column content, whose lower-case text is given."""
+    return F.concat(*[tagged(T.first_matches(F.col("content"), low, p.regex, p.needs), k, p.name) for k, p in enumerate(patterns)])
 
-    def with_context(x: Column) -> Column:
-        first = F.greatest(F.lit(1), x["m"]["line"] - 2)
-        near = F.slice(F.col("lines"), first, x["m"]["line"] + 3 - first)
-        return F.struct(x["seq"].alias("seq"), x["name"].alias("name"), x["m"].alias("m"), F.array_join(near, " ").alias("context"))
 
-    rows = rows.select("doc_id", "file_path", "found", lines.alias("lines"))
-    rows = rows.select("doc_id", "file_path", F.explode(F.transform("found", with_context)).alias("x"))
+def located(rows: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with an array `found` of tagged spans to one row each, with its place and its context, two lines before and after."""
+    rows = rows.where(F.size("found") > 0).select("doc_id", "file_path", "content", F.explode("found").alias("x"))
+    line = F.col("x.m.line")
+    first = F.greatest(F.lit(1), line - 2)
+    context = F.array_join(F.slice(F.split("content", "\r?\n"), first, line + 3 - first), " ")
     return rows.select(
         "doc_id", "file_path", "x.seq", "x.name", "x.m.value", F.col("x.m.start").alias("start_position"), F.col("x.m.end").alias("end_position"),
-        F.col("x.m.line").alias("line_number"), F.col("x.m.col").alias("column_number"), "x.context",
+        F.col("x.m.line").alias("line_number"), F.col("x.m.col").alias("column_number"), context.alias("context"), *[f"x.{c}" for c in more],
     )
 
 
-def pattern_matches(docs: DataFrame, patterns: list[L.SecretPattern] = L.PATTERNS) -> DataFrame:
-    """Every match of every pattern, overlapping ones of different patterns too, with the pattern's type and confidence."""
-    rows = located(docs, {p.name: p.regex for p in patterns})
+def typed(rows: DataFrame, patterns: list[L.SecretPattern]) -> DataFrame:
     types = F.array(*[F.struct(F.lit(p.secret_type).alias("t"), F.lit(p.confidence).alias("c")) for p in patterns])
     return rows.withColumn("p", F.get(types, F.col("seq"))).select("*", F.col("p.t").alias("secret_type"), F.col("p.c").alias("base_confidence")).drop("p")
 
 
+def with_low(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "file_path", "content", F.lower("content").alias("low"))
+
+
+def pattern_matches(docs: DataFrame, patterns: list[L.SecretPattern] = L.PATTERNS) -> DataFrame:
+    """Every match of every pattern, overlapping ones of different patterns too, with the pattern's type and confidence."""
+    rows = with_low(docs).withColumn("found", library_spans(patterns, F.col("low")))
+    return typed(located(rows), patterns)
+
+
+def patterns_of_type(secret_type: str, patterns: list[L.SecretPattern] = L.PATTERNS) -> list[L.SecretPattern]:
+    return [p for p in patterns if p.secret_type == secret_type]
+
+
 def scored(rows: DataFrame) -> DataFrame:
     """Adds entropy, composite confidence, level and severity to matches that have a context."""
     rows = rows.withColumn("entropy_score", F.when(F.octet_length("value").between(8, 1000), T.entropy(F.col("value"))).otherwise(0.0))
@@ -54,35 +65,80 @@ def scored(rows: DataFrame) -> DataFrame:
     return rows.withColumn("confidence_level", T.level(F.col("confidence"))).drop("adjusted")
 
 
-def entropy_candidates(docs: DataFrame) -> DataFrame:
-    """Runs of letters, digits and -_+/= of 8 bytes or more that look like secrets by their entropy."""
-    rows = located(docs, {"entropy": r"[\p{IsAlphabetic}\p{N}\-_+/=]+"}).where(F.octet_length("value").between(8, 1000))
-    rows = rows.withColumn("charset", T.charset_size(F.col("value"))).where("charset >= 10")
-    rows = rows.withColumn("h", T.entropy(F.col("value"))).where("h >= 3.5")
-    v = F.col("value")
-    good = T.likely_secret(v, F.col("h"), T.normalized_entropy(F.col("h"), F.col("charset")), F.col("charset"))
-    rows = rows.where(good & ~T.false_positive(v) & ((F.col("h") <= 5.5) | v.rlike(r"\A[ -~]*\z")))
-    kind = (
+def worth_a_look(value: Column) -> Column:
+    """What an entropy candidate must have at least; the cheap conditions first, so that few values are measured."""
+    single = value.rlike(r"\A([0-9]*|[A-Z]*|[a-z]*)\z")
+    return F.octet_length(value).between(8, 1000) & ~single & (F.length(value) >= 10) & (T.charset_size(value) >= 10)
+
+
+def overlaps(m: Column, taken: Column) -> Column:
+    s, e = m["start"], m["end"]
+    return F.exists(taken, lambda x: ((s >= x["start"]) & (s < x["end"])) | ((e > x["start"]) & (e <= x["end"])))
+
+
+def base64_shaped(value: Column) -> Column:
+    n = F.octet_length(value)
+    return (n % 4 == 0) | ((n % 4 == 2) & value.endswith("==")) | ((n % 4 == 3) & value.endswith("="))
+
+
+def entropy_kind(v: Column, charset: Column) -> Column:
+    return (
         F.when(v.startswith("AKIA"), "aws_access_key").when(v.startswith("sk_") | v.startswith("pk_"), "api_key")
         .when(v.rlike(r"\A[0-9a-fA-F]{40}\z"), "sha1_hash_or_token").when(v.rlike(r"\A[0-9a-fA-F]{64}\z"), "sha256_hash_or_token")
-        .when(T.class_count(v) == 4, "high_entropy_password").when(F.col("charset") > 50, "high_entropy_token").otherwise("high_entropy_string")
+        .when(T.class_count(v) == 4, "high_entropy_password").when(charset > 50, "high_entropy_token").otherwise("high_entropy_string")
     )
-    n = F.octet_length(v)
-    sure = F.least(F.col("h") / 6, F.lit(0.4)) + 0.3 * T.normalized_entropy(F.col("h"), F.col("charset")) + F.least(F.col("charset") / 62, F.lit(0.2))
-    sure = sure + F.when(n >= 20, 0.1).when(n >= 12, 0.05).otherwise(0.0) + F.when(T.class_count(v) >= 3, 0.1).otherwise(0.0)
-    return rows.select("*", kind.alias("secret_type"), F.least(F.lit(1.0), sure).alias("base_confidence")).drop("h", "charset")
 
 
-def contextual(docs: DataFrame) -> DataFrame:
-    """Values that follow a keyword as `password`, with the keyword's own confidence."""
-    regexes = {k: rf"""(?i)({k}[:\s=]+["']?)({r})["']?""" for k, r in L.CONTEXTUAL.items()}
-    rows, v, k = located(docs, regexes, group=2), F.col("value"), F.col("name")
+def measured(rows: DataFrame) -> DataFrame:
+    """Entropy candidates that hold: runs of letters, digits and -_+/= that look like secrets (stage 2), base64 runs of
+    which the entropy alone is sure enough (stage 3)."""
+    v = F.col("value")
+    rows = rows.withColumn("e", F.explode(F.array(T.analyse(v))))
+    token = F.col("e.likely") & ~T.false_positive(v) & (F.col("e.charset") >= 10) & ((F.col("e.shannon") <= 5.5) | v.rlike(r"\A[ -~]*\z"))
+    rows = rows.where(F.when(F.col("stage") == 2, token).otherwise(F.col("e.confidence") > 0.6))
+    return rows.select("*", entropy_kind(v, F.col("e.charset")).alias("secret_type"), F.col("e.confidence").alias("base_confidence")).drop("e")
+
+
+def staged(found: Column, stage: int) -> Column:
+    """Tagged spans with the number of the stage that found them."""
+    return F.transform(found, lambda x: F.struct(x["seq"].alias("seq"), x["name"].alias("name"), x["m"].alias("m"), F.lit(stage).alias("stage")))
+
+
+def entropy_spans(content: Column, taken: Column) -> Column:
+    """Tagged and staged spans of tokens and base64 runs that overlap none of the taken spans."""
+    token = F.filter(T.spans(content, TOKEN, keep=worth_a_look), lambda m: ~overlaps(m, taken))
+    run = F.filter(T.spans(content, BASE64, keep=base64_shaped), lambda m: ~overlaps(m, taken))
+    return F.concat(staged(tagged(token, 0, "entropy"), 2), staged(tagged(run, 0, "base64"), 3))
+
+
+def entropy_candidates(docs: DataFrame) -> DataFrame:
+    """All likely secrets by entropy and base64 runs of the texts, whatever patterns find."""
+    nothing = F.array().cast(T.SPAN)
+    return measured(located(docs.withColumn("found", entropy_spans(F.col("content"), nothing)), ("stage",)))
+
+
+CONTEXTUAL = {k: rf"""(?i)({k}[:\s=]+["']?)({r})["']?""" for k, r in L.CONTEXTUAL.items()}
+
+
+def contextual_spans(content: Column, low: Column) -> Column:
+    return F.concat(*[tagged(T.first_matches(content, low, r, (k,), group=2), i, k) for i, (k, r) in enumerate(CONTEXTUAL.items())])
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """Values after keywords that hold, with the keyword's own confidence."""
+    v, k = F.col("value"), F.col("name")
     n, classes = F.octet_length("value"), T.class_count(F.col("value"))
     good = ~T.any_part(F.lower(v), L.HELP_WORDS) & ((k != "password") | (classes >= 2))
     good = good & (~k.isin("api_key", "token") | (n >= 20)) & ((k != "secret") | (n >= 12))
     sure = 0.6 + F.when(k.isin("password", "private_key"), 0.15).when(k.isin("api_key", "token", "secret"), 0.1).otherwise(0.0)
     sure = sure + classes * 0.05 + F.when(n > 30, 0.1).otherwise(0.0) + F.when(T.entropy(v) > 4.0, 0.1).otherwise(0.0)
-    return rows.where(good).select("*", F.concat(F.lit("contextual_"), k).alias("secret_type"), F.least(F.lit(0.95), sure).alias("base_confidence"))
+    return rows.where(good).select("*", F.lit("contextual_pattern").alias("secret_type"), F.least(F.lit(0.95), sure).alias("base_confidence"))
+
+
+def contextual(docs: DataFrame) -> DataFrame:
+    """Values that follow a keyword as `password`; `name` is the keyword."""
+    rows = with_low(docs)
+    return judged(located(rows.withColumn("found", contextual_spans(F.col("content"), F.col("low")))))
 
 
 def first_of_span(rows: DataFrame) -> DataFrame:
@@ -91,35 +147,56 @@ def first_of_span(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def scan_content(docs: DataFrame) -> DataFrame:
-    """Patterns, then entropy where no found span overlaps, then keywords; one finding for each span.
+def scan_content(docs: DataFrame, patterns: list[L.SecretPattern] = L.PATTERNS, rules: list | None = None) -> DataFrame:
+    """Patterns, rules, entropy and base64 where neither has a span, then keywords; one finding for each span.
 
-    Base64 candidates (C09) and custom rules, the other stages of a scan, are not built: what only they find is missing.
-    Texts that are null have no findings; documents with the same doc_id are one. No Python worker runs.
+    All stages of a text are arrays of one row, so that nothing is joined and only findings are shuffled, to leave one
+    for each span. Texts that are null or empty have no findings; spans of documents with the same doc_id are one;
+    empty tables have none; extra columns are not looked at. No Python worker runs.
     """
-    patterns = scored(pattern_matches(docs)).withColumn("stage", F.lit(0))
-    taken = patterns.groupBy("doc_id").agg(F.collect_set(F.struct("start_position", "end_position")).alias("spans"))
-    free = entropy_candidates(docs).join(taken, "doc_id", "left")
-    s, e = F.col("start_position"), F.col("end_position")
-    hit = F.exists("spans", lambda x: ((s >= x["start_position"]) & (s < x["end_position"])) | ((e > x["start_position"]) & (e <= x["end_position"])))
-    free = free.where(~F.coalesce(hit, F.lit(False))).drop("spans")
-    free = scored(free).withColumn("stage", F.lit(2))
-    near = contextual(docs).withColumn("entropy_score", T.entropy(F.col("value")))
-    near = near.withColumn("confidence", T.rounded(F.col("base_confidence"))).withColumn("confidence_level", T.level(F.col("confidence"))).withColumn("stage", F.lit(4))
-    found = first_of_span(patterns.unionByName(free).unionByName(near))
+    rows = with_low(docs).withColumn("p", library_spans(patterns, F.col("low")))
+    rows = rows.withColumn("r", R.rule_spans(rules or [], F.col("content"), F.col("file_path")))
+    taken = F.concat(F.transform("p", lambda x: x["m"]), F.transform("r", lambda x: x["m"]))
+    rows = rows.withColumn("e", entropy_spans(F.col("content"), taken)).withColumn("k", contextual_spans(F.col("content"), F.col("low")))
+    both = located(rows.withColumn("found", F.concat(staged(F.col("p"), 0), F.col("e"), staged(F.col("k"), 4))), ("stage",))
+    columns = [*both.columns, "secret_type", "base_confidence"]
+    found = scored(typed(both.where("stage = 0"), patterns).select(*columns))
+    found = found.unionByName(scored(measured(both.where("stage in (2, 3)")).select(*columns)))
+    near = judged(both.where("stage = 4")).select(*columns).withColumn("entropy_score", T.entropy(F.col("value")))
+    near = near.withColumn("confidence", T.rounded(F.col("base_confidence"))).withColumn("confidence_level", T.level(F.col("confidence")))
+    found = found.unionByName(near)
+    if rules:
+        ruled = located(rows.withColumn("found", F.col("r")), ("confidence",)).withColumnRenamed("confidence", "base_confidence")
+        ruled = ruled.withColumn("stage", F.lit(1)).withColumn("secret_type", F.lit("custom_rule"))
+        found = found.unionByName(scored(ruled.select(*columns)))
+    found = first_of_span(found)
     return found.withColumn("is_truncated", F.octet_length("value") > 50).withColumn("value", T.truncated(F.col("value"))).withColumn("severity", T.severity(F.col("secret_type")))
 
 
-def post_process(found: DataFrame, least: float = 0.3, low: bool = False, most: int = 0) -> DataFrame:
-    """Minimum confidence, ignored values, order by confidence, the first `most` (0: all), equal neighbours once."""
+def post_process(found: DataFrame, least: float = 0.3, low: bool = False, most: int = 0, parts: int = 32) -> DataFrame:
+    """Minimum confidence, ignored values, order by confidence, the first `most` (0: all), equal neighbours once.
+
+    A finding goes where the one before it in the whole order has the same path and value, whatever `most` is. Findings
+    are range-sorted; each is held against the one before it in its range, and a range's first against the last of the
+    ranges before, of which there is one row each: no task sees all findings. Ties are broken by document and place.
+    """
     rows = found.where(F.col("confidence") >= (least if low else max(least, 0.5)))
     rows = rows.where(~F.col("value").rlike("|".join(L.IGNORED_VALUES)))
-    if not most:
-        return rows.dropDuplicates(["file_path", "value"])
-    order = [F.desc("confidence"), "doc_id", "start_position", "end_position"]
-    rows = rows.orderBy(*order).limit(most)
-    before = F.lag(F.struct("file_path", "value")).over(Window.orderBy(*order))
-    return rows.withColumn("_b", before).where(~F.col("_b").eqNullSafe(F.struct("file_path", "value"))).drop("_b")
+    key = F.struct((-F.col("confidence")).alias("c"), "doc_id", "start_position", "end_position", "secret_type")
+    rows = rows.withColumn("_k", key).withColumn("_v", F.struct("file_path", "value"))
+    if most:
+        rows = rows.orderBy("_k").limit(most)
+        before = F.lag("_v").over(Window.orderBy("_k"))
+        return rows.withColumn("_b", before).where(~F.col("_b").eqNullSafe(F.col("_v"))).drop("_k", "_v", "_b")
+    cuts = F.sort_array(F.array_distinct(F.percentile_approx("confidence", [i / parts for i in range(1, parts)], 1000)))
+    cut = rows.agg(F.coalesce(cuts, F.array().cast("array<double>")).alias("_cuts"))
+    # One row of a fixed number of cuts is broadcast. Equal confidences share a range.
+    rows = rows.crossJoin(F.broadcast(cut)).withColumn("_r", F.size(F.filter("_cuts", lambda c: c > F.col("confidence")))).drop("_cuts")
+    ends = rows.groupBy("_r").agg(F.max_by("_v", "_k").alias("_e"))
+    ends = ends.select((F.lead("_r").over(Window.orderBy("_r"))).alias("_r"), "_e")
+    rows = rows.withColumn("_b", F.lag("_v").over(Window.partitionBy("_r").orderBy("_k")))
+    rows = rows.join(F.broadcast(ends), "_r", "left").withColumn("_b", F.coalesce("_b", "_e"))
+    return rows.where(~F.col("_b").eqNullSafe(F.col("_v"))).drop("_k", "_v", "_b", "_r", "_e")
 
 
 def hook_lines(docs: DataFrame) -> DataFrame:
