@@ -59,3 +59,17 @@ def durations(log: DataFrame) -> DataFrame:
         F.round((F.sum(F.col("duration_ms").cast("decimal(28,6)")) / F.count("*")).cast("double"), 4).alias("avg_ms"),
         F.max(key)["event_id"].alias("slowest"), F.min(key)["event_id"].alias("fastest"),
     )
+
+
+def byte_totals(log: DataFrame) -> DataFrame:
+    """Bytes of successful encryptions and decryptions, and successful operations: one row, zeros for an empty log."""
+    good = F.col("success")
+    size = lambda op: F.coalesce(F.sum(F.when(good & (F.col("op_type") == op), F.col("size_bytes"))), F.lit(0)).cast("bigint")
+    return log.agg(size("Encrypt").alias("bytes_encrypted"), size("Decrypt").alias("bytes_decrypted"), F.count_if(good).alias("n_good"))
+
+
+def throughput_map(found: DataFrame, prefix: str = "crypto_") -> DataFrame:
+    """Rows of metrics() to one row with a map of operations to operations a second, of a second in all or more."""
+    some = found.where(F.floor(F.col("total_ms") / 1000) >= 1)
+    pair = F.struct(F.concat(F.lit(prefix), "op_type").alias("key"), "throughput")
+    return some.agg(F.map_from_entries(F.array_sort(F.collect_list(pair))).alias("throughput"))

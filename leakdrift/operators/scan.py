@@ -28,7 +28,8 @@ def library_spans(patterns: list[L.SecretPattern], low: Column) -> Column:
 
 def located(rows: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Rows with an array `found` of tagged spans to one row each, with its place and its context, two lines before and after."""
-    rows = rows.where(F.size("found") > 0).select("doc_id", "file_path", "content", F.explode("found").alias("x"))
+    # Of an outer generator no condition on `found` is derived, which would have all spans worked out once more.
+    rows = rows.select("doc_id", "file_path", "content", F.explode_outer("found").alias("x")).where("x is not null")
     line = F.col("x.m.line")
     first = F.greatest(F.lit(1), line - 2)
     context = F.array_join(F.slice(F.split("content", "\r?\n"), first, line + 3 - first), " ")
@@ -59,10 +60,13 @@ def patterns_of_type(secret_type: str, patterns: list[L.SecretPattern] = L.PATTE
 
 def scored(rows: DataFrame) -> DataFrame:
     """Adds entropy, composite confidence, level and severity to matches that have a context."""
-    rows = rows.withColumn("entropy_score", F.when(F.octet_length("value").between(8, 1000), T.entropy(F.col("value"))).otherwise(0.0))
-    rows = rows.withColumn("adjusted", T.adjusted(F.col("base_confidence"), F.col("value"), F.col("context")))
-    rows = rows.withColumn("confidence", T.rounded(T.composite(F.col("adjusted"), F.col("value"), F.col("entropy_score"), F.col("file_path"))))
-    return rows.withColumn("confidence_level", T.level(F.col("confidence"))).drop("adjusted")
+    v = F.col("value")
+    entropy = F.when(F.octet_length("value").between(8, 1000), T.entropy(v)).otherwise(0.0)
+    # Generators keep scores from being worked out again wherever they are used.
+    rows = rows.select("*", F.inline_outer(F.array(F.struct(entropy.alias("entropy_score"), T.adjusted(F.col("base_confidence"), v, F.col("context")).alias("adjusted")))))
+    score = T.rounded(T.composite(F.col("adjusted"), v, F.col("entropy_score"), F.col("file_path")))
+    rows = rows.select("*", F.explode_outer(F.array(score)).alias("confidence")).drop("adjusted")
+    return rows.withColumn("confidence_level", T.level(F.col("confidence")))
 
 
 def worth_a_look(value: Column) -> Column:
@@ -89,32 +93,37 @@ def entropy_kind(v: Column, charset: Column) -> Column:
     )
 
 
-def measured(rows: DataFrame) -> DataFrame:
-    """Entropy candidates that hold: runs of letters, digits and -_+/= that look like secrets (stage 2), base64 runs of
-    which the entropy alone is sure enough (stage 3)."""
+def entropy_holds() -> Column:
+    """Which entropy candidates of stages 2 and 3 hold, by their column e: runs that look like secrets, base64 runs of
+    which the entropy alone is sure enough."""
     v = F.col("value")
-    rows = rows.withColumn("e", F.explode(F.array(T.analyse(v))))
     token = F.col("e.likely") & ~T.false_positive(v) & (F.col("e.charset") >= 10) & ((F.col("e.shannon") <= 5.5) | v.rlike(r"\A[ -~]*\z"))
-    rows = rows.where(F.when(F.col("stage") == 2, token).otherwise(F.col("e.confidence") > 0.6))
-    return rows.select("*", entropy_kind(v, F.col("e.charset")).alias("secret_type"), F.col("e.confidence").alias("base_confidence")).drop("e")
+    return F.when(F.col("stage") == 2, token).otherwise(F.col("e.confidence") > 0.6)
 
 
 def staged(found: Column, stage: int) -> Column:
-    """Tagged spans with the number of the stage that found them."""
-    return F.transform(found, lambda x: F.struct(x["seq"].alias("seq"), x["name"].alias("name"), x["m"].alias("m"), F.lit(stage).alias("stage")))
+    """Tagged spans with the number of the stage that found them, and a confidence where they bring their own."""
+    sure = (lambda x: x["confidence"]) if stage == 1 else (lambda x: F.lit(None).cast("double"))
+    return F.transform(found, lambda x: F.struct(x["seq"].alias("seq"), x["name"].alias("name"), x["m"].alias("m"), F.lit(stage).alias("stage"), sure(x).alias("own")))
 
 
 def entropy_spans(content: Column, taken: Column) -> Column:
     """Tagged and staged spans of tokens and base64 runs that overlap none of the taken spans."""
-    token = F.filter(T.spans(content, TOKEN, keep=worth_a_look), lambda m: ~overlaps(m, taken))
-    run = F.filter(T.spans(content, BASE64, keep=base64_shaped), lambda m: ~overlaps(m, taken))
+
+    def free(found: Column) -> Column:
+        return T.let(taken, lambda t: F.filter(found, lambda m: ~overlaps(m, t)))
+
+    token = free(T.spans(content, TOKEN, keep=worth_a_look))
+    run = free(T.spans(content, BASE64, keep=base64_shaped))
     return F.concat(staged(tagged(token, 0, "entropy"), 2), staged(tagged(run, 0, "base64"), 3))
 
 
 def entropy_candidates(docs: DataFrame) -> DataFrame:
-    """All likely secrets by entropy and base64 runs of the texts, whatever patterns find."""
-    nothing = F.array().cast(T.SPAN)
-    return measured(located(docs.withColumn("found", entropy_spans(F.col("content"), nothing)), ("stage",)))
+    """All likely secrets by entropy (stage 2) and base64 runs (stage 3) of the texts, whatever patterns find."""
+    rows = located(docs.withColumn("found", entropy_spans(F.col("content"), F.array().cast(T.SPAN))), ("stage",))
+    rows = rows.withColumn("e", F.explode_outer(F.array(T.analyse(F.col("value"))))).where(entropy_holds())
+    kind = entropy_kind(F.col("value"), F.col("e.charset"))
+    return rows.select("*", kind.alias("secret_type"), F.col("e.confidence").alias("base_confidence")).drop("e")
 
 
 CONTEXTUAL = {k: rf"""(?i)({k}[:\s=]+["']?)({r})["']?""" for k, r in L.CONTEXTUAL.items()}
@@ -124,21 +133,25 @@ def contextual_spans(content: Column, low: Column) -> Column:
     return F.concat(*[tagged(T.first_matches(content, low, r, (k,), group=2), i, k) for i, (k, r) in enumerate(CONTEXTUAL.items())])
 
 
-def judged(rows: DataFrame) -> DataFrame:
-    """Values after keywords that hold, with the keyword's own confidence."""
+def contextual_holds() -> Column:
+    v, k, n = F.col("value"), F.col("name"), F.octet_length("value")
+    good = ~T.any_part(F.lower(v), L.HELP_WORDS) & ((k != "password") | (T.class_count(v) >= 2))
+    return good & (~k.isin("api_key", "token") | (n >= 20)) & ((k != "secret") | (n >= 12))
+
+
+def contextual_confidence() -> Column:
+    """The confidence of a value after a keyword, which is final."""
     v, k = F.col("value"), F.col("name")
-    n, classes = F.octet_length("value"), T.class_count(F.col("value"))
-    good = ~T.any_part(F.lower(v), L.HELP_WORDS) & ((k != "password") | (classes >= 2))
-    good = good & (~k.isin("api_key", "token") | (n >= 20)) & ((k != "secret") | (n >= 12))
     sure = 0.6 + F.when(k.isin("password", "private_key"), 0.15).when(k.isin("api_key", "token", "secret"), 0.1).otherwise(0.0)
-    sure = sure + classes * 0.05 + F.when(n > 30, 0.1).otherwise(0.0) + F.when(T.entropy(v) > 4.0, 0.1).otherwise(0.0)
-    return rows.where(good).select("*", F.lit("contextual_pattern").alias("secret_type"), F.least(F.lit(0.95), sure).alias("base_confidence"))
+    sure = sure + T.class_count(v) * 0.05 + F.when(F.octet_length(v) > 30, 0.1).otherwise(0.0) + F.when(T.entropy(v) > 4.0, 0.1).otherwise(0.0)
+    return F.least(F.lit(0.95), sure)
 
 
 def contextual(docs: DataFrame) -> DataFrame:
     """Values that follow a keyword as `password`; `name` is the keyword."""
     rows = with_low(docs)
-    return judged(located(rows.withColumn("found", contextual_spans(F.col("content"), F.col("low")))))
+    rows = located(rows.withColumn("found", contextual_spans(F.col("content"), F.col("low")))).where(contextual_holds())
+    return rows.select("*", F.lit("contextual_pattern").alias("secret_type"), contextual_confidence().alias("base_confidence"))
 
 
 def first_of_span(rows: DataFrame) -> DataFrame:
@@ -154,21 +167,25 @@ def scan_content(docs: DataFrame, patterns: list[L.SecretPattern] = L.PATTERNS,
     for each span. Texts that are null or empty have no findings; spans of documents with the same doc_id are one;
     empty tables have none; extra columns are not looked at. No Python worker runs.
     """
-    rows = with_low(docs).withColumn("p", library_spans(patterns, F.col("low")))
-    rows = rows.withColumn("r", R.rule_spans(rules or [], F.col("content"), F.col("file_path")))
+    content, low = F.col("content"), F.col("low")
+    own = F.struct(library_spans(patterns, low).alias("p"), R.rule_spans(rules or [], content, F.col("file_path")).alias("r"), contextual_spans(content, low).alias("k"))
+    rows = with_low(docs).select("doc_id", "file_path", "content", F.inline_outer(F.array(own)))
     taken = F.concat(F.transform("p", lambda x: x["m"]), F.transform("r", lambda x: x["m"]))
-    rows = rows.withColumn("e", entropy_spans(F.col("content"), taken)).withColumn("k", contextual_spans(F.col("content"), F.col("low")))
-    both = located(rows.withColumn("found", F.concat(staged(F.col("p"), 0), F.col("e"), staged(F.col("k"), 4))), ("stage",))
-    columns = [*both.columns, "secret_type", "base_confidence"]
-    found = scored(typed(both.where("stage = 0"), patterns).select(*columns))
-    found = found.unionByName(scored(measured(both.where("stage in (2, 3)")).select(*columns)))
-    near = judged(both.where("stage = 4")).select(*columns).withColumn("entropy_score", T.entropy(F.col("value")))
-    near = near.withColumn("confidence", T.rounded(F.col("base_confidence"))).withColumn("confidence_level", T.level(F.col("confidence")))
-    found = found.unionByName(near)
-    if rules:
-        ruled = located(rows.withColumn("found", F.col("r")), ("confidence",)).withColumnRenamed("confidence", "base_confidence")
-        ruled = ruled.withColumn("stage", F.lit(1)).withColumn("secret_type", F.lit("custom_rule"))
-        found = found.unionByName(scored(ruled.select(*columns)))
+    rows = rows.withColumn("e", entropy_spans(content, taken))
+    every = F.concat(staged(F.col("p"), 0), staged(F.col("r"), 1), F.col("e"), staged(F.col("k"), 4))
+    found = located(rows.withColumn("found", every), ("stage", "own"))
+    # A generator keeps a value's measures from being repeated wherever they are used.
+    stage, v = F.col("stage"), F.col("value")
+    known = F.get(F.array(*[F.struct(F.lit(p.secret_type).alias("t"), F.lit(p.confidence).alias("c")) for p in patterns]), F.col("seq"))
+    found = found.select("*", F.inline_outer(F.array(F.struct(T.analyse(v).alias("e"), known.alias("p")))))
+    found = found.where(F.when(stage.isin(2, 3), entropy_holds()).when(stage == 4, contextual_holds()).otherwise(True))
+    kind = F.when(stage == 0, F.col("p.t")).when(stage == 1, "custom_rule").when(stage == 4, "contextual_pattern").otherwise(entropy_kind(v, F.col("e.charset")))
+    sure = F.when(stage == 0, F.col("p.c")).when(stage == 1, F.col("own")).when(stage == 4, contextual_confidence()).otherwise(F.col("e.confidence"))
+    found = found.select("*", F.inline_outer(F.array(F.struct(kind.alias("secret_type"), sure.alias("base_confidence"))))).drop("e", "p", "own")
+    found = scored(found)
+    # What stands after a keyword has a confidence of its own.
+    found = found.withColumn("confidence", F.when(stage == 4, T.rounded(F.col("base_confidence"))).otherwise(F.col("confidence")))
+    found = found.withColumn("confidence_level", T.level(F.col("confidence")))
     found = first_of_span(found)
     return found.withColumn("is_truncated", F.octet_length("value") > 50).withColumn("value", T.truncated(F.col("value"))).withColumn("severity", T.severity(F.col("secret_type")))
 
@@ -213,3 +230,43 @@ def content_warnings(docs: DataFrame) -> DataFrame:
     """Texts with at least one warning, and the warnings."""
     out = F.array_compact(F.array(*[F.when(F.col("content").rlike(r), F.lit(n)) for n, r in L.WARNINGS.items()]))
     return docs.select("doc_id", "file_path", out.alias("w")).where(F.size("w") > 0).select("doc_id", "file_path", F.array_join("w", "; ").alias("warnings"), F.size("w").alias("n_warnings"))
+
+
+def by_type(found: DataFrame, secret_type: str) -> DataFrame:
+    return found.where(F.col("secret_type") == secret_type)
+
+
+def is_valid_finding() -> Column:
+    """Access keys are taken for valid; of other types those of a confidence over 0.8."""
+    return F.col("secret_type").isin("AWS Access Key", "GitHub Token") | (F.col("confidence") > 0.8)
+
+
+def mark_ignored(found: DataFrame, suppressed: DataFrame) -> DataFrame:
+    """found with is_ignored: whether (file_path, value) is in the table of suppressed ones, however often."""
+    keys = suppressed.select("file_path", "value").distinct().withColumn("_s", F.lit(True))
+    return found.join(keys, ["file_path", "value"], "left").withColumn("is_ignored", F.coalesce("_s", F.lit(False))).drop("_s")
+
+
+def percent(value: Column, digits: int) -> Column:
+    return F.format_string(f"%.{digits}f", F.bround((value * 100).cast("decimal(20,9)"), digits).cast("double"))
+
+
+def summary() -> Column:
+    """One line that says what was found where."""
+    return F.concat(
+        F.col("secret_type"), F.lit(" in "), F.col("file_path"), F.lit(" (line "), F.col("line_number").cast("string"), F.lit(", confidence: "),
+        percent(F.col("confidence"), 1), F.lit("%)"),
+    )
+
+
+def csv_rows(found: DataFrame) -> DataFrame:
+    """The report's columns as text: File, Type, Line, Confidence (of 100, two digits), Value. Writers quote what needs it."""
+    return found.select(
+        F.col("file_path").alias("File"), F.col("secret_type").alias("Type"), F.col("line_number").cast("string").alias("Line"),
+        percent(F.col("confidence"), 2).alias("Confidence"), F.col("value").alias("Value"),
+    )
+
+
+def json_rows(found: DataFrame) -> DataFrame:
+    """One JSON object for each finding."""
+    return found.select("doc_id", F.to_json(F.struct(*[c for c in found.columns if c != "doc_id"])).alias("finding"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from leakdrift.functions import library as L
+from leakdrift.operators.rules import Every, Files, Keyword, Not, Regex, Rule
 from leakdrift.operators.team import MATRIX, ROLES
 from leakdrift.sources.corpus import CORPUS
 
@@ -69,7 +70,9 @@ SKIP = (
     + " ".join(f"when contains(lower(file_path), {q(w)}) then {q('Path contains excluded component: ' + w)}" for w in L.EXCLUDED_PARTS)
     + " end"
 )
-HOOKS = matches("(select doc_id, '' as file_path, content from (select doc_id, unnest(string_split(content, chr(10))) as content from c))", list(L.HOOK_PATTERNS.values()))
+# The line's number goes where the path of a file stands.
+HOOK_SOURCE = "(select doc_id, cast(generate_subscripts(string_split(content, chr(10)), 1) as int) as file_path, unnest(string_split(content, chr(10))) as content from c)"
+HOOKS = matches(HOOK_SOURCE, list(L.HOOK_PATTERNS.values()))
 LOG = """with o as (select event_id, ts, case event_type when 'view' then 'Read' when 'click' then 'Write' when 'signup' then 'Decrypt' else 'Encrypt' end as op_type,
  user_id as service, value * 100 as duration_ms, event_type <> 'error' as success from events)"""
 MEMBERS = f"select s_suppkey as member, [{', '.join(map(q, ROLES))}][s_suppkey % 4 + 1] as role, s_acctbal >= 0 as active from supplier"
@@ -77,9 +80,73 @@ MAY = " or ".join(f"(role = {q(r)} and operation in {any_of(o)})" for r, o in MA
 WARN = "array_to_string(list_filter([" + ", ".join(f"case when regexp_matches(content, {q(r)}) then {q(n)} end" for n, r in L.WARNINGS.items()) + "], lambda x: x is not null), '; ')"
 TOKENS = "select distinct value from (select unnest(string_split(text, ' ')) as value from documents) where length(value) >= 8"
 
+#: Rules of each kind that the query of the rules runs; the SQL below says the same.
+RULES = [
+    Rule("aws", Regex("akia[0-9a-z]{16}", case_sensitive=False), 0.9),
+    Rule("words", Keyword(("password", "token"), 10), 0.7),
+    Rule("both", Every((Regex("secret"), Regex("[0-9]{6}"))), 0.6),
+    Rule("clean", Not((Regex("(?i)key|password|token|secret"),)), 0.5),
+    Rule("files", Files((".env", "src/*.rs"), Regex("=[A-Za-z0-9]{8}")), 0.8),
+    Rule("off", Regex("a"), enabled=False),
+]
+
+
+def of_rule(rule: str, kind: str, sure: float, regex: str, where: str = "true") -> str:
+    found = f"(with {matches('c', [regex])} select * from m)"
+    return f"select doc_id, {q(rule)} as rule_id, {q(kind)} as match_type, value as text, start_position, end_position, cast({sure} as double) as confidence from {found} z where {where}"
+
+
+def of_word(rule: str, word: str, radius: int, sure: float) -> str:
+    k = len(word)
+    return f"""select doc_id, {q(rule)} as rule_id, 'keyword' as match_type, substring(content, a, b - a + 1) as text, cast(strlen(left(content, a - 1)) as bigint) as start_position,
+      cast(strlen(left(content, b)) as bigint) as end_position, cast({sure} as double) as confidence
+      from (select doc_id, content, greatest(i - {radius}, 1) as a, least(i + {k + radius - 1}, length(content)) as b
+        from (select doc_id, content, unnest(range(1, length(content) - {k} + 2)) as i from c where contains(lower(content), {q(word)})) x where substring(lower(content), i, {k}) = {q(word)}) y"""
+
+
+HOLDS_BOTH = "regexp_matches(content, 'secret') and regexp_matches(content, '[0-9]{6}')"
+RULE_ROWS = " union all ".join([
+    of_rule("aws", "regex", 0.9, "(?i)akia[0-9a-z]{16}"),
+    of_word("words", "password", 10, 0.7), of_word("words", "token", 10, 0.7),
+    of_rule("both", "regex", 0.6, "secret", f"doc_id in (select doc_id from c where {HOLDS_BOTH})"),
+    of_rule("both", "regex", 0.6, "[0-9]{6}", f"doc_id in (select doc_id from c where {HOLDS_BOTH})"),
+    "select doc_id, 'clean', 'composite', 'negative_match', 0, 0, cast(0.5 as double) from c where not regexp_matches(content, '(?i)key|password|token|secret')",
+    of_rule("files", "regex", 0.8, "=[A-Za-z0-9]{8}", "ends_with(file_path, '.env') or regexp_matches(file_path, 'src/.*.rs')"),
+])
+CHARSET = "len(list_distinct(string_split(value, '')))"
+NORMAL = f"case when {CHARSET} > 1 then {ENTROPY} / log2({CHARSET}) else 0.0 end"
+PROSE = "(" + " + ".join(f"cast(contains(lower(value), {q(w)}) as int)" for w in L.COMMON_WORDS) + ") >= 2"
+LIKELY = (
+    f"{ENTROPY} >= 3.5 and {NORMAL} >= 0.6 and {CHARSET} >= 8 and not {PROSE} and not regexp_matches(value, '^([0-9]*|[A-Z]*|[a-z]*)$') and not ("
+    + " or ".join(f"contains(lower(value), {q(w)})" for w in L.NON_SECRETS) + ")"
+)
+SURE = (
+    f"least(cast(1.0 as double), least({ENTROPY} / 6, cast(0.4 as double)) + cast(0.3 as double) * {NORMAL} + least({CHARSET} / cast(62 as double), cast(0.2 as double))"
+    f" + case when strlen(value) >= 20 then cast(0.1 as double) when strlen(value) >= 12 then 0.05 else 0 end + case when {CLASSES} >= 3 then cast(0.1 as double) else 0 end)"
+)
+INSIDE = "strlen(value) between 8 and 1000"
+PASSWORD = [
+    (r"not regexp_matches(value, '\A[^\n]{8,}\z')", "Password must be at least 8 characters long", "Critical"),
+    ("(" + " or ".join(f"contains(lower(value), {q(w)})" for w in ("password", "12345678", "qwerty123", "admin123")) + ")", "Password appears to contain common weak patterns", "Warning"),
+    ("(" + " + ".join(f"cast(regexp_matches(value, {q(k)}) as int)" for k in (r"\p{Lu}", r"\p{Ll}", r"\p{N}", r"[^\p{L}\p{N}]")) + ") <= 1", "Password is very weak", "Warning"),
+]
+
+
+def told(found: list[tuple[str, str, str]]) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"case when {c} then {q(m)} end" for c, m, _ in found) + "], lambda x: x is not null), '; ')"
+
+
+PATHS = [
+    ("contains(value, '..')", "Path traversal detected (..)", "Critical"),
+    (r"not regexp_matches(value, '^[^<>:|?*\x00-\x1f]*$')", "Path contains invalid characters", "Critical"),
+    ("strlen(value) > 4096", "Path too long (max 4096 characters)", "Critical"),
+]
+FILE_NAME_HAS_EXT = r"regexp_matches(regexp_extract(file_path, '[^/]*$'), '^.+\.[^.]*$')"
+HUNDREDTH = "printf('%.{d}f', cast(round_even(cast(confidence * 100 as decimal(20,9)), {d}) as double))"
+
 ORACLES = {
     "c02_find_all_matches": f"with c as ({C}), {matches('c', [p.regex for p in L.PATTERNS])} select doc_id, seq, value, start_position, end_position, line_number, column_number from m",
-    "c05_hook_scan": f"with c as ({C}), {HOOKS}, n(seq, name) as (values {', '.join(f'({k}, {q(n)})' for k, n in enumerate(L.HOOK_PATTERNS))}) select doc_id, name, value, start_position as col_bytes from m join n using (seq)",
+    "c05_hook_scan": f"with c as ({C}), {HOOKS}, n(seq, name) as (values {', '.join(f'({k}, {q(n)})' for k, n in enumerate(L.HOOK_PATTERNS))}) select doc_id, file_path as line_number, name, value, start_position as col_bytes from m join n using (seq)",
     "c06_content_warnings": f"with c as ({C}), w as (select doc_id, file_path, {WARN} as warnings from c) select doc_id, file_path, warnings from w where warnings <> ''",
     "c19_composite_confidence": SCORED + "select doc_id, seq, start_position, confidence, round(h, 6) as entropy_score from s",
     "i01_span_dedup": SCORED + "select doc_id, start_position, end_position, detector_name, secret_type, confidence_level from l",
@@ -110,8 +177,19 @@ ORACLES = {
     "n02_decrypt_batch": "select doc_id, text, cast(null as varchar) as error from documents",
     "n03_verify_wrong_key": "select doc_id, text is null as verified from documents",
     "n07_chunks": "with b as (select doc_id, encode(text) as payload from documents where text is not null), n as (select doc_id, payload, unnest(generate_series(0, greatest(1, cast(ceil(octet_length(payload) / 1024.0) as bigint)) - 1)) as chunk_no from b) select doc_id, chunk_no, sha256(payload[chunk_no * 1024 + 1:chunk_no * 1024 + 1024]) as digest from n",
-    "n08_integrity": "select doc_id, true as intact from documents where text is not null",
+    "n08_integrity": "select doc_id, doc_id % 7 <> 0 or text = '' as intact from documents where text is not null",
+    "e08_rules": f"with c as ({C}) {RULE_ROWS}",
+    "d05_analyse": f"with t as ({TOKENS}) select value, case when {INSIDE} then round({ENTROPY}, 6) else 0.0 end as shannon, case when {INSIDE} then round({NORMAL}, 6) else 0.0 end as normalized, cast(case when {INSIDE} then {CHARSET} else 0 end as int) as charset, {INSIDE} and {LIKELY} as likely, case when {INSIDE} then floor({SURE} * 1e6 + cast(0.51 as double)) / 1e6 else 0.0 end as confidence from t",
+    "d15_line_entropy": f"with t as (select doc_id, unnest(string_split(text, chr(10))) as value, cast(generate_subscripts(string_split(text, chr(10)), 1) - 1 as int) as line_no from documents) select doc_id, line_no from t where strlen(value) >= 20 and round({ENTROPY}, 9) > 4.0",
+    "b16_validity": SCORED + "select doc_id, start_position, detector_name, secret_type in ('AWS Access Key', 'GitHub Token') or confidence > 0.8 as is_valid from l",
+    "a08_csv_report": SCORED + f"select file_path as File, secret_type as Type, cast(line_number as varchar) as Line, {HUNDREDTH.format(d=2)} as Confidence, value as Value from l",
+    "c27_summary": SCORED + f"select doc_id, start_position, secret_type || ' in ' || file_path || ' (line ' || line_number || ', confidence: ' || {HUNDREDTH.format(d=1)} || '%)' as summary from l",
+    "l13_password_checks": f"with t as ({TOKENS}) select value, not ({PASSWORD[0][0]}) as is_valid, {told(PASSWORD)} as messages from t",
+    "l14_path_checks": f"with t as (select doc_id, coalesce(string_split(text, chr(10))[1], '') as value from documents) select doc_id, value <> '' and not ({' or '.join(c for c, _, _ in PATHS)}) as is_valid, case when value = '' then 'File path cannot be empty' else {told(PATHS)} end as messages from t",
+    "g19_validation_rollup": f"with t as ({TOKENS}) " + " union all ".join(f"select 'password' as field, {q(s)} as severity, sum(n) as n from (" + " union all ".join(f"select count(*) as n from t where {c}" for c, _, z in PASSWORD if z == s) + ") x having sum(n) > 0" for s in ("Critical", "Warning")),
+    "l02_encrypted_paths": f"with c as ({C}), p as (select doc_id, file_path, file_path || case when {FILE_NAME_HAS_EXT} then '.enc' else '.dat.enc' end as encrypted from c) select doc_id, encrypted, translate(file_path, '/' || chr(92), '__') as flat, left(encrypted, length(encrypted) - 4) as decrypted from p",
+    "g09_byte_totals": LOG + " select cast(coalesce(sum(size_bytes) filter (success and op_type = 'Encrypt'), 0) as bigint) as bytes_encrypted, cast(coalesce(sum(size_bytes) filter (success and op_type = 'Decrypt'), 0) as bigint) as bytes_decrypted, count(*) filter (success) as n_good from (select o.*, cast(trunc(duration_ms / 100 * 1024) as bigint) as size_bytes from o) o",
     "g16_storage": "select lang, count(*) as objects, cast(sum(strlen(text)) as bigint) as bytes from documents where text is not null group by 1",
     "g17_duplicate_objects": "select sha256(text) as checksum, count(*) as copies, min(doc_id) as first_id, cast(sum(strlen(text)) - min(strlen(text)) as bigint) as wasted from documents where text is not null group by 1 having count(*) > 1",
-    "l06_human_size": "with b as (select doc_id, strlen(text) as n from documents where text is not null) select doc_id, case when n >= 1073741824 then printf('%.1f GB', n / 1073741824.0) when n >= 1048576 then printf('%.1f MB', n / 1048576.0) when n >= 1024 then printf('%.1f KB', n / 1024.0) else n || ' B' end as size from b",
+    "l06_human_size": "with b as (select doc_id, strlen(text) as n from documents where text is not null) select doc_id, case when n >= 1099511627776 then printf('%.1f TB', n / 1099511627776.0) when n >= 1073741824 then printf('%.1f GB', n / 1073741824.0) when n >= 1048576 then printf('%.1f MB', n / 1048576.0) when n >= 1024 then printf('%.1f KB', n / 1024.0) else n || ' B' end as size from b",
 }

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakdrift.functions import text as T
-from leakdrift.operators import oplog, scan, team
-from leakdrift.plans.oracles import ORACLES
+from leakdrift.functions import checks
+from leakdrift.operators import oplog, rules, scan, team
+from leakdrift.plans.oracles import ORACLES, RULES
 from leakdrift.sources.corpus import corpus, op_log, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +47,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("c05_hook_scan")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.hook_lines(corpus(spark, sf_dir)).select("doc_id", "name", "value", "col_bytes")
+    return scan.hook_lines(corpus(spark, sf_dir)).select("doc_id", "line_number", "name", "value", "col_bytes")
 
 
 @query("c06_content_warnings")
@@ -185,10 +186,77 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("n08_integrity")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored chunks against the checksums of a manifest: every 7th document's first chunk has lost its last byte on the way."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    whole = team.reassembled(team.chunks(docs.select("doc_id", F.col("text").cast("binary").alias("payload")), 4096))
-    sums = docs.select("doc_id", F.sha2("text", 256).alias("checksum"))
-    return whole.join(sums, "doc_id").select("doc_id", (F.sha2("payload", 256) == F.col("checksum")).alias("intact"))
+    parts = team.chunks(docs.select("doc_id", F.col("text").cast("binary").alias("payload")), 4096)
+    chunk = F.expr("substring(chunk, 1, greatest(octet_length(chunk) - 1, 0))")
+    parts = parts.withColumn("chunk", F.when((F.col("doc_id") % 7 == 0) & (F.col("chunk_no") == 0), chunk).otherwise(F.col("chunk")))
+    manifest = docs.select("doc_id", F.sha2("text", 256).alias("checksum"))
+    return team.reassembled(parts).join(manifest, "doc_id").select("doc_id", (F.sha2("payload", 256) == F.col("checksum")).alias("intact"))
+
+
+@query("e08_rules")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.execute(corpus(spark, sf_dir), RULES)
+    return found.select("doc_id", "rule_id", "match_type", "text", F.col("start").alias("start_position"), F.col("end").alias("end_position"), "confidence")
+
+
+@query("d05_analyse")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tokens(spark, sf_dir).select("value", T.analyse(F.col("value")).alias("e"))
+    return rows.select("value", *[F.round(f"e.{k}", 6).alias(k) for k in ("shannon", "normalized")], "e.charset", "e.likely", T.rounded(F.col("e.confidence")).alias("confidence"))
+
+
+@query("d15_line_entropy")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "value"))
+    return rows.where(F.octet_length("value") >= 20).where(F.round(T.entropy(F.col("value")), 9) > 4.0).select("doc_id", "line_no")
+
+
+@query("b16_validity")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings(spark, sf_dir).select("doc_id", "start_position", "detector_name", scan.is_valid_finding().alias("is_valid"))
+
+
+@query("a08_csv_report")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.csv_rows(findings(spark, sf_dir))
+
+
+@query("c27_summary")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings(spark, sf_dir).select("doc_id", "start_position", scan.summary().alias("summary"))
+
+
+@query("l13_password_checks")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tokens(spark, sf_dir).select("value", checks.password_errors(F.col("value")).alias("found"))
+    return rows.select("value", checks.is_valid(F.col("found")).alias("is_valid"), F.array_join(F.transform("found", lambda e: e["message"]), "; ").alias("messages"))
+
+
+@query("l14_path_checks")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line of each document, taken for a path."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("path"))
+    rows = rows.select("doc_id", checks.path_errors(F.col("path")).alias("found"))
+    return rows.select("doc_id", checks.is_valid(F.col("found")).alias("is_valid"), F.array_join(F.transform("found", lambda e: e["message"]), "; ").alias("messages"))
+
+
+@query("g19_validation_rollup")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.rollup(tokens(spark, sf_dir).select(checks.password_errors(F.col("value")).alias("found")), "found")
+
+
+@query("l02_encrypted_paths")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("file_path")
+    rows = corpus(spark, sf_dir).select("doc_id", checks.encrypted_path(path).alias("encrypted"), checks.flat_path(path).alias("flat"), "file_path")
+    return rows.withColumn("decrypted", checks.decrypted_path(F.col("encrypted"))).drop("file_path")
+
+
+@query("g09_byte_totals")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oplog.byte_totals(op_log(spark, sf_dir))
 
 
 @query("g16_storage")
