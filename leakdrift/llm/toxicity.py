@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakdrift.llm.common import table
+from leakdrift.llm.common import small_batches, table
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Features are hashed to so many places.
@@ -80,11 +80,22 @@ def telling(docs: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray:
     return np.sort(order[z[order] > 4.5])
 
 
+def marked(docs: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
+    """Which of the features each document has."""
+    place = np.full(1 << SPACE_BITS, -1, dtype=np.int32)
+    place[ids] = np.arange(len(ids))
+    x = np.zeros((len(docs), len(ids)))
+    for k, f in enumerate(docs):
+        at = place[f]
+        x[k, at[at >= 0]] = 1
+    return x
+
+
 def fit_chain(docs: list[np.ndarray], labels: dict[str, np.ndarray], folds: int = 3, most: int = SELECTED) -> list[dict]:
     """Models of the categories in their order; NaN labels are left out of their category.
 
     Each model sees its selected features and the probabilities of all earlier categories. For the rows that it is
-    trained on these are out-of-fold: from models that did not see the row. At scoring they come from the models
+    trained on these are out-of-fold: from models whose features and weights did not see the row. At scoring they come from the models
     fitted on all rows. A category with one class only gets a model that always says that class.
     """
     fold = np.arange(len(docs)) % folds
@@ -94,26 +105,23 @@ def fit_chain(docs: list[np.ndarray], labels: dict[str, np.ndarray], folds: int
         known = ~np.isnan(y)
         hard = np.where(known, y, 0).astype(int)
         rows = np.flatnonzero(known)
-        ids = telling([docs[k] for k in rows], hard[rows], most) if len(rows) else np.zeros(0, dtype=np.int64)
-        place = np.full(1 << SPACE_BITS, -1, dtype=np.int32)
-        place[ids] = np.arange(len(ids))
-        x = np.zeros((len(docs), len(ids)))
-        for k, f in enumerate(docs):
-            at = place[f]
-            x[k, at[at >= 0]] = 1
-        x = np.hstack([x, earlier])
-
-        def fitted(rows: np.ndarray, x: np.ndarray = x, hard: np.ndarray = hard) -> np.ndarray:
+
+        def fitted(rows: np.ndarray, hard: np.ndarray = hard, earlier: np.ndarray = earlier) -> tuple[np.ndarray, np.ndarray]:
+            """Features chosen and weights fitted on these rows only."""
+            ids = telling([docs[k] for k in rows], hard[rows], most) if len(rows) else np.zeros(0, dtype=np.int64)
             if len(rows) == 0 or hard[rows].min() == hard[rows].max():
-                w = np.zeros(x.shape[1] + 1)
+                w = np.zeros(len(ids) + earlier.shape[1] + 1)
                 w[-1] = 30.0 if len(rows) and hard[rows][0] else -30.0
-                return w
-            return logistic(x[rows], hard[rows])
+                return ids, w
+            return ids, logistic(np.hstack([marked([docs[k] for k in rows], ids), earlier[rows]]), hard[rows])
 
         out = np.zeros(len(docs))
         for k in range(folds):
-            out[fold == k] = predict(fitted(rows[fold[rows] != k]), x[fold == k])
-        chain.append({"name": name, "ids": ids, "w": fitted(rows)})
+            ids, w = fitted(rows[fold[rows] != k])
+            own = np.flatnonzero(fold == k)
+            out[own] = predict(w, np.hstack([marked([docs[i] for i in own], ids), earlier[own]]))
+        ids, w = fitted(rows)
+        chain.append({"name": name, "ids": ids, "w": w})
         earlier = np.hstack([earlier, out[:, None]])
     return chain
 
@@ -135,7 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
         for batch in batches:
             yield pd.Series([text_features(t, known).tobytes() for t in batch], dtype=object)
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("doc_id", *categories, hashed("text").alias("f"))
+    # Of rows that repeat an id one counts, so that no more rows than ids come to the driver.
+    rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").groupBy("doc_id", *categories).agg(F.min("text").alias("text"))
+    rows = rows.select("doc_id", *categories, hashed("text").alias("f"))
     got = sorted(rows.collect(), key=lambda r: (r["doc_id"], bytes(r["f"])))
     features = [np.frombuffer(bytes(r["f"]), dtype="<u4") for r in got]
     values = {k: np.array([np.nan if r[k] is None else r[k] for r in got], dtype=float) for k in categories}
@@ -190,6 +200,7 @@ def with_scores(docs: DataFrame, labels: DataFrame, reject: float = 0.5) -> Data
 
     Null and empty texts are scored as texts without words. Without labelled documents nothing is rejected.
     """
+    small_batches(docs.sparkSession)
     score = scorer(train(docs, labels, categories()))
     found = docs.withColumn("scores", score("text"))
     return found.withColumn("rejected", F.col("scores.toxic") >= reject)
