@@ -38,7 +38,10 @@ def edge_docs(spark):
     return spark.createDataFrame(rows, DOCS)
 
 
-def test_near_duplicates_are_those_of_all_pairs(spark, documents):
+@pytest.mark.parametrize("chunk", [1024, 8])
+def test_near_duplicates_are_those_of_all_pairs(spark, documents, monkeypatch, chunk):
+    # Small chunks: buckets are compared by chunks, by forests over components and by pairs of chunks.
+    monkeypatch.setattr(neardup, "CHUNK", chunk)
     sets = {}
     for i, t in documents:
         w = re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
@@ -155,6 +158,62 @@ def test_licenses_are_found(spark):
     assert {(r.doc_id, r.template_id) for r in got} == {(1, "mit"), (2, "mit-notice")}
 
 
+def test_licenses_are_those_of_a_plain_search(spark, documents):
+    def words(t):
+        return [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+
+    def shingles(w):
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    mit, agpl = licenses.TEMPLATES["mit"], licenses.TEMPLATES["agpl-3.0-header"].split()
+    # A long text, a cut one, one with every 40th word changed, a repeated id, a null id, nulls and ties.
+    rows = [(1, "zorp " * 20_000 + mit + " blib" * 3000), (2, " ".join(agpl[: len(agpl) - 14])), (3, "x y z " + licenses.TEMPLATES["mit-notice"]), (3, "nothing"), (4, None), (5, "")]
+    rows += [(None, licenses.TEMPLATES["zlib"]), (6, " ".join(w if i % 40 else "foo" for i, w in enumerate(mit.split()))), (7, f"{mit} {mit}")]
+    rows += [(1000 + i, t) for i, t in documents]
+    want = {}
+    for i, t in rows:
+        s = shingles(words(t))
+        for k, text in licenses.TEMPLATES.items():
+            all_of = shingles(words(text))
+            needed = set(all_of)
+            reach = len(all_of) + len(all_of) // 4 + 16
+            best = max((len({x for x in s[p : p + reach] if x in needed}) / len(needed) for p, x in enumerate(s) if x in needed), default=0)
+            if best >= 0.8:
+                want[i, k] = max(round(best, 6), want.get((i, k), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.template_id): round(r.containment, 6) for r in licenses.scan(docs, licenses.known_templates(spark)).collect()}
+    assert got == want and (1, "mit") in got and (None, "zlib") in got
+    assert licenses.scan(docs.limit(0), licenses.known_templates(spark)).count() == 0
+
+
+def test_lines_that_share_a_long_template_keep_all_their_links(spark):
+    rng = np.random.default_rng(5)
+
+    def some(n):
+        return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), n))
+
+    # Pairs of similar lines over one template; lines of different pairs are not similar.
+    common, texts = some(165), []
+    for _ in range(200):
+        own = some(150)
+        texts += [common + own + some(19), common + own + some(19)]
+    sets = [{t[k : k + lines.WIDTH] for k in range(len(t) - lines.WIDTH + 1)} for t in texts]
+    pairs = [(j, i) for i, x in enumerate(sets) for j in range(i) if len(x & sets[j]) >= 0.8 * len(x | sets[j])]
+    want = components(range(len(texts)), pairs)
+    docs = spark.createDataFrame([(i, t, "a", "x") for i, t in enumerate(texts)], DOCS)
+    kept = {r.doc_id for r in lines.dedup_lines(docs).collect() if r.n_kept}
+    lost = len(kept - set(want.values()))
+    assert set(want.values()) <= kept and lost <= 0.01 * len(pairs), (len(want), len(kept))
+
+
+def test_text_pieces_are_the_tokenizer_s():
+    made = packing.Encoder(packing.tokenizer_file())
+    texts = [s for i in range(0x250) for c in [chr(i)] for s in (c, f"a{c}b", f"1{c}2", f".{c}.", f"{c}'s {c}", f"E{c}{c}")]
+    texts += ["<|endoftext|> a", "x<|startoftext|>y", "Σας ΟΔΟΣ 日本語 ½ x²", "e\u0301 é", "don't 'LL we've__x", ""]
+    for t in texts:
+        assert np.frombuffer(made.ids(t), dtype="<u4").tolist() == made.tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_toxicity_holds_on_labels_it_has_not_seen(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null")
