@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakdrift.llm.common import table
+from leakdrift.llm.common import small_batches, table
 
 #: Pages that the labeller is fitted on at most, those of the smallest hashes of their ids.
 SAMPLE = 240
@@ -378,7 +378,10 @@ def labelled(pieces: list[tuple[str, int]]) -> tuple[list[tuple[str, tuple[str,
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
     """Fits the labeller on at most `sample` pages, labelled weakly by their tags, and on layouts made of their blocks."""
-    rows = pages.where("html is not null").select("page_id", "html").orderBy(F.xxhash64("page_id", "html"), "page_id").limit(sample).collect()
+    rows = pages.where("html is not null").select("page_id", "html", F.xxhash64("page_id", "html").alias("h"))
+    # The pages of the least hashes; a bar on the hash that twice as many get under keeps the rest from being sorted and sent.
+    bar = min(2**63 - 1, -(2**63) + 2 * sample * 2**64 // max(1, rows.count()))
+    rows = rows.where(F.col("h") <= F.lit(bar)).orderBy("h", "page_id").limit(sample).collect()
     some = [b for b in (blocks(r["html"]) for r in sorted(rows, key=lambda r: (r["page_id"] is None, r["page_id"], r["html"]))) if b]
     x = [p for p in some]
     y = [weak_labels(p) for p in some]
@@ -430,6 +433,7 @@ def extract(pages: DataFrame, model: dict[str, np.ndarray] | None = None) -> Dat
     block becomes one space, the blocks taken for main text are joined in page order by two newlines. Rows that
     repeat get the same text.
     """
+    small_batches(pages.sparkSession)
     model = model or train(pages)
     found = pages.drop("text", "n_chars").withColumn("text", main_text(model)("html"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
