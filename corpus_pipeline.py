@@ -31,8 +31,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies; rows that share a doc_id are one document, a null id stays."""
-    kept = written(near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct())
+    """One document of each component of near copies by two-word shingles, as the query of the operator has them.
+
+    Rows that share a doc_id are one document, a null id stays.
+    """
+    kept = written(near_duplicates(docs, width=2).where("kept and doc_id is not null").select("doc_id").distinct())
     return sized_semi_join(docs, kept, "doc_id").unionByName(docs.where("doc_id is null"))
 
 
@@ -54,7 +57,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: Trained models, similarity search and packing have no SQL; tests/llm/test_pipeline.py holds each stage against brute force.
+#: Trained models, similarity search and packing have no SQL; tests/llm/ holds the operators against brute force and the
+#: stages' effects on what the one before kept.
 ORACLE_SQL: str | None = None
 
 
