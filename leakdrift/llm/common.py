@@ -72,32 +72,47 @@ def sized_semi_join(df: DataFrame, ids: DataFrame, key: str, bound: int = BROADC
     return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
 
 
+#: Nodes with more rows than this, and more than a thousandth of all rows, are hubs; there are fewer than 1,000 of them.
+HUB_ROWS, HUBS = 256, 1_000
+
+
+def with_least(rows: DataFrame, least: DataFrame, n_rows: int) -> DataFrame:
+    """rows of (u, v) with u's m of least (u, m, n), where n counts the rows that least was made of, at most n_rows.
+
+    The m of hubs are sent to every task, fewer than HUBS whatever the links are, so that no task has all of a hub's rows.
+    """
+    hubs = F.broadcast(least.where(F.col("n") > max(HUB_ROWS, n_rows // HUBS)).select("u", F.col("m").alias("hub")))
+    rows = rows.join(hubs, "u", "left")
+    rest = rows.where("hub is null").join(least, "u").select("u", "v", "m")
+    return rest.unionByName(rows.where("hub is not null").select("u", "v", F.col("hub").alias("m")))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) links of any ordered type to (node, component): the smallest node that each reaches.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014), each a grouped minimum and a join, until
     nothing changes; needs O(log^2 n) rounds, and more than max_rounds are an error. Self-links and nulls are
-    ignored. A hub with very many links is pre-aggregated in the minimum and split by the skew join.
+    ignored. A hub with very many links is pre-aggregated in the minimum, and its rows stay where they are.
     """
     edges = written(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     )
-    state = None
+    count, state = edges.count(), None
     for _ in range(max_rounds):
         # Large star: every larger neighbour of u moves to the smallest node that u knows.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        )
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = with_least(both.where("v > u"), least, 2 * count)
+        large = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
         # Small star: u and its smaller neighbours move to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = with_least(large, least, count)
+        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(new) == state:
             break
-        state = tuple(new)
+        count, state = new[0], tuple(new)
     else:
         raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -317,3 +317,25 @@ def test_components_that_have_not_settled_are_an_error(spark):
     assert {r.component for r in common.connected_components(edges).collect()} == {0}
     with pytest.raises(RuntimeError):
         common.connected_components(edges, max_rounds=2)
+
+
+def test_components_of_stars_paths_and_random_links(spark):
+    rng = np.random.default_rng(5)
+    star = [(k, 5000) for k in range(1000, 1400)] + [(2000, k) for k in range(2001, 2400)]
+    path = [(3000 + k, 3001 + k) for k in range(40)]
+    loose = [tuple(map(int, p)) for p in rng.integers(6000, 6600, size=(500, 2))]
+    pairs = star + path + loose + [(7, 7), (None, 8), (1000, 5000)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    found = common.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert len(found) == len(root)
+    assert {r.node: r.component for r in found} == {x: find(x) for x in root}
