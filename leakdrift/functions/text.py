@@ -231,3 +231,8 @@ def human_size(size: Column) -> Column:
 def rounded(score: Column) -> Column:
     """Six digits; 0.51 keeps decimal ties, which scores are full of, off the boundary."""
     return F.floor(score * 1e6 + 0.51) / 1e6
+
+
+def base64_of(value: Column) -> Column:
+    """Base64 in one line; Spark's own breaks it after 76 characters."""
+    return F.translate(F.base64(value), "\r\n", "")

@@ -73,3 +73,48 @@ def throughput_map(found: DataFrame, prefix: str = "crypto_") -> DataFrame:
     some = found.where(F.floor(F.col("total_ms") / 1000) >= 1)
     pair = F.struct(F.concat(F.lit(prefix), "op_type").alias("key"), "throughput")
     return some.agg(F.map_from_entries(F.array_sort(F.collect_list(pair))).alias("throughput"))
+
+
+def paired(log: DataFrame, start: str = "Read", end: str = "Write") -> DataFrame:
+    """Each end with the start that is open for its service: event_id of both and the microseconds between.
+
+    A start that follows an open one replaces it, an end closes it, and an end without an open one is ignored; so an
+    end has a pair where the service's start or end before it is a start. Ties of time are in the order of event_id.
+    """
+    rows = log.where(F.col("op_type").isin(start, end))
+    turn = Window.partitionBy("service").orderBy("ts", "event_id")
+    before = F.lag(F.struct("op_type", "event_id", "ts")).over(turn)
+    rows = rows.withColumn("_before", before).where((F.col("op_type") == end) & (F.col("_before.op_type") == start))
+    us = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_before.ts").cast("timestamp"))
+    return rows.select("service", F.col("_before.event_id").alias("start_id"), F.col("event_id").alias("end_id"), us.alias("micros"))
+
+
+def component_health(log: DataFrame, slow_ms: float = 1000) -> DataFrame:
+    """By service the status after its last operation, and the worst of all operations as `overall`.
+
+    A failure is critical, a slow success degrades, any other is healthy. Last is by (ts, event_id), from a grouped
+    maximum; an empty log has no rows.
+    """
+    level = F.when(~F.col("success"), 2).when(F.col("duration_ms") > slow_ms, 1).otherwise(0)
+    name = lambda c: F.element_at(F.array(*map(F.lit, ["Healthy", "Degraded", "Critical"])), c + 1)
+    rows = log.withColumn("_level", level).groupBy("service").agg(
+        F.max_by("_level", F.struct("ts", "event_id")).alias("last"), F.max("_level").alias("worst"), F.count_if(F.col("_level") > 0).alias("issues")
+    )
+    worst = rows.agg(F.max("worst").alias("all_worst"))
+    rows = rows.crossJoin(F.broadcast(worst))  # one row is broadcast
+    return rows.select("service", name(F.col("last")).alias("status"), "issues", name(F.col("all_worst")).alias("overall"))
+
+
+def retry_audit(log: DataFrame, base_ms: int = 100, most_ms: int = 10_000) -> DataFrame:
+    """Each repeated failure of a service without a success between: its attempt number, the wait that exponential
+    backoff asks for before it (doubled from base_ms, most_ms at most), the wait there was, and whether that was too short.
+    """
+    turn = Window.partitionBy("service").orderBy("ts", "event_id")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    island = F.sum(F.col("success").cast("int")).over(turn.rowsBetween(Window.unboundedPreceding, 0))
+    rows = log.select("service", "event_id", "ts", "success", at.alias("_at"), island.alias("_island")).where("not success")
+    turn = Window.partitionBy("service", "_island").orderBy("ts", "event_id")
+    rows = rows.withColumn("attempt", F.row_number().over(turn)).withColumn("waited", F.col("_at") - F.lag("_at").over(turn))
+    asked = F.least(F.lit(base_ms) * F.pow(F.lit(2.0), F.col("attempt") - 2), F.lit(float(most_ms)))
+    rows = rows.where("attempt > 1").withColumn("asked_ms", asked.cast("long"))
+    return rows.select("service", "event_id", "attempt", "asked_ms", F.col("waited").alias("waited_us"), (F.col("waited") < F.col("asked_ms") * 1000).alias("too_early"))

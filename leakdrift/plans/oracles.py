@@ -189,6 +189,17 @@ ORACLES = {
     "g19_validation_rollup": f"with t as ({TOKENS}) " + " union all ".join(f"select 'password' as field, {q(s)} as severity, sum(n) as n from (" + " union all ".join(f"select count(*) as n from t where {c}" for c, _, z in PASSWORD if z == s) + ") x having sum(n) > 0" for s in ("Critical", "Warning")),
     "l02_encrypted_paths": f"with c as ({C}), p as (select doc_id, file_path, file_path || case when {FILE_NAME_HAS_EXT} then '.enc' else '.dat.enc' end as encrypted from c) select doc_id, encrypted, translate(file_path, '/' || chr(92), '__') as flat, left(encrypted, length(encrypted) - 4) as decrypted from p",
     "g09_byte_totals": LOG + " select cast(coalesce(sum(size_bytes) filter (success and op_type = 'Encrypt'), 0) as bigint) as bytes_encrypted, cast(coalesce(sum(size_bytes) filter (success and op_type = 'Decrypt'), 0) as bigint) as bytes_decrypted, count(*) filter (success) as n_good from (select o.*, cast(trunc(duration_ms / 100 * 1024) as bigint) as size_bytes from o) o",
+    "g10_throughput": LOG + ", m as (select op_type, count(*) as n, floor(sum(cast(duration_ms as decimal(28,6))) / 1000) as s from o group by 1) select 'crypto_' || op_type as name, round(n / cast(s as double), 6) as per_second from m where s >= 1",
+    "f12_pairs": LOG + """, x as (select *, lag(op_type) over w as b_type, lag(event_id) over w as b_id, lag(ts) over w as b_ts from o where op_type in ('Read', 'Write') window w as (partition by service order by ts, event_id))
+      select service, b_id as start_id, event_id as end_id, epoch_us(ts) - epoch_us(b_ts) as micros from x where op_type = 'Write' and b_type = 'Read'""",
+    "g15_component_health": LOG + """, x as (select service, ts, event_id, case when not success then 2 when duration_ms > 1000 then 1 else 0 end as z from o)
+      select service, ['Healthy', 'Degraded', 'Critical'][cast(arg_max(z, {'a': ts, 'b': event_id}) as int) + 1] as status, count(*) filter (z > 0) as issues, (select ['Healthy', 'Degraded', 'Critical'][max(z) + 1] from x) as overall from x group by 1""",
+    "i07_retries": LOG + """, x as (select *, sum(cast(success as int)) over (partition by service order by ts, event_id rows unbounded preceding) as island from o),
+      y as (select service, event_id, cast(row_number() over w as int) as attempt, epoch_us(ts) - epoch_us(lag(ts) over w) as waited_us from x where not success window w as (partition by service, island order by ts, event_id)),
+      z as (select *, cast(least(100 * pow(2.0, attempt - 2), 10000.0) as bigint) as asked_ms from y where attempt > 1)
+      select service, event_id, attempt, asked_ms, waited_us, waited_us < asked_ms * 1000 as too_early from z""",
+    "l07_minutes": "select event_id, strftime(ts, '%Y-%m-%d %H:%M') as modified from events",
+    "l10_encodings": "select doc_id, md5(lower(hex(encode(text)))) as hex_md5, md5(base64(encode(text))) as base64_md5, true as round_trip from documents where text is not null",
     "g16_storage": "select lang, count(*) as objects, cast(sum(strlen(text)) as bigint) as bytes from documents where text is not null group by 1",
     "g17_duplicate_objects": "select sha256(text) as checksum, count(*) as copies, min(doc_id) as first_id, cast(sum(strlen(text)) - min(strlen(text)) as bigint) as wasted from documents where text is not null group by 1 having count(*) > 1",
     "l06_human_size": "with b as (select doc_id, strlen(text) as n from documents where text is not null) select doc_id, case when n >= 1099511627776 then printf('%.1f TB', n / 1099511627776.0) when n >= 1073741824 then printf('%.1f GB', n / 1073741824.0) when n >= 1048576 then printf('%.1f MB', n / 1048576.0) when n >= 1024 then printf('%.1f KB', n / 1024.0) else n || ' B' end as size from b",

@@ -276,4 +276,39 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.human_size(F.octet_length("text")).alias("size"))
 
 
+@query("g10_throughput")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of the throughput map as rows."""
+    found = oplog.throughput_map(oplog.metrics(op_log(spark, sf_dir)))
+    return found.select(F.explode("throughput").alias("name", "per_second"))
+
+
+@query("f12_pairs")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oplog.paired(op_log(spark, sf_dir))
+
+
+@query("g15_component_health")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oplog.component_health(op_log(spark, sf_dir))
+
+
+@query("i07_retries")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oplog.retry_audit(op_log(spark, sf_dir))
+
+
+@query("l07_minutes")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("modified"))
+
+
+@query("l10_encodings")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in hex and base64, as digests, and whether both give the text back."""
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", F.lower(F.hex("text")).alias("h"), T.base64_of(F.col("text")).alias("b"))
+    back = (F.unhex("h").cast("string") == F.col("text")) & (F.unbase64("b").cast("string") == F.col("text"))
+    return rows.select("doc_id", F.md5("h").alias("hex_md5"), F.md5("b").alias("base64_md5"), back.alias("round_trip"))
+
+
 __all__ = ["ORACLES", "QUERIES"]

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from leakdrift.operators import team
+from leakdrift.operators import oplog, team
 from leakdrift.sources.corpus import directory
 from leakdrift.streaming.operations import scan_stream, windowed_metrics
 
@@ -56,3 +56,36 @@ def test_round_trips(spark):
     payload = rows.select("doc_id", F.col("text").cast("binary").alias("payload"))
     back = team.reassembled(team.chunks(payload, 2)).select("doc_id", F.col("payload").cast("string").alias("t"))
     assert sorted(tuple(r) for r in back.collect()) == [(1, "héllo"), (2, "")]
+
+
+LOG = "event_id long, ts timestamp, op_type string, service long, duration_ms double, success boolean"
+
+
+def small_log(spark):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [
+        (1, at(0), "Write", 1, 5.0, True), (2, at(1), "Read", 1, 5.0, True), (3, at(2), "Read", 1, 5.0, True), (4, at(3), "Encrypt", 1, 1500.0, True),
+        (5, at(4), "Write", 1, 5.0, True), (6, at(5), "Write", 1, 5.0, True), (7, at(5), "Read", 2, 5.0, False), (8, at(5), "Write", 2, 5.0, False),
+        (9, at(6), "Encrypt", 2, 5.0, False), (10, at(9), "Read", None, 5.0, True),
+    ]
+    return spark.createDataFrame(rows, LOG)
+
+
+def test_ends_meet_the_open_start(spark):
+    found = oplog.paired(small_log(spark)).collect()
+    assert sorted((r.start_id, r.end_id, r.micros) for r in found) == [(3, 5, 2_000_000), (7, 8, 0)]
+
+
+def test_component_health_is_the_last_status(spark):
+    found = {r.service: (r.status, r.issues, r.overall) for r in oplog.component_health(small_log(spark)).collect()}
+    assert found == {1: ("Healthy", 1, "Critical"), 2: ("Critical", 3, "Critical"), None: ("Healthy", 0, "Critical")}
+
+
+def test_waits_double(spark):
+    found = sorted((r.event_id, r.attempt, r.asked_ms, r.waited_us, r.too_early) for r in oplog.retry_audit(small_log(spark), base_ms=500).collect())
+    assert found == [(8, 2, 500, 0, True), (9, 3, 1000, 1_000_000, False)]
+
+
+def test_an_empty_log_has_no_rows(spark):
+    empty = spark.createDataFrame([], LOG)
+    assert [f(empty).count() for f in (oplog.paired, oplog.component_health, oplog.retry_audit)] == [0, 0, 0]
