@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from leakdrift.functions import text as T
 from leakdrift.functions import checks
 from leakdrift.operators import oplog, rules, scan, team
-from leakdrift.plans.oracles import ORACLES, RULES
+from leakdrift.plans import policy, state
+from leakdrift.plans.oracles import ORACLES as SQL
+from leakdrift.plans.oracles import RULES
 from leakdrift.sources.corpus import corpus, op_log, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -311,4 +313,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.md5("h").alias("hex_md5"), F.md5("b").alias("base64_md5"), back.alias("round_trip"))
 
 
-__all__ = ["ORACLES", "QUERIES"]
+ORACLES: dict[str, str] = dict(SQL)
+for part in (policy, state):
+    QUERIES |= part.QUERIES
+    ORACLES |= part.ORACLES
