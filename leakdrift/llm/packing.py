@@ -9,7 +9,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +18,8 @@ from leakdrift.llm.common import small_batches, table, written
 END_ID = 1
 #: Pieces that one task packs at most, about; more pieces make more groups.
 GROUP = 20_000
+#: The share of a sequence from which on it is not packed again.
+FULL = 63 / 64
 #: Bytes of text pieces and their ids that a worker remembers, about; the rest are encoded again.
 REMEMBERED = 60_000_000
 #: Texts with any other character than these are cut by the tokenizer itself.
@@ -105,23 +107,25 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = 4096) -> Da
     path = path or tokenizer_file()
     small_batches(docs.sparkSession)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from leakdrift.llm.packing import encoder
 
         ids_of = encoder(path).ids
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            rows, out = [], []
+            for row, text in enumerate(batch["text"].to_pylist()):
                 ids = ids_of(text or "") + end
-                n = len(ids) // 4
-                for k, at in enumerate(range(0, n, capacity)):
+                for k, at in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * at : 4 * (at + capacity)]
-                    out.append((doc_id, k, at, len(part) // 4, zlib.crc32(part)))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": "Int64"})
+                    rows.append(row)
+                    out.append((k, at, len(part) // 4, zlib.crc32(part)))
+            # Ids stay in Arrow, where they are whole beside nulls.
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)] if out else []
+            if columns:
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(rows)), *columns], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -240,16 +244,17 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
     return [b for b in live if b]
 
 
-def pack(found: DataFrame, capacity: int = 4096, group: int = GROUP) -> DataFrame:
+def pack(found: DataFrame, capacity: int = 4096, group: int = GROUP, full: float = FULL) -> DataFrame:
     """Pieces to pieces with sequence_id and a gapless offset from 0 within each sequence.
 
     Pieces are dealt to groups by a hash, one task packs a group by best fit and local search, and the pieces of the
-    sequences that stay underfull are dealt and packed again by another hash. Every row is packed, repeated rows too.
+    sequences that stay underfull are dealt and packed again by another hash; those filled to `full` or more stay as
+    they are, where less than that share of a sequence could be gained. Every row is packed, repeated rows too.
     """
 
     def packer(shift: int):  # noqa: ANN202
-        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["length", "doc_id", "piece"], kind="stable").reset_index(drop=True)
+        def run(key: tuple, rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by([("length", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
             lengths = rows["length"].to_numpy()
             bins = local_search(best_fit(lengths, capacity), lengths, capacity)
             at = np.concatenate([np.array(b, dtype=np.int64) for b in bins])
@@ -257,26 +262,25 @@ def pack(found: DataFrame, capacity: int = 4096, group: int = GROUP) -> DataFram
             ends = np.cumsum(per)
             first = np.cumsum([0] + [len(b) for b in bins[:-1]])
             begin = np.repeat(np.concatenate([[0], ends])[first], [len(b) for b in bins])
-            rows = rows.loc[at]
             number = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
-            rows["sequence_id"] = (int(key[0]) * 2 + shift) * 10_000_000 + number
-            rows["offset"] = ends - per - begin
-            return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+            out = rows.select(["doc_id", "piece", "start", "length", "ids_crc32"]).take(pa.array(at))
+            out = out.append_column("sequence_id", pa.array((key[0].as_py() * 2 + shift) * 10_000_000 + number))
+            return out.append_column("offset", pa.array(ends - per - begin))
 
         return run
 
     found = written(found)
     groups = max(1, -(-found.count() // group))
     key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).alias("g")
-    first = written(found.select("*", key).groupBy("g").applyInPandas(packer(0), PACKED))
+    first = written(found.select("*", key).groupBy("g").applyInArrow(packer(0), PACKED))
     if groups == 1:
         return first
     fills = first.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
-    under = fills.where(F.col("fill") < capacity * 63 // 64).select("sequence_id")
+    under = fills.where(F.col("fill") < int(capacity * full)).select("sequence_id")
     again = written(first.join(under, "sequence_id", "left_semi"))
     groups = max(1, -(-again.count() // group))
     again = again.withColumn("g", F.pmod(F.xxhash64(F.lit(1), "doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    again = again.groupBy("g").applyInPandas(packer(1), PACKED)
+    again = again.groupBy("g").applyInArrow(packer(1), PACKED)
     return first.join(under, "sequence_id", "left_anti").select(*again.columns).unionByName(again)
 
 
