@@ -87,6 +87,25 @@ def with_least(rows: DataFrame, least: DataFrame, n_rows: int) -> DataFrame:
     return rest.unionByName(rows.where("hub is not null").select("u", "v", F.col("hub").alias("m")))
 
 
+def with_hubs(rows: DataFrame, small: DataFrame, key: list[str], n_rows: int) -> DataFrame:
+    """rows joined with `small` (key, n, more), which has one row for each key and says how many of n_rows rows have it.
+
+    What keys with very many rows get is sent to every task, fewer than HUBS of them whatever the rows are.
+    """
+    more = [c for c in small.columns if c not in key and c != "n"]
+    hubs = small.where(F.col("n") > max(HUB_ROWS, n_rows // HUBS)).select(*key, F.struct(*more).alias("_hub"))
+    both = rows.join(F.broadcast(hubs), key, "left")
+    rest = both.where("_hub is null").drop("_hub").join(small.select(*key, *more), key)
+    return rest.unionByName(both.where("_hub is not null").select("*", "_hub.*").select(*rest.columns))
+
+
+def least_of_component(parts: DataFrame, names: DataFrame, n_rows: int) -> DataFrame:
+    """(node, component) of components to (node, component): the least `least` of names (node, least) in each of them."""
+    rows = parts.select(F.col("component").alias("u"), F.col("node").alias("v"))
+    least = parts.join(names, "node").groupBy(F.col("component").alias("u")).agg(F.min("least").alias("m"), F.count("*").alias("n"))
+    return with_least(rows, least, n_rows).select(F.col("v").alias("node"), F.col("m").alias("component"))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) links of any ordered type to (node, component): the smallest node that each reaches.
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leakdrift.llm.common import connected_components, sized_semi_join, small_batches, table, written
+from leakdrift.llm.common import connected_components, least_of_component, sized_semi_join, small_batches, table, with_hubs, written
 
 #: MinHash samples; BANDS * ROWS of them make the bands. At a similarity of 0.8 a pair shares no band with
 #: probability (1 - 0.8 ** 4) ** 28 = 4e-7.
@@ -64,6 +64,13 @@ def shingle_set(text: str | None, width: int, known: Words) -> np.ndarray:
     return np.unique(s)
 
 
+def fingerprint(s: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of a set, as signed integers."""
+    with np.errstate(over="ignore"):
+        sums = [s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix64(s ^ np.uint64(77))) if len(s) else np.uint64(0)]
+    return np.array(sums, dtype=np.uint64).view(np.int64)
+
+
 def minhashes(s: np.ndarray, factors: np.ndarray) -> np.ndarray:
     low = np.full(len(factors), np.iinfo(np.uint64).max, dtype=np.uint64)
     for k in range(0, len(s), 2048):
@@ -96,12 +103,11 @@ def featured(docs: DataFrame, width: int) -> DataFrame:
                 s = shingle_set(text, width, known)
                 low = minhashes(s, factors)
                 with np.errstate(over="ignore"):
-                    f1, f2 = int(s.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mix64(s ^ np.uint64(77)))) if len(s) else 0
                     keys = low[: BANDS * ROWS].reshape(BANDS, ROWS)
                     band = np.zeros(BANDS, dtype=np.uint64)
                     for k in range(ROWS):
                         band = mix64(band * np.uint64(31) + keys[:, k])
-                signed = np.array([f1, f2], dtype=np.uint64).view(np.int64)
+                signed = fingerprint(s)
                 rows.append((len(s), signed[0], signed[1], (band >> np.uint64(32)).astype(np.uint32).view(np.int32), odd_sketch(low).tobytes()))
             yield pd.DataFrame(rows, columns=["n_shingles", "f1", "f2", "bands", "sketch"])
 
@@ -285,19 +291,29 @@ def in_frames(rows: DataFrame, key: list[str], work: Callable[[pd.DataFrame], pd
     return rows.groupBy(F.pmod(F.xxhash64(*key), F.lit(n)).alias("frame")).applyInPandas(lambda frame: work(frame), PAIRS)
 
 
-def full_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, s): the full sets of the documents with the ids, sorted, as bytes."""
+KEY = ["n_shingles", "f1", "f2"]
+
+
+def full_sets(reps: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(rep, s): the full sets of the classes, sorted, as bytes, made again from a text that has the class's fingerprint.
+
+    Several texts can have a class's least id; those of other classes are left out by their fingerprints.
+    """
 
-    @F.pandas_udf("binary")
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("s binary, n_shingles long, f1 long, f2 long")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = Words()
         for batch in batches:
-            yield pd.Series([shingle_set(t, width, known).tobytes() for t in batch], dtype=object)
+            found = [shingle_set(t, width, known) for t in batch]
+            signed = [fingerprint(s) for s in found]
+            yield pd.DataFrame({"s": [s.tobytes() for s in found], "n_shingles": [len(s) for s in found], "f1": [f[0] for f in signed], "f2": [f[1] for f in signed]})
 
-    return sized_semi_join(docs, ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", sets("text").alias("s"))
+    wanted = classes.join(reps, "rep", "left_semi").select("rep", F.col("least").alias("doc_id"), *KEY)
+    found = sized_semi_join(docs, wanted.select("doc_id").distinct(), "doc_id").select("doc_id", sets("text").alias("x")).select("doc_id", "x.*")
+    return found.join(wanted, ["doc_id", *KEY]).dropDuplicates(["rep"]).select("rep", "s")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
 
     @F.pandas_udf("boolean")
@@ -309,17 +325,17 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
             out.append(100 * both >= percent * (len(p) + len(q) - both))
         return pd.Series(out, dtype=bool)
 
-    need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    full = written(full_sets(need, docs, width))
-    one = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
-    one = one.join(full.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    need = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    full = written(full_sets(need, classes, docs, width))
+    one = pairs.join(full.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
+    one = one.join(full.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     return written(one.where(alike("sa", "sb")).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text) to (doc_id, n_shingles, component_id, kept), one row for each row.
 
-    Documents with equal sets are one class, which its smallest id stands for. Classes that share a band meet in
+    Documents with equal sets are one class, which a number stands for. Classes that share a band meet in
     buckets; a bucket's odd sketches are compared in blocks, and its maximum spanning forest of estimates is
     confirmed on full sets. What is confirmed makes components. A second forest joins the components of buckets
     that were too large for one block, by some documents of each; then every candidate pair that still lies in two
@@ -331,10 +347,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     docs = docs.select("doc_id", "text")
     found = written(featured(docs, width))
     real = found.where("n_shingles > 0 and doc_id is not null")
-    key = ["n_shingles", "f1", "f2"]
-    classes = written(real.groupBy(*key).agg(F.min("doc_id").alias("rep")))
-    rep_of = real.join(classes, key).select("doc_id", "rep").distinct()
-    reps = real.join(classes, key).where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "bands", "sketch")
+    # Numbers are fixed once they are written.
+    first = [F.first(c).alias(c) for c in ("bands", "sketch")]
+    grouped = real.groupBy(*KEY).agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *first)
+    classes = written(grouped.withColumn("rep", F.monotonically_increasing_id()))
+    reps = classes.select("rep", "bands", "sketch")
     slots = reps.select("rep", F.posexplode("bands").alias("band", "value"))
     full = slots.groupBy("band", "value").agg(F.count("*").alias("size")).where("size > 1")
     slots = slots.join(full, ["band", "value"]).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
@@ -355,17 +372,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # Forests within chunks.
     bucket = ["band", "value", "chunk"]
     pairs = in_frames(labelled(None).join(members, "rep"), bucket, forests, FRAME)
-    links = confirmed(written(pairs.distinct()), docs, width, percent)
+    links = confirmed(written(pairs.distinct()), classes, docs, width, percent)
     # Forests over some documents of each component, for buckets of more than one chunk.
     rows = open_buckets(labelled(links).where("chunks > 1"))
     turn = F.row_number().over(Window.partitionBy("band", "value", "chunk", "comp").orderBy(F.xxhash64("rep")))
     rows = rows.withColumn("turn", turn).where(F.col("turn") <= 8)
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("comp", "turn"), F.ceil(F.col("chunks") / 8).cast("int")))
     pairs = in_frames(rows.join(members, "rep"), bucket, forests, FRAME)
-    links = written(links.unionByName(confirmed(written(pairs.distinct()), docs, width, percent)))
+    links = written(links.unionByName(confirmed(written(pairs.distinct()), classes, docs, width, percent)))
     # Everything that still lies in different components: what isn't in a bucket's largest one meets all others.
     rows = written(open_buckets(labelled(links)))
-    full = full_sets(rows.select(F.col("rep").alias("doc_id")).distinct(), docs, width).withColumnRenamed("doc_id", "rep")
+    full = full_sets(rows.select("rep").distinct(), classes, docs, width)
     members = written(members.join(full, "rep"))
     whole = in_frames(rows.where("chunks = 1").join(members, "rep"), bucket, joining(percent), FULL_FRAME)
     rows = rows.where("chunks > 1")
@@ -379,11 +396,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     left = left.select("band", "value", F.col("chunk").alias("ours"), "theirs", "rep", "comp", "minor", F.lit(True).alias("left"), F.lit(False).alias("right"))
     pairs = in_frames(left.unionByName(right).join(members, "rep"), ["band", "value", "ours", "theirs"], crossing(percent), FULL_FRAME)
     links = links.unionByName(written(whole.unionByName(pairs)))
-    parts = connected_components(links).withColumnRenamed("node", "rep")
-    out = rep_of.join(parts, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    out = found.select("doc_id", "n_shingles").join(out, "doc_id", "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    n_rows = real.count()
+    names = classes.select(F.col("rep").alias("node"), "least")
+    parts = least_of_component(written(connected_components(links)), names, n_rows).withColumnRenamed("node", "rep")
+    named = written(classes.join(parts, "rep", "left").select(*KEY, "n", F.coalesce("component", "least").alias("component_id")))
+    out = with_hubs(real.select("doc_id", *KEY), named, KEY, n_rows).select("doc_id", "n_shingles", "component_id")
+    alone = found.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakdrift.llm.common import connected_components, table, written
+from leakdrift.llm.common import connected_components, least_of_component, table, with_hubs, written
 
 #: Vectors of a block, which one task compares with another block, and of a tile within it.
 BLOCK, TILE = 4096, 512
+#: Strips along the first axis whose five numbers are sent to every task at most; more are joined by a shuffle.
+STRIPS = 1_000_000
 #: Dimensions after which the bound is looked at.
 STEPS = (8, 16, 32)
 #: Slack for rounding in bounds; every link is confirmed on the vectors themselves.
@@ -152,30 +154,22 @@ def block_pairs(reps: DataFrame, axes: np.ndarray, cosine: float, block: int) ->
     norm = F.sqrt(F.aggregate(F.transform("v", lambda x: F.pow(x.cast("double") / F.col("top"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x))
     placed = reps.withColumn("top", top).withColumn("at", lead / (F.col("top") * norm)).drop("top")
     n = max(1, -(-placed.count() // block))
-    if n > 1:
-        cuts = sorted(set(placed.approxQuantile("at", [k / n for k in range(1, n)], 0.2 / n)))
-        number = F.lit(0)
-        for c in cuts:
-            number = number + F.when(F.col("at") > c, 1).otherwise(0)
-        placed = placed.withColumn("strip", number)
-        sizes = placed.groupBy("strip").agg(F.count("*").alias("size"), F.min("at").alias("lo"), F.max("at").alias("hi")).orderBy("strip").collect()
-    else:
-        placed = placed.withColumn("strip", F.lit(0))
-        sizes = placed.groupBy("strip").agg(F.count("*").alias("size"), F.min("at").alias("lo"), F.max("at").alias("hi")).collect()
-    # The header of each block, not its vectors, is all that the driver sees.
-    first, total, heads = {}, 0, []
-    for s in sizes:
-        many = max(1, -(-s["size"] // (2 * block)))
-        first[s["strip"]] = (total, many)
-        heads += [(s["lo"], s["hi"])] * many
-        total += many
+    placed = placed.repartitionByRange(n, "at") if n > 1 else placed.coalesce(1)
+    placed = written(placed.withColumn("strip", F.spark_partition_id()))
+    # Four numbers of each strip, not its vectors, are all that the driver sees and sends back.
+    heads = placed.groupBy("strip").agg(F.count("*").alias("size"), F.min("at").alias("lo"), F.max("at").alias("hi")).toPandas().sort_values(["lo", "strip"])
+    many = np.maximum(1, -(-heads["size"].to_numpy() // (2 * block)))
+    first = np.cumsum(many) - many
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-6
-    partners = [[j for j in range(total) if max(heads[i][0] - heads[j][1], heads[j][0] - heads[i][1]) <= reach] for i in range(total)]
-    spark = reps.sparkSession
-    strips = spark.createDataFrame([(s, a, m) for s, (a, m) in first.items()] or [(0, 0, 1)], "strip int, first int, many int")
-    pairs = spark.createDataFrame([(i, p) for i, p in enumerate(partners)] or [(0, [0])], "block int, partners array<int>")
-    placed = placed.join(F.broadcast(strips), "strip").withColumn("block", F.col("first") + F.pmod(F.xxhash64("rep"), "many").cast("int"))
-    placed = placed.join(F.broadcast(pairs), "block").withColumn("partner", F.explode("partners"))
+    lo, hi = heads["lo"].to_numpy(), heads["hi"].to_numpy()
+    # Strips are ranges in order, so the strips that a link can reach are neighbours of each other.
+    start = np.searchsorted(hi, lo - reach, side="left")
+    end = np.searchsorted(lo, hi + reach, side="right") - 1
+    strips = pd.DataFrame({"strip": heads["strip"], "first": first, "many": many, "from": first[start], "to": (first + many - 1)[end]} if len(heads) else {c: [] for c in ("strip", "first", "many", "from", "to")})
+    strips = reps.sparkSession.createDataFrame(strips.astype("int64"), "strip long, first long, many long, from long, to long")
+    placed = placed.join(F.broadcast(strips) if len(heads) <= STRIPS else strips, "strip")
+    placed = placed.withColumn("block", F.col("first") + F.pmod(F.xxhash64("rep"), "many"))
+    placed = placed.withColumn("partner", F.explode(F.sequence("from", "to")))
     return placed.select(
         F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"), "rep", "copies", "v",
         (F.col("block") <= F.col("partner")).alias("left"), (F.col("block") >= F.col("partner")).alias("right"),
@@ -193,9 +187,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, block: int = BLOCK) -
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", F.col("embedding").alias("v"))
     rows = rows.withColumn("ok", F.col("vec_id").isNotNull() & F.coalesce(usable(F.col("v")), F.lit(False)))
-    classes = written(
-        rows.where("ok").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    )
+    # Numbers stand for classes, fixed once they are written: several vectors can have a common id.
+    grouped = rows.where("ok").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    classes = written(grouped.withColumn("rep", F.monotonically_increasing_id()))
     found = None
     for (dim,) in classes.select(F.size("v")).distinct().orderBy(F.size("v")).collect():
         reps = classes.where(F.size("v") == dim)
@@ -207,13 +201,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, block: int = BLOCK) -
         found = spark.createDataFrame([], "rep long, links long, other long")
     found = written(found)
     degree = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    n_rows = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     parts = connected_components(found.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    by_class = (
-        classes.join(degree, "rep", "left")
-        .join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
-    out = rows.where("ok").select("vec_id", "v").join(by_class, "v").drop("v")
+    names = classes.select(F.col("rep").alias("node"), "least")
+    parts = least_of_component(written(parts), names, n_rows).withColumnRenamed("node", "rep")
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    by_class = classes.join(degree, "rep", "left").join(parts, "rep", "left")
+    by_class = written(by_class.select("v", F.col("copies").alias("n"), n_links, F.coalesce("component", "least").alias("component_id")))
+    out = with_hubs(rows.where("ok").select("vec_id", "v"), by_class, ["v"], n_rows).drop("v")
     rest = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = out.unionByName(rest)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
