@@ -30,7 +30,7 @@ def strength(password: Column) -> Column:
 
 
 def password_errors(password: Column) -> Column:
-    """Too short is critical; weak parts and one kind of character at most are warnings. Null is empty."""
+    """Too short is critical; weak parts and fewer than four kinds of characters are warnings. Null is empty."""
     p = F.coalesce(password, F.lit(""))
     weak = reduce(lambda a, b: a | b, [F.lower(p).contains(w) for w in WEAK])
     return errors(
@@ -39,6 +39,8 @@ def password_errors(password: Column) -> Column:
             (~p.rlike(PASSWORD), "Password must be at least 8 characters long", "Critical"),
             (weak, "Password appears to contain common weak patterns", "Warning"),
             (strength(p) <= 1, "Password is very weak", "Warning"),
+            (strength(p) == 2, "Password is weak - consider adding more character types", "Warning"),
+            (strength(p) == 3, "Password is moderate strength", "Warning"),
         ],
     )
 

@@ -110,3 +110,10 @@ WARNINGS = {
     "Potential Stripe secret key": r"sk_live_[0-9a-zA-Z]{24,}",
     "Potential GitHub personal access token": r"ghp_[0-9a-zA-Z]{36}",
 }
+# Warnings on a file as a whole, the size from which there is one, and parts of names.
+MAX_CHECKED_BYTES = 100 * 1024 * 1024
+TOO_LARGE = "File too large for encryption (>100MB)"
+BINARY = "File appears to be binary - ensure this is intended"
+ENCODED = "High entropy string detected - may be encoded secret"
+SUSPICIOUS = "Filename suggests this file may contain sensitive data"
+SUSPICIOUS_NAMES = ["password", "secret", "key", "token", "credential"]

@@ -19,12 +19,53 @@ def let(value: Column, body) -> Column:  # noqa: ANN001
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+PLACE = "struct<b:bigint,n:int,t:int>"
+#: Parts of a text that are added up at once; their sums are carried from block to block.
+BLOCK = 128
+
+
+def extent(text: Column) -> Column:
+    """Bytes, newlines and the code points after the last newline of a text."""
+    tail = F.length(F.substring_index(text, "\n", -1))
+    return F.struct(F.octet_length(text).cast("bigint").alias("b"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("n"), tail.alias("t")).cast(PLACE)
+
+
+def after(x: Column, y: Column) -> Column:
+    """The extent of two texts, one behind the other."""
+    tail = F.when(y["n"] > 0, y["t"]).otherwise(x["t"] + y["t"])
+    return F.struct((x["b"] + y["b"]).alias("b"), (x["n"] + y["n"]).alias("n"), tail.alias("t")).cast(PLACE)
+
+
+def running(parts: Column) -> Column:
+    """The extents up to and with each part. Costs a block's length for each part, and the parts for each block."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("b"), F.lit(0).alias("n"), F.lit(0).alias("t")).cast(PLACE)
+    none = F.array().cast(f"array<{PLACE}>")
+
+    def within(k: Column) -> Column:
+        block = F.slice(parts, k * BLOCK + 1, F.lit(BLOCK))
+        return F.aggregate(block, none, lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) > 0, after(F.element_at(acc, -1), x)).otherwise(x))))
+
+    def carried(acc: Column, block: Column) -> Column:
+        before = F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(zero)
+        return F.concat(acc, let(before, lambda z: F.transform(block, lambda x: after(z, x))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), within)
+    return F.when(F.size(parts) > 0, F.aggregate(blocks, none, carried)).otherwise(none)
+
+
+def span(value: Column, place: Column) -> Column:
+    """A value where so much comes before it: byte span, 1-based line and code-point column."""
+    return F.struct(
+        value.alias("value"), place["b"].alias("start"), (place["b"] + F.octet_length(value)).alias("end"), (place["n"] + 1).alias("line"), (place["t"] + 1).alias("col"),
+    )
+
+
 def spans(text: Column, regex: str, group: int = 0, keep=None) -> Column:  # noqa: ANN001
     """All leftmost matches that don't overlap: value, byte span, 1-based line and code-point column.
 
     With group=2 the regex is (before)(value)after, and value, span and place are the second group's. `keep` is a
-    condition on the value: only matches that it holds for are placed, which costs a pass over the text each. Null
-    texts and texts without match have an empty array and cost one search.
+    condition on the value. The text is measured once between its matches, however many there are. Null texts and texts
+    without match have an empty array and cost one search.
     """
     pattern = F.lit(regex)
     parts = {"gaps": F.split(text, regex, -1), "whole": F.regexp_extract_all(text, pattern, F.lit(0))}
@@ -33,27 +74,58 @@ def spans(text: Column, regex: str, group: int = 0, keep=None) -> Column:  # noq
 
     def placed(m: Column) -> Column:
         values = m["value"] if group else m["whole"]
+        places = F.sequence(F.lit(0), F.size(values) - 1)
+        steps = F.transform(places, lambda i: F.when(i > 0, after(extent(F.get(m["whole"], i - 1)), extent(F.get(m["gaps"], i)))).otherwise(extent(F.get(m["gaps"], i))))
 
-        def one(i: Column) -> Column:
-            chars = F.length(F.array_join(F.slice(m["gaps"], 1, i + 1), "")) + F.length(F.array_join(F.slice(m["whole"], 1, i), ""))
+        def one(ends: Column, i: Column) -> Column:
+            place = F.get(ends, i)
             if group:
-                chars = chars + F.length(F.coalesce(F.get(m["lead"], i), F.lit("")))
-            value = F.get(values, i)
+                place = after(place, extent(F.coalesce(F.get(m["lead"], i), F.lit(""))))
+            return span(F.get(values, i), place)
 
-            def at(before: Column) -> Column:
-                start = F.octet_length(before).cast("bigint")
-                line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-                return F.struct(
-                    value.alias("value"), start.alias("start"), (start + F.octet_length(value)).cast("bigint").alias("end"),
-                    line.cast("int").alias("line"), (F.length(F.substring_index(before, "\n", -1)) + 1).cast("int").alias("col"),
-                )
+        some = F.filter(places, lambda i: keep(F.get(values, i))) if keep else places
+        # Without values to keep nothing is measured.
+        return let(some, lambda s: F.when(F.size(s) > 0, let(running(steps), lambda ends: F.transform(s, lambda i: one(ends, i)))).otherwise(F.array().cast(SPAN)))
 
-            return let(F.left(text, chars), at)
+    found = let(F.struct(*[c.alias(k) for k, c in parts.items()]), placed).cast(SPAN)
+    return F.when(text.rlike(regex), found).otherwise(F.array().cast(SPAN))
 
-        places = F.sequence(F.lit(0), F.size(values) - 1)
-        return F.transform(F.filter(places, lambda i: keep(F.get(values, i))) if keep else places, one)
 
-    found = let(F.struct(*[c.alias(k) for k, c in parts.items()]), placed).cast(SPAN)
+def word_spans(text: Column, word: str, radius: int) -> Column:
+    """Every occurrence of a word in any case, overlapping ones too: its surroundings of `radius` code points and their span.
+
+    The text is cut before each occurrence, and measured between the beginnings of the surroundings, once in all.
+    """
+    regex = f"(?i)(?={re.escape(word)})" if word.isascii() else f"(?iu)(?={re.escape(word)})"
+    k = len(word)
+
+    def placed(pieces: Column) -> Column:
+        # The occurrences are the beginnings of all pieces, but the first's only where the text begins with the word.
+        first = F.when(text.rlike(f"\\A{regex}"), 0).otherwise(1)
+        places = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: i >= first)
+        last = lambda s, n: F.substr(s, F.greatest(F.length(s) - n + 1, F.lit(1)))
+        heads, tails = F.transform(pieces, lambda p: F.left(p, F.lit(k + radius))), F.transform(pieces, lambda p: last(p, F.lit(radius)))
+
+        def surroundings(cut: Column) -> Column:
+            def one(i: Column) -> Column:
+                back = F.greatest(i - radius, F.lit(0))
+                before = F.when(i > 0, last(F.array_join(F.slice(cut["tails"], back + 1, i - back), ""), F.lit(radius))).otherwise(F.lit(""))
+                inside = F.left(F.array_join(F.slice(cut["heads"], i + 1, F.lit(k + radius)), ""), F.lit(k + radius))
+                return F.struct(before.alias("before"), F.concat(before, inside).alias("all"), i.alias("i"))
+
+            return F.transform(places, one)
+
+        def spanned(found: Column) -> Column:
+            def gap(x: Column, j: Column) -> Column:
+                past = F.when(j > 0, F.concat(F.get(found, j - 1)["before"], F.get(pieces, x["i"] - 1))).otherwise(F.when(x["i"] > 0, F.get(pieces, F.lit(0))).otherwise(F.lit("")))
+                return extent(let(past, lambda p: F.left(p, F.length(p) - F.length(x["before"]))))
+
+            return let(running(F.transform(found, gap)), lambda ends: F.transform(found, lambda x, j: span(x["all"], F.get(ends, j))))
+
+        cut = let(F.struct(heads.alias("heads"), tails.alias("tails")), surroundings)
+        return let(cut, spanned)
+
+    found = let(F.split(text, regex, -1), placed).cast(SPAN)
     return F.when(text.rlike(regex), found).otherwise(F.array().cast(SPAN))
 
 
@@ -128,11 +200,12 @@ def likely_secret(value: Column, shannon: Column, normal: Column, charset: Colum
 
 
 def entropy_confidence(value: Column, shannon: Column, normal: Column, charset: Column) -> Column:
-    """How sure the entropy alone makes of a value: by entropy, alphabet, length and classes, at most 1."""
+    """How sure the entropy alone makes of a value: by entropy, alphabet, length and classes; less for prose and common values."""
     n, k = F.octet_length(value), class_count(value)
     sure = F.least(shannon / 6, F.lit(0.4)) + 0.3 * normal + F.least(charset / 62, F.lit(0.2))
     sure = sure + F.when(n >= 20, 0.1).when(n >= 12, 0.05).otherwise(0.0) + F.when(k >= 3, 0.1).otherwise(0.0)
-    return F.least(F.lit(1.0), sure)
+    sure = sure - F.when(natural_language(value), 0.3).otherwise(0.0) - F.when(any_part(F.lower(value), L.NON_SECRETS), 0.4).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure))
 
 
 def analyse(value: Column, at: Thresholds = DEFAULT) -> Column:

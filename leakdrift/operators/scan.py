@@ -26,16 +26,27 @@ def library_spans(patterns: list[L.SecretPattern], low: Column) -> Column:
     return F.concat(*[tagged(T.first_matches(F.col("content"), low, p.regex, p.needs), k, p.name) for k, p in enumerate(patterns)])
 
 
+def with_context(found: Column, content: Column) -> Column:
+    """Tagged spans with the two lines before and after theirs, from lines that are cut once for each text."""
+
+    def of_lines(lines: Column) -> Column:
+        def one(x: Column) -> Column:
+            first = F.greatest(F.lit(1), x["m"]["line"] - 2)
+            return F.struct(x.alias("x"), F.array_join(F.slice(lines, first, x["m"]["line"] + 3 - first), " ").alias("context"))
+
+        return F.transform(found, one)
+
+    return F.when(F.size(found) > 0, T.let(F.split(content, "\r?\n"), of_lines))
+
+
 def located(rows: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Rows with an array `found` of tagged spans to one row each, with its place and its context, two lines before and after."""
+    rows = rows.select("doc_id", "file_path", with_context(F.col("found"), F.col("content")).alias("found"))
     # Of an outer generator no condition on `found` is derived, which would have all spans worked out once more.
-    rows = rows.select("doc_id", "file_path", "content", F.explode_outer("found").alias("x")).where("x is not null")
-    line = F.col("x.m.line")
-    first = F.greatest(F.lit(1), line - 2)
-    context = F.array_join(F.slice(F.split("content", "\r?\n"), first, line + 3 - first), " ")
+    rows = rows.select("doc_id", "file_path", F.explode_outer("found").alias("y")).where("y is not null").select("doc_id", "file_path", "y.x", "y.context")
     return rows.select(
         "doc_id", "file_path", "x.seq", "x.name", "x.m.value", F.col("x.m.start").alias("start_position"), F.col("x.m.end").alias("end_position"),
-        F.col("x.m.line").alias("line_number"), F.col("x.m.col").alias("column_number"), context.alias("context"), *[f"x.{c}" for c in more],
+        F.col("x.m.line").alias("line_number"), F.col("x.m.col").alias("column_number"), "context", *[f"x.{c}" for c in more],
     )
 
 
@@ -226,9 +237,23 @@ def hook_lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line_number", F.col("x.m.start").alias("col_bytes"), F.col("x.name").alias("name"), F.col("x.m.value").alias("value"))
 
 
+#: Lines of a text that are looked at for what may be encoded, and bytes from which they are.
+LOOKED_AT, LONG = 100, 20
+
+
 def content_warnings(docs: DataFrame) -> DataFrame:
-    """Texts with at least one warning, and the warnings."""
-    out = F.array_compact(F.array(*[F.when(F.col("content").rlike(r), F.lit(n)) for n, r in L.WARNINGS.items()]))
+    """Files with at least one warning, and the warnings: size, binary contents, what looks like secrets, and the name.
+
+    Of a null content only the name is looked at.
+    """
+    text, size = F.col("content"), F.octet_length("content")
+    nuls = size - F.octet_length(F.replace(text, F.lit("\x00"), F.lit("")))
+    lines = F.transform(F.slice(F.split(text, "\n"), 1, LOOKED_AT), lambda x: F.rtrim(x, F.lit("\r")))
+    encoded = F.exists(lines, lambda x: (F.octet_length(x) > LONG) & (F.round(T.entropy(x), 9) > 4.0))
+    found = [(size > L.MAX_CHECKED_BYTES, L.TOO_LARGE), (nuls > F.floor(size / 100), L.BINARY)]
+    found += [(text.rlike(r), f"{n} detected in file content") for n, r in L.WARNINGS.items()]
+    found += [(encoded, L.ENCODED), (T.any_part(F.lower("file_path"), L.SUSPICIOUS_NAMES), L.SUSPICIOUS)]
+    out = F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in found]))
     return docs.select("doc_id", "file_path", out.alias("w")).where(F.size("w") > 0).select("doc_id", "file_path", F.array_join("w", "; ").alias("warnings"), F.size("w").alias("n_warnings"))
 
 

@@ -53,15 +53,16 @@ def any_of(words: list[str]) -> str:
     return "(" + ", ".join(map(q, words)) + ")"
 
 
-SCORED = f"""with c as ({C}), {matches('c', [p.regex for p in L.PATTERNS])}, p(seq, name, secret_type, confidence) as (values {PATTERN_ROWS}),
-s0 as (select m.*, array_to_string(lines[greatest(1, line_number - 2):line_number + 2], ' ') as ctx from m),
-s1 as (select s0.*, p.name as detector_name, p.secret_type, case when strlen(value) between 8 and 1000 then {ENTROPY} else 0 end as h, {ADJUSTED} as a from s0 join p using (seq)),
-s as (select *, floor(greatest(0.0, least(1.0, a * case when h > 0 and h < 2.5 then cast(0.7 as double) when h > 4.5 then 1.1 else 1.0 end
+COMPOSITE = f"""floor(greatest(0.0, least(1.0, a * case when h > 0 and h < 2.5 then cast(0.7 as double) when h > 4.5 then 1.1 else 1.0 end
   * case when strlen(value) < 8 then cast(0.6 as double) when strlen(value) > 40 and strlen(value) < 100 then 1.05 when strlen(value) > 200 then 0.8 else 1.0 end
   * case when {CLASSES} >= 3 then cast(1.1 as double) when {CLASSES} = 1 then 0.7 else 1.0 end
   * case when not {HAS_EXT} then cast(1.0 as double) when {EXT} in {any_of(L.CONFIG_EXTENSIONS)} then 1.2 when {EXT} in {any_of(L.SOURCE_EXTENSIONS)} then 1.0
       when {EXT} in {any_of(L.DOC_EXTENSIONS)} then 0.7 when contains(file_path, 'test') then 0.5 else 1.0 end
-  * case when {FALSE_POSITIVE} then cast(0.3 as double) else 1.0 end)) * 1e6 + cast(0.51 as double)) / 1e6 as confidence from s1),
+  * case when {FALSE_POSITIVE} then cast(0.3 as double) else 1.0 end)) * 1e6 + cast(0.51 as double)) / 1e6"""
+SCORED = f"""with c as ({C}), {matches('c', [p.regex for p in L.PATTERNS])}, p(seq, name, secret_type, confidence) as (values {PATTERN_ROWS}),
+s0 as (select m.*, array_to_string(lines[greatest(1, line_number - 2):line_number + 2], ' ') as ctx from m),
+s1 as (select s0.*, p.name as detector_name, p.secret_type, case when strlen(value) between 8 and 1000 then {ENTROPY} else 0 end as h, {ADJUSTED} as a from s0 join p using (seq)),
+s as (select *, {COMPOSITE} as confidence from s1),
 f as (select * from s qualify row_number() over (partition by doc_id, start_position, end_position order by seq) = 1),
 l as (select *, case when confidence < 0.3 then 'VeryLow' when confidence < 0.5 then 'Low' when confidence < 0.7 then 'Medium' when confidence < 0.9 then 'High' else 'VeryHigh' end as confidence_level from f)
 """
@@ -77,7 +78,13 @@ LOG = """with o as (select event_id, ts, case event_type when 'view' then 'Read'
  user_id as service, value * 100 as duration_ms, event_type <> 'error' as success from events)"""
 MEMBERS = f"select s_suppkey as member, [{', '.join(map(q, ROLES))}][s_suppkey % 4 + 1] as role, s_acctbal >= 0 as active from supplier"
 MAY = " or ".join(f"(role = {q(r)} and operation in {any_of(o)})" for r, o in MATRIX.items())
-WARN = "array_to_string(list_filter([" + ", ".join(f"case when regexp_matches(content, {q(r)}) then {q(n)} end" for n, r in L.WARNINGS.items()) + "], lambda x: x is not null), '; ')"
+LINE_ENTROPY = f"exists (select 1 from (select unnest(string_split(content, chr(10))[1:100]) as value) v where strlen(rtrim(value, chr(13))) > 20 and round({ENTROPY.replace('value', 'rtrim(value, chr(13))')}, 9) > 4.0)"
+NULS = "strlen(content) - strlen(replace(content, chr(0), ''))"
+WARN_LIST = [(f"strlen(content) > {100 * 1024 * 1024}", "File too large for encryption (>100MB)"), (f"{NULS} > strlen(content) // 100", "File appears to be binary - ensure this is intended")]
+WARN_LIST += [(f"regexp_matches(content, {q(r)})", f"{n} detected in file content") for n, r in L.WARNINGS.items()]
+WARN_LIST += [(LINE_ENTROPY, "High entropy string detected - may be encoded secret")]
+WARN_LIST += [("regexp_matches(lower(file_path), 'password|secret|key|token|credential')", "Filename suggests this file may contain sensitive data")]
+WARN = "array_to_string(list_filter([" + ", ".join(f"case when {c} then {q(n)} end" for c, n in WARN_LIST) + "], lambda x: x is not null), '; ')"
 TOKENS = "select distinct value from (select unnest(string_split(text, ' ')) as value from documents) where length(value) >= 8"
 
 #: Rules of each kind that the query of the rules runs; the SQL below says the same.
@@ -116,19 +123,24 @@ RULE_ROWS = " union all ".join([
 CHARSET = "len(list_distinct(string_split(value, '')))"
 NORMAL = f"case when {CHARSET} > 1 then {ENTROPY} / log2({CHARSET}) else 0.0 end"
 PROSE = "(" + " + ".join(f"cast(contains(lower(value), {q(w)}) as int)" for w in L.COMMON_WORDS) + ") >= 2"
+COMMON = "(" + " or ".join(f"contains(lower(value), {q(w)})" for w in L.NON_SECRETS) + ")"
 LIKELY = (
-    f"{ENTROPY} >= 3.5 and {NORMAL} >= 0.6 and {CHARSET} >= 8 and not {PROSE} and not regexp_matches(value, '^([0-9]*|[A-Z]*|[a-z]*)$') and not ("
-    + " or ".join(f"contains(lower(value), {q(w)})" for w in L.NON_SECRETS) + ")"
-)
+    f"{ENTROPY} >= 3.5 and {NORMAL} >= 0.6 and {CHARSET} >= 8 and not {PROSE} and not regexp_matches(value, '^([0-9]*|[A-Z]*|[a-z]*)$') and not {COMMON}"
+)
 SURE = (
-    f"least(cast(1.0 as double), least({ENTROPY} / 6, cast(0.4 as double)) + cast(0.3 as double) * {NORMAL} + least({CHARSET} / cast(62 as double), cast(0.2 as double))"
-    f" + case when strlen(value) >= 20 then cast(0.1 as double) when strlen(value) >= 12 then 0.05 else 0 end + case when {CLASSES} >= 3 then cast(0.1 as double) else 0 end)"
+    f"greatest(cast(0.0 as double), least(cast(1.0 as double), least({ENTROPY} / 6, cast(0.4 as double)) + cast(0.3 as double) * {NORMAL} + least({CHARSET} / cast(62 as double), cast(0.2 as double))"
+    f" + case when strlen(value) >= 20 then cast(0.1 as double) when strlen(value) >= 12 then 0.05 else 0 end + case when {CLASSES} >= 3 then cast(0.1 as double) else 0 end"
+    f" - case when {PROSE} then cast(0.3 as double) else 0 end - case when {COMMON} then cast(0.4 as double) else 0 end))"
 )
 INSIDE = "strlen(value) between 8 and 1000"
+KINDS = "(" + " + ".join(f"cast(regexp_matches(value, {q(k)}) as int)" for k in (r"\p{Lu}", r"\p{Ll}", r"\p{N}", r"[^\p{L}\p{N}]")) + ")"
+VALUES = "select distinct unnest(string_split(text, ' ')) as value from documents"
 PASSWORD = [
     (r"not regexp_matches(value, '\A[^\n]{8,}\z')", "Password must be at least 8 characters long", "Critical"),
     ("(" + " or ".join(f"contains(lower(value), {q(w)})" for w in ("password", "12345678", "qwerty123", "admin123")) + ")", "Password appears to contain common weak patterns", "Warning"),
-    ("(" + " + ".join(f"cast(regexp_matches(value, {q(k)}) as int)" for k in (r"\p{Lu}", r"\p{Ll}", r"\p{N}", r"[^\p{L}\p{N}]")) + ") <= 1", "Password is very weak", "Warning"),
+    (f"{KINDS} <= 1", "Password is very weak", "Warning"),
+    (f"{KINDS} = 2", "Password is weak - consider adding more character types", "Warning"),
+    (f"{KINDS} = 3", "Password is moderate strength", "Warning"),
 ]
 
 
@@ -144,7 +156,57 @@ PATHS = [
 FILE_NAME_HAS_EXT = r"regexp_matches(regexp_extract(file_path, '[^/]*$'), '^.+\.[^.]*$')"
 HUNDREDTH = "printf('%.{d}f', cast(round_even(cast(confidence * 100 as decimal(20,9)), {d}) as double))"
 
+
+
+def found(regexes: list[str], stage: int, keep: str = "true", names: list[str] | None = None) -> str:
+    """Matches of the regexes in c that `keep` (a condition on value) holds for; with names, the second group's, by its name."""
+    lead = "regexp_extract_all(content, {r}, 1)" if names else "cast([] as varchar[])"
+    each = " union all ".join(
+        f"select doc_id, file_path, content, {k} as seq, {q(names[k] if names else '')} as name, string_split_regex(content, {q(r)}) as g, regexp_extract_all(content, {q(r)}) as w, "
+        f"{lead.format(r=q(r))} as l, regexp_extract_all(content, {q(r)}{', 2' if names else ''}) as v from c where regexp_matches(content, {q(r)})"
+        for k, r in enumerate(regexes)
+    )
+    before = "array_to_string(list_concat(list_transform(generate_series(1, i - 1), lambda k: g[k] || w[k]), [g[i], coalesce(l[i], '')]), '')"
+    return f"""select doc_id, file_path, {stage} as stage, seq, name, value, cast(strlen(b) as bigint) as start_position, cast(strlen(b) + strlen(value) as bigint) as end_position,
+      cast(len(string_split(b, chr(10))) as int) as line_number, cast(length(string_split(b, chr(10))[-1]) + 1 as int) as column_number, string_split(content, chr(10)) as lines
+      from (select *, {before} as b from (select * from (select *, v[i] as value from (select *, unnest(generate_series(1, len(v))) as i from ({each}) e0) e1) e2 where {keep}) e3) e4"""
+
+
+TOKEN = r"[\p{L}\p{N}\-_+/=]+"
+BASE64 = "[A-Za-z0-9+/]{20,}={0,2}"
+LOOK = "strlen(value) between 8 and 1000 and not regexp_matches(value, '^([0-9]*|[A-Z]*|[a-z]*)$') and length(value) >= 10 and len(list_distinct(string_split(value, ''))) >= 10"
+SHAPED = "(strlen(value) % 4 = 0 or (strlen(value) % 4 = 2 and ends_with(value, '==')) or (strlen(value) % 4 = 3 and ends_with(value, '=')))"
+FREE = "not exists (select 1 from m0 x where x.doc_id = {t}.doc_id and (({t}.start_position >= x.start_position and {t}.start_position < x.end_position) or ({t}.end_position > x.start_position and {t}.end_position <= x.end_position)))"
+CONTEXTUAL = {k: rf"""(?i)({k}[:\s=]+["']?)({r})["']?""" for k, r in L.CONTEXTUAL.items()}
+GOOD_TOKEN = f"{INSIDE} and {LIKELY} and not {FALSE_POSITIVE} and {CHARSET} >= 10 and ({ENTROPY} <= 5.5 or regexp_matches(value, '^[ -~]*$'))"
+GOOD_WORD = (
+    f"not (" + " or ".join(f"contains(lower(value), {q(w)})" for w in L.HELP_WORDS) + f") and (name <> 'password' or {CLASSES} >= 2)"
+    " and (name not in ('api_key', 'token') or strlen(value) >= 20) and (name <> 'secret' or strlen(value) >= 12)"
+)
+WORD_SURE = f"least(cast(0.95 as double), cast(0.6 as double) + case when name in ('password', 'private_key') then cast(0.15 as double) when name in ('api_key', 'token', 'secret') then 0.1 else 0 end + {CLASSES} * cast(0.05 as double) + case when strlen(value) > 30 then cast(0.1 as double) else 0 end + case when {ENTROPY} > 4.0 then cast(0.1 as double) else 0 end)"
+ENTROPY_KIND = f"""case when starts_with(value, 'AKIA') then 'aws_access_key' when starts_with(value, 'sk_') or starts_with(value, 'pk_') then 'api_key' when regexp_matches(value, '^[0-9a-fA-F]{{40}}$') then 'sha1_hash_or_token'
+  when regexp_matches(value, '^[0-9a-fA-F]{{64}}$') then 'sha256_hash_or_token' when {CLASSES} = 4 then 'high_entropy_password' when {CHARSET} > 50 then 'high_entropy_token' else 'high_entropy_string' end"""
+SEVERITIES = "case secret_type " + " ".join(f"when {q(k)} then {v}" for k, v in L.SEVERITY.items()) + " else 5 end"
+#: `m0` are the patterns' matches, `f` the findings of all stages, one for each span.
+ALL_STAGES = SCORED.split("s0 as (")[0].replace(matches("c", [p.regex for p in L.PATTERNS]), "m0 as (" + found([p.regex for p in L.PATTERNS], 0) + ")").rstrip(", \n") + f""",
+ t2 as ({found([TOKEN], 2, LOOK)}), t3 as ({found([BASE64], 3, SHAPED)}), t4 as ({found(list(CONTEXTUAL.values()), 4, "true", list(CONTEXTUAL))}),
+ y as (select m0.*, p.secret_type, p.confidence as base from m0 join p using (seq)
+  union all select t2.*, {ENTROPY_KIND}, {SURE} from t2 where {FREE.format(t='t2')} and {GOOD_TOKEN}
+  union all select t3.*, {ENTROPY_KIND}, {SURE} from t3 where {FREE.format(t='t3')} and {INSIDE} and {SURE} > 0.6
+  union all select t4.*, 'contextual_pattern', {WORD_SURE} from t4 where {GOOD_WORD}),
+ s0 as (select y.*, array_to_string(list_transform(lines[greatest(1, line_number - 2):line_number + 2], lambda x: rtrim(x, chr(13))), ' ') as ctx, {{'confidence': base}} as p from y),
+ s1 as (select s0.*, case when strlen(value) between 8 and 1000 then {ENTROPY} else 0 end as h, {ADJUSTED} as a from s0),
+ s as (select *, case when stage = 4 then floor(base * 1e6 + cast(0.51 as double)) / 1e6 else {COMPOSITE} end as confidence from s1),
+ f as (select * from s qualify row_number() over (partition by doc_id, start_position, end_position order by stage, seq) = 1),
+ r as (select *, case when strlen(value) > 50 then left(value, 47) || '...' else value end as shown from f)
+"""
+
 ORACLES = {
+    "c25_scan_content": ALL_STAGES + f"""select doc_id, file_path, shown as value, secret_type, start_position, end_position, line_number, column_number, stage, confidence,
+      case when confidence < 0.3 then 'VeryLow' when confidence < 0.5 then 'Low' when confidence < 0.7 then 'Medium' when confidence < 0.9 then 'High' else 'VeryHigh' end as confidence_level, {SEVERITIES} as severity from r""",
+    "c26_post_process": ALL_STAGES + f""", k as (select * from r where confidence >= 0.5 and not regexp_matches(shown, {q('|'.join(L.IGNORED_VALUES))}) order by confidence desc, doc_id, start_position, end_position, secret_type limit 100),
+      d as (select *, lag(shown) over w as b_value, lag(file_path) over w as b_path from k window w as (order by confidence desc, doc_id, start_position, end_position, secret_type))
+      select doc_id, shown as value, secret_type, confidence from d where b_value is null or b_value <> shown or b_path <> file_path""",
     "c02_find_all_matches": f"with c as ({C}), {matches('c', [p.regex for p in L.PATTERNS])} select doc_id, seq, value, start_position, end_position, line_number, column_number from m",
     "c05_hook_scan": f"with c as ({C}), {HOOKS}, n(seq, name) as (values {', '.join(f'({k}, {q(n)})' for k, n in enumerate(L.HOOK_PATTERNS))}) select doc_id, file_path as line_number, name, value, start_position as col_bytes from m join n using (seq)",
     "c06_content_warnings": f"with c as ({C}), w as (select doc_id, file_path, {WARN} as warnings from c) select doc_id, file_path, warnings from w where warnings <> ''",
@@ -184,9 +246,9 @@ ORACLES = {
     "b16_validity": SCORED + "select doc_id, start_position, detector_name, secret_type in ('AWS Access Key', 'GitHub Token') or confidence > 0.8 as is_valid from l",
     "a08_csv_report": SCORED + f"select file_path as File, secret_type as Type, cast(line_number as varchar) as Line, {HUNDREDTH.format(d=2)} as Confidence, value as Value from l",
     "c27_summary": SCORED + f"select doc_id, start_position, secret_type || ' in ' || file_path || ' (line ' || line_number || ', confidence: ' || {HUNDREDTH.format(d=1)} || '%)' as summary from l",
-    "l13_password_checks": f"with t as ({TOKENS}) select value, not ({PASSWORD[0][0]}) as is_valid, {told(PASSWORD)} as messages from t",
-    "l14_path_checks": f"with t as (select doc_id, coalesce(string_split(text, chr(10))[1], '') as value from documents) select doc_id, value <> '' and not ({' or '.join(c for c, _, _ in PATHS)}) as is_valid, case when value = '' then 'File path cannot be empty' else {told(PATHS)} end as messages from t",
-    "g19_validation_rollup": f"with t as ({TOKENS}) " + " union all ".join(f"select 'password' as field, {q(s)} as severity, sum(n) as n from (" + " union all ".join(f"select count(*) as n from t where {c}" for c, _, z in PASSWORD if z == s) + ") x having sum(n) > 0" for s in ("Critical", "Warning")),
+    "l13_password_checks": f"with t as ({VALUES}) select value, not ({PASSWORD[0][0]}) as is_valid, {told(PASSWORD)} as messages from t",
+    "l14_path_checks": f"with t as (select doc_id, unnest(string_split(text, chr(10))) as value, cast(generate_subscripts(string_split(text, chr(10)), 1) - 1 as int) as line_no from documents) select doc_id, line_no, value <> '' and not ({' or '.join(c for c, _, _ in PATHS)}) as is_valid, case when value = '' then 'File path cannot be empty' else {told(PATHS)} end as messages from t",
+    "g19_validation_rollup": f"with t as ({VALUES}) " + " union all ".join(f"select 'password' as field, {q(s)} as severity, sum(n) as n from (" + " union all ".join(f"select count(*) as n from t where {c}" for c, _, z in PASSWORD if z == s) + ") x having sum(n) > 0" for s in ("Critical", "Warning")),
     "l02_encrypted_paths": f"with c as ({C}), p as (select doc_id, file_path, file_path || case when {FILE_NAME_HAS_EXT} then '.enc' else '.dat.enc' end as encrypted from c) select doc_id, encrypted, translate(file_path, '/' || chr(92), '__') as flat, left(encrypted, length(encrypted) - 4) as decrypted from p",
     "g09_byte_totals": LOG + " select cast(coalesce(sum(size_bytes) filter (success and op_type = 'Encrypt'), 0) as bigint) as bytes_encrypted, cast(coalesce(sum(size_bytes) filter (success and op_type = 'Decrypt'), 0) as bigint) as bytes_decrypted, count(*) filter (success) as n_good from (select o.*, cast(trunc(duration_ms / 100 * 1024) as bigint) as size_bytes from o) o",
     "g10_throughput": LOG + ", m as (select op_type, count(*) as n, floor(sum(cast(duration_ms as decimal(28,6))) / 1000) as s from o group by 1) select 'crypto_' || op_type as name, round(n / cast(s as double), 6) as per_second from m where s >= 1",

@@ -42,6 +42,11 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.length("value") >= 8).distinct()
 
 
+def values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All different strings between spaces, short and empty ones too."""
+    return table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ", -1)).alias("value")).distinct()
+
+
 @query("c02_find_all_matches")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.pattern_matches(corpus(spark, sf_dir)).select("doc_id", "seq", "value", "start_position", "end_position", "line_number", "column_number")
@@ -232,21 +237,21 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("l13_password_checks")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tokens(spark, sf_dir).select("value", checks.password_errors(F.col("value")).alias("found"))
+    rows = values(spark, sf_dir).select("value", checks.password_errors(F.col("value")).alias("found"))
     return rows.select("value", checks.is_valid(F.col("found")).alias("is_valid"), F.array_join(F.transform("found", lambda e: e["message"]), "; ").alias("messages"))
 
 
 @query("l14_path_checks")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first line of each document, taken for a path."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("path"))
-    rows = rows.select("doc_id", checks.path_errors(F.col("path")).alias("found"))
-    return rows.select("doc_id", checks.is_valid(F.col("found")).alias("is_valid"), F.array_join(F.transform("found", lambda e: e["message"]), "; ").alias("messages"))
+    """Every line of each document, taken for a path."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "path"))
+    rows = rows.select("doc_id", "line_no", checks.path_errors(F.col("path")).alias("found"))
+    return rows.select("doc_id", "line_no", checks.is_valid(F.col("found")).alias("is_valid"), F.array_join(F.transform("found", lambda e: e["message"]), "; ").alias("messages"))
 
 
 @query("g19_validation_rollup")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.rollup(tokens(spark, sf_dir).select(checks.password_errors(F.col("value")).alias("found")), "found")
+    return checks.rollup(values(spark, sf_dir).select(checks.password_errors(F.col("value")).alias("found")), "found")
 
 
 @query("l02_encrypted_paths")
