@@ -17,6 +17,15 @@ PASSWORD = r"\A[^\n]{8,}\z"
 CONFIG_KEY = r"\A[a-zA-Z0-9_.]+\z"
 
 
+# Settings with their least and largest numbers and what is said beyond; and the longest other value.
+LIMITS = [
+    ("memory_cost", "Memory cost", 1024, "Memory cost too low for security", 1048576, "Memory cost extremely high - may cause system issues"),
+    ("time_cost", "Time cost", 1, "Time cost must be at least 1", 100, "Time cost very high - operations will be slow"),
+    ("parallelism", "Parallelism", 1, "Parallelism must be at least 1", None, ""),
+]
+LONGEST_VALUE = 1000
+
+
 def errors(field: str, found: list[tuple[Column, str, str]]) -> Column:
     """The errors whose condition holds, in their order."""
     some = [F.when(c, F.struct(F.lit(field).alias("field"), F.lit(m).alias("message"), F.lit(s).alias("severity"))) for c, m, s in found]
@@ -59,6 +68,34 @@ def path_errors(path: Column) -> Column:
     return F.when(p == "", errors("path", [(F.lit(True), "File path cannot be empty", "Critical")])).otherwise(some)
 
 
+def config_errors(pair: Column, cpus: int = 8) -> Column:
+    """Errors of a setting `key=value`: the form, the key's characters, and what the known keys' values must be. Null is empty."""
+    p = F.coalesce(pair, F.lit(""))
+    key, value = F.substring_index(p, "=", 1), F.regexp_extract(p, r"(?s)\A[^=]*=(.*)\z", 1)
+    n = F.when(value.rlike(r"\A\+?0*[0-9]{1,10}\z"), value.try_cast("decimal(38,0)").cast("long"))
+    n = F.when(n <= 2**32 - 1, n)
+    found = [(~key.rlike(CONFIG_KEY), "config_key", "Configuration key contains invalid characters", "Critical")]
+    for name, label, low, least, high, most in LIMITS:
+        own = key == name
+        found += [(own & n.isNull(), name, f"{label} must be a valid number", "Critical"), (own & (n < low), name, least, "Critical")]
+        if high is not None:
+            found.append((own & (n > high), name, most, "Warning"))
+    own = (key == "parallelism") & (n > 2 * cpus)
+    told = F.concat(F.lit("Parallelism ("), n.cast("string"), F.lit(f") higher than recommended ({cpus})"))
+    known = key.isin(*[x[0] for x in LIMITS])
+    some = [F.when(c, F.struct(F.lit(f).alias("field"), F.lit(m).alias("message"), F.lit(s).alias("severity"))) for c, f, m, s in found]
+    some.append(F.when(own, F.struct(F.lit("parallelism").alias("field"), told.alias("message"), F.lit("Warning").alias("severity"))))
+    some.append(F.when(~known & (F.octet_length(value) > LONGEST_VALUE), F.struct(key.alias("field"), F.lit("Configuration value too long").alias("message"), F.lit("Warning").alias("severity"))))
+    none = errors("config", [(F.lit(True), "Invalid config format, expected key=value", "Critical")])
+    return F.when(p.contains("="), F.array_compact(F.array(*some)).cast(ERROR)).otherwise(none)
+
+
+def permissions(mode: Column, folder: Column) -> Column:
+    """The ten letters of a file's mode bits."""
+    letters = [F.when(mode.bitwiseAND(F.lit(1 << (8 - k))) != 0, "rwx"[k % 3]).otherwise("-") for k in range(9)]
+    return F.concat(F.when(folder, "d").otherwise("-"), *letters)
+
+
 def is_valid(found: Column) -> Column:
     return ~F.exists(found, lambda e: e["severity"] == "Critical")
 

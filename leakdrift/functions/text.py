@@ -22,6 +22,8 @@ def let(value: Column, body) -> Column:  # noqa: ANN001
 PLACE = "struct<b:bigint,n:int,t:int>"
 #: Parts of a text that are added up at once; their sums are carried from block to block.
 BLOCK = 128
+#: Matches of a text that are placed one by one at most.
+FEW = 8
 
 
 def extent(text: Column) -> Column:
@@ -64,8 +66,8 @@ def spans(text: Column, regex: str, group: int = 0, keep=None) -> Column:  # noq
     """All leftmost matches that don't overlap: value, byte span, 1-based line and code-point column.
 
     With group=2 the regex is (before)(value)after, and value, span and place are the second group's. `keep` is a
-    condition on the value. The text is measured once between its matches, however many there are. Null texts and texts
-    without match have an empty array and cost one search.
+    condition on the value. A text of more than a few matches is measured once between them, however many there are. Null
+    texts and texts without match have an empty array and cost one search.
     """
     pattern = F.lit(regex)
     parts = {"gaps": F.split(text, regex, -1), "whole": F.regexp_extract_all(text, pattern, F.lit(0))}
@@ -75,17 +77,23 @@ def spans(text: Column, regex: str, group: int = 0, keep=None) -> Column:  # noq
     def placed(m: Column) -> Column:
         values = m["value"] if group else m["whole"]
         places = F.sequence(F.lit(0), F.size(values) - 1)
-        steps = F.transform(places, lambda i: F.when(i > 0, after(extent(F.get(m["whole"], i - 1)), extent(F.get(m["gaps"], i)))).otherwise(extent(F.get(m["gaps"], i))))
+        measured = F.struct(F.transform(m["gaps"], extent).alias("g"), F.transform(m["whole"], extent).alias("w"))
+        step = lambda e: lambda i: F.when(i > 0, after(F.get(e["w"], i - 1), F.get(e["g"], i))).otherwise(F.get(e["g"], i))
+        ends = let(measured, lambda e: running(F.transform(places, step(e))))
 
-        def one(ends: Column, i: Column) -> Column:
-            place = F.get(ends, i)
-            if group:
-                place = after(place, extent(F.coalesce(F.get(m["lead"], i), F.lit(""))))
-            return span(F.get(values, i), place)
+        def one(place: Column, i: Column) -> Column:
+            if not group:
+                return let(place, lambda p: span(F.get(values, i), p))
+            both = F.struct(place.alias("x"), extent(F.coalesce(F.get(m["lead"], i), F.lit(""))).alias("y"))
+            return let(both, lambda p: let(after(p["x"], p["y"]), lambda q: span(F.get(values, i), q)))
+
+        def alone(i: Column) -> Column:
+            parts = F.concat(F.slice(m["gaps"], 1, i + 1), F.slice(m["whole"], 1, i))
+            return let(F.left(text, F.length(F.array_join(parts, ""))), extent)
 
         some = F.filter(places, lambda i: keep(F.get(values, i))) if keep else places
-        # Without values to keep nothing is measured.
-        return let(some, lambda s: F.when(F.size(s) > 0, let(running(steps), lambda ends: F.transform(s, lambda i: one(ends, i)))).otherwise(F.array().cast(SPAN)))
+        # A few values are placed by a pass over the text each, which is short; of many all parts are measured.
+        return let(some, lambda s: F.when(F.size(s) <= FEW, F.transform(s, lambda i: one(alone(i), i))).otherwise(let(ends, lambda e: F.transform(s, lambda i: one(F.get(e, i), i)))))
 
     found = let(F.struct(*[c.alias(k) for k, c in parts.items()]), placed).cast(SPAN)
     return F.when(text.rlike(regex), found).otherwise(F.array().cast(SPAN))

@@ -118,3 +118,35 @@ def retry_audit(log: DataFrame, base_ms: int = 100, most_ms: int = 10_000) -> Da
     asked = F.least(F.lit(base_ms) * F.pow(F.lit(2.0), F.col("attempt") - 2), F.lit(float(most_ms)))
     rows = rows.where("attempt > 1").withColumn("asked_ms", asked.cast("long"))
     return rows.select("service", "event_id", "attempt", "asked_ms", F.col("waited").alias("waited_us"), (F.col("waited") < F.col("asked_ms") * 1000).alias("too_early"))
+
+
+MIB = 1024 * 1024
+
+
+def memory_stats(usage: DataFrame, seconds: int = 3600) -> DataFrame:
+    """usage (service, ts, usage, event_id) to a row for each service: current, peak, mean and growth, in MiB.
+
+    Current is the last row's, peak that of all rows; mean and growth are of the last `seconds`, growth a second since
+    the service's first row. One row of a service, or rows of one instant, have no growth. Ties go by event_id.
+    """
+    last = usage.groupBy("service").agg(F.max("ts").alias("_end"), F.min("ts").alias("_begin"), F.max("usage").alias("_peak"), F.max_by("usage", F.struct("ts", "event_id")).alias("_now"))
+    kept = usage.join(last.select("service", "_end"), "service").where(F.col("ts") > F.col("_end") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds)))
+    kept = kept.groupBy("service").agg(F.avg("usage").alias("_mean"), F.count("*").alias("_n"), F.min_by("usage", F.struct("ts", "event_id")).alias("_first"))
+    up = (F.unix_micros(F.col("_end").cast("timestamp")) - F.unix_micros(F.col("_begin").cast("timestamp"))) / 1e6
+    growth = F.when((F.col("_n") > 1) & (F.floor(up) > 0), (F.col("_now") - F.col("_first")) / MIB / F.floor(up)).otherwise(0.0)
+    rows = last.join(kept, "service")
+    return rows.select("service", (F.col("_now") / MIB).alias("current_mb"), (F.col("_peak") / MIB).alias("peak_mb"), (F.col("_mean") / MIB).alias("average_mb"), growth.alias("growth_mb_per_s"), F.floor(up).alias("uptime_s"))
+
+
+def growth(usage: DataFrame, seconds: int = 3600, width_s: int = 3600) -> DataFrame:
+    """At each row, how much more is used than at the service's first row of the last `seconds`; windows are spread over
+    spans of `width_s`, each with the rows that it looks back to, so that a hot service is in many tasks.
+    """
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    width, back = width_s * 1_000_000, seconds * 1_000_000
+    rows = usage.select("service", "event_id", "usage", at.alias("_at")).withColumn("_own", F.floor(F.col("_at") / width))
+    spans = F.sequence(F.col("_own"), F.floor((F.col("_at") + back) / width))
+    rows = rows.withColumn("_span", F.explode(spans))
+    order = Window.partitionBy("service", "_span").orderBy("_at").rangeBetween(-back, 0)
+    first = F.min(F.struct("_at", "event_id", "usage")).over(order)["usage"]
+    return rows.withColumn("_first", first).where("_own = _span").select("service", "event_id", (F.col("usage") - F.col("_first")).alias("growth"))

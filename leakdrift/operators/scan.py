@@ -227,6 +227,22 @@ def post_process(found: DataFrame, least: float = 0.3, low: bool = False, most:
     return rows.where(~F.col("_b").eqNullSafe(F.col("_v"))).drop("_k", "_v", "_b", "_r", "_e")
 
 
+def scan_files(files: DataFrame, patterns: list[L.SecretPattern] = L.PATTERNS, rules: list | None = None) -> tuple[DataFrame, DataFrame]:
+    """files (file_path, size_bytes, content, skip_reason) to a row for each file, and the findings of those that are scanned.
+
+    (file_path, size_bytes, n_findings, skipped, skip_reason). Files that the skip rules leave out, or that could not be
+    read, have a reason and no findings; a null content without a reason has none either.
+    """
+    reason = F.coalesce("skip_reason", T.skip_reason(F.col("file_path"), F.col("size_bytes")))
+    files = files.withColumn("skip_reason", reason)
+    docs = files.where("skip_reason is null").select(F.xxhash64("file_path").alias("doc_id"), "file_path", "content")
+    found = scan_content(docs, patterns, rules)
+    counts = found.groupBy("file_path").agg(F.count("*").alias("_n"))
+    rows = files.join(counts, "file_path", "left")
+    results = rows.select("file_path", "size_bytes", F.coalesce("_n", F.lit(0)).alias("n_findings"), F.col("skip_reason").isNotNull().alias("skipped"), "skip_reason")
+    return results, found
+
+
 def hook_lines(docs: DataFrame) -> DataFrame:
     """The commit hook: its patterns on each line; 1-based line, 0-based byte column."""
     rows = docs.select("doc_id", F.posexplode(F.split("content", "\n")).alias("i", "content"))
@@ -292,6 +308,35 @@ def csv_rows(found: DataFrame) -> DataFrame:
     )
 
 
+def risk_totals(found: DataFrame) -> DataFrame:
+    """One row: all findings, those of high and of medium risk, and the files with any. Zeros where there are none."""
+    c = F.col("confidence")
+    return found.agg(F.count("*").alias("total"), F.count_if(c >= 0.8).alias("high"), F.count_if((c >= 0.5) & (c < 0.8)).alias("medium"), F.count_distinct("file_path").alias("files"))
+
+
+def scan_status(found: DataFrame) -> DataFrame:
+    """One row that says what a scan found."""
+    c = F.col("confidence")
+    rows = found.agg(F.count("*").alias("total"), F.count_if(c >= 0.7).alias("high"), F.count_if((c >= 0.4) & (c < 0.7)).alias("medium"))
+    n = lambda k: F.col(k).cast("string")
+    some = F.concat(F.lit("Scan complete: "), n("total"), F.lit(" findings ("), n("high"), F.lit(" high, "), n("medium"), F.lit(" medium confidence)"))
+    some = F.concat(some, F.when(F.col("high") > 0, " | High confidence findings require attention!").otherwise(""))
+    return rows.withColumn("message", F.when(F.col("total") == 0, "Scan complete: No secrets detected").otherwise(some))
+
+
+def report(found: DataFrame, options: dict) -> DataFrame:
+    """One row for each file with findings: a JSON object of the options, the findings by place, and their counts.
+
+    A report of everything in one object would be one task's; the files' objects are lines of one.
+    """
+    columns = ["value", "secret_type", "line_number", "column_number", "start_position", "end_position", "confidence", "confidence_level", "severity"]
+    one = F.struct("start_position", "end_position", "secret_type", F.struct(*columns).alias("finding"))
+    rows = found.groupBy("file_path").agg(F.array_sort(F.collect_list(one)).alias("_f"), F.count("*").alias("total"), F.count_if(F.col("confidence") >= 0.7).alias("high_confidence"))
+    echo = F.struct(*[F.lit(v).alias(k) for k, v in options.items()]).alias("options")
+    stats = F.struct("total", "high_confidence").alias("stats")
+    return rows.select("file_path", F.to_json(F.struct("file_path", echo, F.transform("_f", lambda x: x["finding"]).alias("findings"), stats)).alias("report"))
+
+
 def json_rows(found: DataFrame) -> DataFrame:
     """One JSON object for each finding."""
     return found.select("doc_id", F.to_json(F.struct(*[c for c in found.columns if c != "doc_id"])).alias("finding"))

@@ -40,6 +40,34 @@ def keys_available(granted: DataFrame, people: DataFrame) -> DataFrame:
     return people.where("active").join(held, "member", "left").select("member", F.coalesce("n", F.lit(0)).alias("n_keys"))
 
 
+def key_ids(granted: DataFrame, people: DataFrame) -> DataFrame:
+    """(member, key_id): the keys that each active member has a grant for."""
+    return granted.join(people.where("active").select("member"), "member").select("member", "key_id").distinct()
+
+
+def grant_lookup(granted: DataFrame, people: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (key_id, member) with `error`: null where the member is active and has a grant for the key."""
+    rows = asked.join(people.select("member", "active"), "member", "left")
+    rows = rows.join(granted.select("key_id", "member").distinct().withColumn("_g", F.lit(True)), ["key_id", "member"], "left")
+    error = F.when(F.col("active").isNull(), "no such member").when(~F.col("active"), "member is not active").when(F.col("_g").isNull(), "no grant for the member")
+    return rows.select(*asked.columns, error.alias("error"))
+
+
+def stats(people: DataFrame, keys: DataFrame, entries: DataFrame) -> DataFrame:
+    """One row of counts over members (active), keys (expired) and audit entries."""
+    counts = [
+        people.agg(F.count("*").alias("members"), F.count_if("active").alias("active_members")),
+        keys.agg(F.count("*").alias("keys"), F.count_if("expired").alias("expired_keys")), entries.agg(F.count("*").alias("audit_entries")),
+    ]
+    # Each is one row.
+    return counts[0].crossJoin(F.broadcast(counts[1])).crossJoin(F.broadcast(counts[2]))
+
+
+def verified(sealed: Column, key: Column) -> Column:
+    """Whether the key opens a sealed value; null for null."""
+    return F.when(sealed.isNotNull(), F.try_aes_decrypt(sealed, key, F.lit("GCM")).isNotNull())
+
+
 def encrypted(rows: DataFrame, key: Column, column: str = "text") -> DataFrame:
     """rows with `column` sealed by AES-GCM under a fresh vector for each row; nulls stay null."""
     return rows.withColumn(column, F.aes_encrypt(F.col(column), key, F.lit("GCM")))

@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leakdrift.operators import policy
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def directory(spark: SparkSession, path: str, glob: str = "*", hidden: bool = False) -> DataFrame:
-    """(file_path, size_bytes, content, skip_reason) of a folder's files; what isn't UTF-8 has a reason and no content."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    rows = rows if hidden else rows.where(~F.col("path").rlike(r"/\.[^/]"))
+def directory(spark: SparkSession, path: str, glob: str = "*", hidden: bool = False, depth: int | None = None, ignore_file: str | None = ".gitignore") -> DataFrame:
+    """(file_path, size_bytes, content, skip_reason) of a folder's files; what isn't UTF-8 has a reason and no content.
+
+    Hidden files and those below `depth` steps are left out, and so are files that the lines of the folder's own
+    `ignore_file` say, in order, the last that matches a step deciding; it is read on the driver, as settings are. Spark's
+    readers pass over files and folders whose names begin with a dot or an underscore, so that `hidden` has an effect on
+    other tables of paths (policy.walk) alone.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    rows = files.option("pathGlobFilter", glob).load(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    start = system.makeQualified(root).toString().rstrip("/") + "/"
+    paths = rows.select("path", F.lit(0).alias("repo"), F.expr(f"substr(path, {len(start) + 1})").alias("file_path"))
+    lines = None
+    own = spark._jvm.org.apache.hadoop.fs.Path(path, ignore_file) if ignore_file else None
+    if own is not None and system.exists(own):
+        stream = system.open(own)
+        try:
+            text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        lines = policy.lines_of(spark.createDataFrame([(0, text)], "repo int, content string"))
+    found = policy.walk(paths, lines, hidden, depth).where("left_out is null").select("path")
+    rows = rows.join(found, "path", "left_semi") if lines is not None else rows.where(_walked(start, hidden, depth))
     text, good = F.col("content").cast("string"), F.is_valid_utf8(F.col("content").cast("string"))
     return rows.select(
         F.col("path").alias("file_path"), F.col("length").alias("size_bytes"), F.when(good, text).alias("content"),
@@ -21,6 +44,18 @@ def directory(spark: SparkSession, path: str, glob: str = "*", hidden: bool = Fa
     )
 
 
+def _walked(start: str, hidden: bool, depth: int | None) -> Column:
+    """Without ignore lines the path alone says whether a walk comes to a file."""
+    steps = F.expr(f"substr(path, {len(start) + 1})")
+    out = F.lit(True) if hidden else ~steps.rlike(r"(^|/)\.[^/]")
+    return out if depth is None else out & (F.size(F.split(steps, "/")) <= depth)
+
+
+def changed(files: DataFrame, changes: DataFrame, statuses: tuple[str, ...] = ("added", "modified")) -> DataFrame:
+    """files (file_path, more) that a change set (file_path, status) names with one of the statuses."""
+    return files.join(changes.where(F.col("status").isin(*statuses)).select("file_path").distinct(), "file_path", "left_semi")
+
+
 #: The corpus that the queries scan: each document with a path and a planted line; the same text runs in Spark and in SQL oracles.
 CORPUS = """
 select doc_id, x,
