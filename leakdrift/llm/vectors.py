@@ -158,14 +158,19 @@ def block_pairs(reps: DataFrame, axes: np.ndarray, cosine: float, block: int) ->
     placed = written(placed.withColumn("strip", F.spark_partition_id()))
     # Four numbers of each strip, not its vectors, are all that the driver sees and sends back.
     heads = placed.groupBy("strip").agg(F.count("*").alias("size"), F.min("at").alias("lo"), F.max("at").alias("hi")).toPandas().sort_values(["lo", "strip"])
-    many = np.maximum(1, -(-heads["size"].to_numpy() // (2 * block)))
+    # Neighbouring ranges make a strip until it has a block's vectors, however many ranges there are.
+    size = heads["size"].to_numpy()
+    number = np.unique((np.cumsum(size) - size) // block, return_inverse=True)[1]
+    joined = heads.groupby(number).agg(size=("size", "sum"), lo=("lo", "min"), hi=("hi", "max"))
+    many = np.maximum(1, -(-joined["size"].to_numpy() // (2 * block)))
     first = np.cumsum(many) - many
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-6
-    lo, hi = heads["lo"].to_numpy(), heads["hi"].to_numpy()
+    lo, hi = joined["lo"].to_numpy(), joined["hi"].to_numpy()
     # Strips are ranges in order, so the strips that a link can reach are neighbours of each other.
     start = np.searchsorted(hi, lo - reach, side="left")
     end = np.searchsorted(lo, hi + reach, side="right") - 1
-    strips = pd.DataFrame({"strip": heads["strip"], "first": first, "many": many, "from": first[start], "to": (first + many - 1)[end]} if len(heads) else {c: [] for c in ("strip", "first", "many", "from", "to")})
+    columns = {"first": first, "many": many, "from": first[start], "to": (first + many - 1)[end]} if len(heads) else {c: np.zeros(0) for c in ("first", "many", "from", "to")}
+    strips = pd.DataFrame({"strip": heads["strip"].to_numpy(), **{c: v[number] for c, v in columns.items()}})
     strips = reps.sparkSession.createDataFrame(strips.astype("int64"), "strip long, first long, many long, from long, to long")
     placed = placed.join(F.broadcast(strips) if len(heads) <= STRIPS else strips, "strip")
     placed = placed.withColumn("block", F.col("first") + F.pmod(F.xxhash64("rep"), "many"))
