@@ -300,16 +300,18 @@ def full_sets(reps: DataFrame, classes: DataFrame, docs: DataFrame, width: int)
     Several texts can have a class's least id; those of other classes are left out by their fingerprints.
     """
 
-    @F.pandas_udf("s binary, n_shingles long, f1 long, f2 long")
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Words()
         for batch in batches:
-            found = [shingle_set(t, width, known) for t in batch]
-            signed = [fingerprint(s) for s in found]
-            yield pd.DataFrame({"s": [s.tobytes() for s in found], "n_shingles": [len(s) for s in found], "f1": [f[0] for f in signed], "f2": [f[1] for f in signed]})
+            found = [shingle_set(t, width, known) for t in batch["text"]]
+            signed = np.array([fingerprint(s) for s in found], dtype=np.int64).reshape(-1, 2)
+            out = {"doc_id": batch["doc_id"], "s": [s.tobytes() for s in found], "n_shingles": [len(s) for s in found], "f1": signed[:, 0], "f2": signed[:, 1]}
+            yield pd.DataFrame(out)
 
     wanted = classes.join(reps, "rep", "left_semi").select("rep", F.col("least").alias("doc_id"), *KEY)
-    found = sized_semi_join(docs, wanted.select("doc_id").distinct(), "doc_id").select("doc_id", sets("text").alias("x")).select("doc_id", "x.*")
+    # No null id has a class. Of a function over batches no condition is moved before the join, as it is of a column's.
+    found = sized_semi_join(docs.select("doc_id", "text"), wanted.select("doc_id").distinct(), "doc_id")
+    found = found.mapInPandas(sets, "doc_id long, s binary, n_shingles long, f1 long, f2 long")
     return found.join(wanted, ["doc_id", *KEY]).dropDuplicates(["rep"]).select("rep", "s")
 
 
