@@ -16,7 +16,7 @@ from leakdrift.llm.common import small_batches, table
 
 #: Pages that the labeller is fitted on at most, those of the smallest hashes of their ids.
 SAMPLE = 240
-PATH_DIM, WORD_DIM, MORE_DIM, HIDDEN = 64, 24, 6, 24
+PATH_DIM, WORD_DIM, MORE_DIM, HIDDEN = 128, 24, 6, 24
 
 #: Elements whose contents are no text of the page, besides scripts and styles. Those of a head have nothing else.
 DROPPED = frozenset("noscript template svg title textarea select iframe canvas".split())
@@ -38,14 +38,24 @@ CLOSES = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def element_ends(page: str) -> dict[int, int]:
+#: Words in tags, classes and ids that mark main text or boilerplate; only the training labels use them.
+MAIN = frozenset("<article> <main> article main content post entry story body text".split())
+BOILERPLATE = frozenset(
+    "<nav> <header> <footer> <aside> <form> <button> <menu> <dialog> nav menu navbar header masthead footer sidebar "
+    "aside ad ads advert advertisement banner promo sponsored sponsor cookie consent notice alert popup modal newsletter "
+    "subscribe signup login search form navigation contentinfo complementary comment comments reply replies disqus discussion related recommended share social "
+    "breadcrumb breadcrumbs pagination pager widget copyright".split()
+)
+
+
+def element_ends(page: str, limit: int) -> dict[int, int]:
     """Where dropped elements begin, and where each ends: an end tag closes the last open element of its name.
 
     Elements that are never closed aren't here, nor <svg/>; elsewhere HTML takes a slash at a tag's end for nothing.
     """
     ends: dict[int, int] = {}
     opened: dict[str, list[int]] = {name: [] for name in DROPPED}
-    for m in ENDS.finditer(page):
+    for m in ENDS.finditer(page, 0, limit):
         name = m[2].lower()
         if not m[1]:
             if not (name == "svg" and re.search(r"(?:^|[\s\"'])/\s*$", m[3] or m[4] or "")):
@@ -55,11 +65,47 @@ def element_ends(page: str) -> dict[int, int]:
     return ends
 
 
-def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
+class Step:
+    """An element in a tag path: what marks it, and the element around it. Equal paths are one object within a trie."""
+
+    __slots__ = ("above", "inside", "main", "junk", "heading", "names", "vector")
+
+    def __init__(self, above: Step | None, names: tuple[str, ...]) -> None:
+        self.above, self.names, self.inside = above, names, {}
+        self.vector: np.ndarray | None = None
+        self.main = any(x in MAIN for x in names) or (above is not None and above.main)
+        self.junk = any(x in BOILERPLATE for x in names) or (above is not None and above.junk)
+        self.heading = any(x[1:-1] in HEADINGS for x in names[:1]) or (above is not None and above.heading)
+
+    def into(self, names: tuple[str, ...]) -> Step:
+        step = self.inside.get(names)
+        if step is None:
+            step = self.inside[names] = Step(self, names)
+            TRIE[1] += 1
+        return step
+
+
+#: The root of all paths that a process knows, and how many there are; it is left for a new one between pages.
+TRIE: list = [None, 0]
+KNOWN_PATHS = 50_000
+
+
+def root_step() -> Step:
+    if TRIE[0] is None or TRIE[1] > KNOWN_PATHS:
+        TRIE[:] = [Step(None, ()), 0]
+    return TRIE[0]
+
+
+Block = tuple[str, Step, float]
+
+
+def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order: text (references decoded, one space for white space), tag path, share of linked text."""
     page = page or ""
-    out: list[tuple[str, tuple[str, ...], float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    out: list[Block] = []
+    stack: list[tuple[str, Step]] = []
+    opened: dict[str, int] = {}
+    top = root_step()
     parts: list[str] = []
     linked = 0
     in_link = 0
@@ -68,8 +114,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            path = tuple(x for _, names in stack for x in names)
-            out.append((text, path, min(1.0, linked / len(text))))
+            out.append((text, stack[-1][1] if stack else top, min(1.0, linked / len(text))))
         parts.clear()
         linked = 0
 
@@ -80,9 +125,16 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
             parts.append(text)
             linked += len(text) if in_link else 0
 
+    def leave() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
     at = 0
+    # Behind the last > there is no tag, and nothing is searched for one.
+    limit = page.rfind(">") + 1
     ends: dict[int, int] | None = None
-    while m := TOKEN.search(page, at):
+    while m := TOKEN.search(page, at, limit):
         say(page[at : m.start()])
         at = m.end()
         close, name, more = m[2], m[3], m[4]
@@ -91,13 +143,16 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
         if not name:
             if m[1]:
                 parts.append(" ")
+            if at == limit and (m[1] and not re.search(rf"(?i)</{m[1]}\s*>\Z", m[0]) and not m[0].endswith("/>") or m[0].startswith("<!--") and not m[0].endswith("-->")):
+                # A comment or script that isn't closed reaches to the page's end.
+                at = len(page)
             continue
         name = name.lower()
         if name in DROPPED:
             # An element without an end loses its tag only.
             parts.append(" ")
             if not close:
-                ends = element_ends(page) if ends is None else ends
+                ends = element_ends(page, limit) if ends is None else ends
                 at = ends.get(m.start(), at)
             continue
         if name == "a":
@@ -111,17 +166,19 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
         if name == "head":
             continue
         if close:
-            if any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
+            if opened.get(name):
+                while leave() != name:
                     pass
             continue
         while stack and stack[-1][0] in CLOSES.get(name, ()):
-            stack.pop()
+            leave()
         if name in VOID or (more and more.rstrip().endswith("/")):
             continue
-        words = [w for v in NAME.findall(more or "") for w in re.findall(r"[a-z]+", v.lower())]
-        stack.append((name, (f"<{name}>", *words)))
-    say(page[at:])
+        names = (f"<{name}>", *[w for v in NAME.findall(more or "") for w in re.findall(r"[a-z]+", v.lower())])
+        stack.append((name, (stack[-1][1] if stack else top).into(names)))
+        opened[name] = opened.get(name, 0) + 1
+    rest = page[at:]
+    say(rest[: rest.find("<!--")] if "<!--" in rest else rest)
     flush()
     return out
 
@@ -135,22 +192,24 @@ class Encoder:
     """Blocks to input vectors: hashed tag path, mean of hashed words, and lengths, links, place and heading."""
 
     def __init__(self) -> None:
-        self.paths: dict[tuple[str, ...], np.ndarray] = {}
         self.words: dict[str, tuple[int, float]] = {}
 
-    def path(self, path: tuple[str, ...]) -> np.ndarray:
-        v = self.paths.get(path)
-        if v is None:
-            if len(self.paths) > 50_000:
-                self.paths.clear()
-            v = np.zeros(PATH_DIM)
-            for x in path:
+    def path(self, step: Step) -> np.ndarray:
+        """Sum of the hashed marks of a path's elements, made from the path above and kept there."""
+        new = []
+        while step is not None and step.vector is None:
+            new.append(step)
+            step = step.above
+        v = step.vector if step is not None else np.zeros(PATH_DIM, dtype=np.int32)
+        for step in reversed(new):
+            v = v.copy()
+            for x in step.names:
                 k, sign = hashed(x, PATH_DIM)
-                v[k] += sign
-            v = self.paths[path] = np.clip(v, -2, 2)
-        return v
+                v[k] += int(sign)
+            step.vector = v
+        return np.clip(v, -2, 2)
 
-    def __call__(self, page: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray:
+    def __call__(self, page: list[Block]) -> np.ndarray:
         x = np.zeros((len(page), PATH_DIM + WORD_DIM + MORE_DIM))
         for i, (text, path, linked) in enumerate(page):
             ws = text.split(" ")
@@ -165,9 +224,8 @@ class Encoder:
                 got.append(k)
             at, sign = zip(*got, strict=True)
             x[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(at, sign, WORD_DIM) / len(ws)
-            heading = any(f"<{h}>" in path for h in HEADINGS)
             x[i, PATH_DIM + WORD_DIM :] = (
-                np.log1p(len(ws)) / 5, np.log1p(len(text)) / 7, linked, i / len(page), text[-1] in ".?!", heading,
+                np.log1p(len(ws)) / 5, np.log1p(len(text)) / 7, linked, i / len(page), text[-1] in ".?!", path.heading,
             )
         return x
 
@@ -240,7 +298,7 @@ def run(model: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, keep: tup
     return state, sigmoid(state @ model["v"] + model["a"])
 
 
-def fit(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 10, batch: int = 32, rate: float = 0.01) -> dict[str, np.ndarray]:
+def fit(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 14, batch: int = 32, rate: float = 0.01) -> dict[str, np.ndarray]:
     """Trains the labeller by Adam on cross-entropy; the same pages give the same model."""
     rng = np.random.default_rng(5)
     n_in = PATH_DIM + WORD_DIM + MORE_DIM
@@ -281,22 +339,10 @@ def fit(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 10, bat
     return model
 
 
-#: Words in tags, classes and ids that mark main text or boilerplate; only the training labels use them.
-MAIN = frozenset("<article> <main> article main content post entry story body text".split())
-BOILERPLATE = frozenset(
-    "<nav> <header> <footer> <aside> <form> <button> <menu> <dialog> nav menu navbar header masthead footer sidebar "
-    "aside ad ads advert advertisement banner promo sponsored sponsor cookie consent notice alert popup modal newsletter "
-    "subscribe signup login search form comment comments reply replies disqus discussion related recommended share social "
-    "breadcrumb breadcrumbs pagination pager widget copyright".split()
-)
-
-
-def weak_labels(page: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray:
+def weak_labels(page: list[Block]) -> np.ndarray:
     """1 for blocks in a main element and outside boilerplate; without a main element, for all outside boilerplate."""
-    main = [any(x in MAIN for x in path) for _, path, _ in page]
-    junk = [any(x in BOILERPLATE for x in path) for _, path, _ in page]
-    some = any(m and not j for m, j in zip(main, junk, strict=True))
-    return np.array([float(not j and (m or not some)) for m, j in zip(main, junk, strict=True)])
+    some = any(path.main and not path.junk for _, path, _ in page)
+    return np.array([float(not path.junk and (path.main or not some)) for _, path, _ in page])
 
 
 def variants(texts: list[str], rng: np.random.Generator, n: int) -> list[list[tuple[str, int]]]:
@@ -342,10 +388,26 @@ def variants(texts: list[str], rng: np.random.Generator, n: int) -> list[list[tu
         tag = piece[0].split(" ")[0]
         return f"<{piece[0]}>{piece[1]}</{tag}>", 0
 
+    def table() -> str:
+        rows = "".join(f"<tr><td>{short()}<td>{short() if rng.random() < 0.5 else int(rng.integers(1000))}</tr>" for _ in range(rng.integers(1, 4)))
+        return f"<table><tr><th>{short()}</th><th>{short()}</th></tr>{rows}</table>"
+
+    def inner_junk() -> list[str]:
+        """What stands inside of an article and isn't of it."""
+        kind = int(rng.integers(5))
+        if kind < 2:
+            return ["aside" if rng.random() < 0.5 else box("related sidebar promo"), f"<p>{pick()}</p>"]
+        if kind < 4:
+            more = "".join(f"<p>{pick()}</p>" if rng.random() < 0.5 else f'<div class="{one("comment reply")}"><p>{pick()}</p></div>' for _ in range(rng.integers(1, 4)))
+            return [box("comments replies discussion comment-list", "section div"), f"<h2>{short()}</h2>{more}"]
+        return junk()
+
     pages = []
     for _ in range(n):
+        bare, closed = rng.random() < 0.25, rng.random() < 0.75
+        end = "</p>" if closed else ""
         body = [(f"<h1>{short()}</h1>", 1)] if rng.random() < 0.7 else []
-        for _ in range(rng.integers(2, 14)):
+        for _ in range(rng.integers(1, 14)):
             kind = rng.random()
             if kind < 0.12:
                 body.append((f"<h2>{short()}</h2>", 1))
@@ -353,22 +415,40 @@ def variants(texts: list[str], rng: np.random.Generator, n: int) -> list[list[tu
                 body.append((f"<ul><li>{pick()}</li><li>{pick()}</li></ul>", 1))
             elif kind < 0.28:
                 body.append((f"<blockquote><p>{pick()}</p></blockquote>", 1))
-            elif kind < 0.36:
-                body.append(wrap(junk()))
+            elif kind < 0.38:
+                body.append(wrap(inner_junk()))
+            elif kind < 0.44:
+                body.append((table(), 1))
+            elif kind < 0.47:
+                body.append((f"<pre><code>{short()} = {short()}</code></pre>", 1))
+            elif kind < 0.5:
+                body.append((f"<figure><figcaption>{short()}</figcaption></figure>", 1))
+            elif kind < 0.53:
+                body.append((f"<dl><dt>{short()}<dd>{pick()}</dl>", 1))
             else:
-                body.append((f"<p>{pick()}</p>", 1))
+                body.append((f"<p>{pick()}{end}", 1))
+        single = rng.random() < 0.12
+        if single:
+            body = [(f"<p>{pick() if rng.random() < 0.6 else short()}{end}", 1)]
+        roles = not bare and rng.random() < 0.15
         main = "article" if rng.random() < 0.6 else ("main" if rng.random() < 0.4 else box("content post entry story article-body main post-content"))
+        main = f'{one("div section")} role="main"' if roles else main
         tag = main.split(" ")[0]
-        before = [wrap(junk()) for _ in range(rng.integers(1, 5))]
-        after = [wrap(junk()) for _ in range(rng.integers(1, 5))]
+        role = lambda name: (f'<div role="{name}"><p>{short()}</p><a href=#>{short()}</a></div>', 0)
+        least = 0 if bare else 1
+        before = [wrap(junk()) for _ in range(rng.integers(least, 3 if bare else 5))]
+        after = [wrap(junk()) for _ in range(rng.integers(least, 3 if bare else 5))]
+        if single and bare:
+            before, after = [], []
+        if roles:
+            before, after = [role("banner"), role("navigation")], [role("complementary"), role("contentinfo")]
         around = rng.random() < 0.4
-        pages.append(
-            ([('<div class="wrapper">', 0)] if around else []) + before + [(f"<{main}>", 0)] + body + [(f"</{tag}>", 0)] + after
-        )
+        whole = body if bare else [(f"<{main}>", 0), *body, (f"</{tag}>", 0)]
+        pages.append(([('<div class="wrapper">', 0)] if around else []) + before + whole + after)
     return pages
 
 
-def labelled(pieces: list[tuple[str, int]]) -> tuple[list[tuple[str, tuple[str, ...], float]], np.ndarray]:
+def labelled(pieces: list[tuple[str, int]]) -> tuple[list[Block], np.ndarray]:
     """Blocks and labels of a made page; a mark in front of each piece's texts carries its label through."""
     marked = "".join(re.sub(r">(?=[^<\s])", f">{label}\x01", piece) if label or piece[-1] == ">" else piece for piece, label in pieces)
     found = blocks(f"<html><body>{marked}</body></html>")
@@ -387,7 +467,7 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
     y = [weak_labels(p) for p in some]
     texts = [t[:400] for p in some for t, _, _ in p] or ["some text"]
     rng = np.random.default_rng(3)
-    for piece in variants(texts, rng, max(300, 3 * len(some))):
+    for piece in variants(texts, rng, max(900, 4 * len(some))):
         page, label = labelled(piece)
         x.append(page)
         y.append(label)
