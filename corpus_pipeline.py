@@ -20,9 +20,14 @@ from leakdrift.llm.toxicity import with_scores
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain does not reject as toxic."""
-    scored = with_scores(docs, table(spark, sf_dir, "labels"))
-    return scored.where("not rejected").select(*docs.columns)
+    """Documents that the classifier chain does not reject as toxic.
+
+    Null and empty texts are not toxic, repeated rows are judged alike, a null id is one like others; the columns stay
+    as they are, also those that are named as the chain's own. Without labels nothing is rejected.
+    """
+    more = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]).alias("_more")
+    scored = with_scores(docs.select("doc_id", "text", more), table(spark, sf_dir, "labels")).where("not rejected")
+    return scored.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_more.`{c}`") for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +45,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: each document once for each epoch that takes it, cut where its source's budget ends."""
+    """The mix of sources: each document once for each epoch that takes it, cut where its source's budget ends.
+
+    Null texts have no words and come with their source's whole epochs; a null source is a source; repeated rows are
+    documents of their own; an empty table gives an empty one.
+    """
     return mix_documents(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens in their sequences."""
+    """Pieces of at most 4096 tokens in their sequences.
+
+    Null and empty texts are a piece of one id, long ones several; repeated rows and null ids have pieces of their own;
+    an empty table has none; other columns are not looked at.
+    """
     return pack(pieces(docs))
 
 

@@ -86,9 +86,13 @@ def mix_documents(docs: DataFrame, **options: object) -> DataFrame:
     """The mix itself, with the columns of docs: a document is there once for each epoch that takes it whole.
 
     The document at a source's cut is there with its first words as they stand in the text. Documents without
-    words are taken with every whole epoch of their source.
+    words are taken with every whole epoch of their source. Other columns, whatever their names, are passed on; repeated
+    rows are documents of their own, a null id or source is one like others, an empty table gives an empty one.
     """
     columns = docs.columns
+    more = [c for c in columns if c not in ("doc_id", "source", "text")]
+    # Columns that are only passed on go as one, so that their names meet none of ours.
+    docs = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in more] or [F.lit(0)]).alias("_more"))
     keyed = docs.withColumn("_size", word_count(F.col("text")))
     plan = mix(keyed, F.col("_size"), **options)
     plan = plan.groupBy("doc_id", "source", "size").agg(
@@ -114,8 +118,9 @@ def mix_documents(docs: DataFrame, **options: object) -> DataFrame:
         F.array_repeat(F.struct(F.col("k.text").alias("text")), whole),
         F.when((cut > 0) & (F.col("k._size") > 0), F.array(F.struct(head.alias("text")))).otherwise(F.array().cast("array<struct<text:string>>")),
     )
-    rows = rows.select(*[f"k.{c}" for c in columns if c != "text"], F.explode(copies).alias("_copy"))
-    return rows.withColumn("text", F.col("_copy.text")).select(*columns)
+    rows = rows.select("k.doc_id", "k.source", "k._more", F.explode(copies).alias("_copy"))
+    own = {"doc_id": F.col("doc_id"), "source": F.col("source"), "text": F.col("_copy.text").alias("text")}
+    return rows.select(*[own[c] if c in own else F.col(f"_more.`{c}`") for c in columns])
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,7 +198,8 @@ def categories() -> dict[str, Column]:
 def with_scores(docs: DataFrame, labels: DataFrame, reject: float = 0.5) -> DataFrame:
     """docs with a struct `scores` of probabilities and `rejected` (toxic at `reject` or more), row by row.
 
-    Null and empty texts are scored as texts without words. Without labelled documents nothing is rejected.
+    Null and empty texts are scored as texts without words. Without labelled documents nothing is rejected. Columns of
+    docs with these two names are replaced; all others stay. Repeated rows have the same scores, an empty table none.
     """
     small_batches(docs.sparkSession)
     score = scorer(train(docs, labels, categories()))

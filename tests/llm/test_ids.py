@@ -56,3 +56,21 @@ def test_packed_ids_stay_whole(spark):
     again = packing.pack(packing.pieces(spark.createDataFrame(rows * 40, "doc_id long, text string")), group=50)
     assert Counter((r.doc_id, r.ids_crc32) for r in again.collect()) == Counter({(i, crc(t)): 40 * n for (i, t), n in Counter(rows).items()})
     assert packing.pack(packing.pieces(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_columns_with_our_names_are_passed_on(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    from leakdrift.llm import mixing
+
+    rows = [(k, "s" if k % 2 else None, f"some words of the text {k}", "mine") for k in range(20)] + [(None, "s", None, "mine")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, rejected string")
+    for c in ("_copy", "_size", "_nth", "_taken", "scores", "_more", "size", "taken", "target", "a.b"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() > 20
+    assert all(r[c] == "mine" for r in mixed.collect() for c in docs.columns if c not in ("doc_id", "source", "text"))
+    assert mixing.mix_documents(docs.limit(0)).count() == 0
+    kept = corpus_pipeline.toxicity(spark, docs, "/root/testdata/sf0.001")
+    assert kept.columns == docs.columns and all(r.rejected == r.scores == "mine" for r in kept.collect())
