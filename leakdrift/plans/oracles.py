@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from leakdrift.functions import library as L
-from leakdrift.operators.rules import Every, Files, Keyword, Not, Regex, Rule
+from leakdrift.operators.rules import Entropy, Every, Files, Keyword, Not, Regex, Rule
 from leakdrift.operators.team import MATRIX, ROLES
 from leakdrift.sources.corpus import CORPUS
 
@@ -97,6 +97,8 @@ RULES = [
     Rule("off", Regex("a"), enabled=False),
 ]
 
+ENTROPY_RULE = Rule("windows", Entropy(4.2, 20, 22), 0.6)
+
 
 def of_rule(rule: str, kind: str, sure: float, regex: str, where: str = "true") -> str:
     found = f"(with {matches('c', [regex])} select * from m)"
@@ -241,6 +243,11 @@ ORACLES = {
     "n07_chunks": "with b as (select doc_id, encode(text) as payload from documents where text is not null), n as (select doc_id, payload, unnest(generate_series(0, greatest(1, cast(ceil(octet_length(payload) / 1024.0) as bigint)) - 1)) as chunk_no from b) select doc_id, chunk_no, sha256(payload[chunk_no * 1024 + 1:chunk_no * 1024 + 1024]) as digest from n",
     "n08_integrity": "select doc_id, doc_id % 7 <> 0 or text = '' as intact from documents where text is not null",
     "e08_rules": f"with c as ({C}) {RULE_ROWS}",
+    "e02_entropy_rule": f"""with c as ({C}), r as (select distinct doc_id, content, unnest(string_split_regex(content, '[ \\t\\n\\x0b\\f\\r"''(){{}}\\[\\]<>]+')) as run from c),
+      k as (select *, unnest([20, 21, 22]) as k from r where length(run) >= 20), w as (select distinct doc_id, content, substring(run, cast(i as bigint), k) as value from (select *, unnest(generate_series(1, length(run) - k + 1)) as i from k) x),
+      g as (select *, {ENTROPY} as h from w where {CHARSET} >= 8), e as (select *, {SURE} as sure from g where h >= 4.2 and {LIKELY})
+      select doc_id, value as text, cast(strlen(left(content, position(value in content) - 1)) as bigint) as start_position, cast(strlen(left(content, position(value in content) - 1)) + strlen(value) as bigint) as end_position,
+       floor(cast(0.6 as double) * sure * 1e6 + cast(0.51 as double)) / 1e6 as confidence from e where sure > 0.7""",
     "d05_analyse": f"with t as ({TOKENS}) select value, case when {INSIDE} then round({ENTROPY}, 6) else 0.0 end as shannon, case when {INSIDE} then round({NORMAL}, 6) else 0.0 end as normalized, cast(case when {INSIDE} then {CHARSET} else 0 end as int) as charset, {INSIDE} and {LIKELY} as likely, case when {INSIDE} then floor({SURE} * 1e6 + cast(0.51 as double)) / 1e6 else 0.0 end as confidence from t",
     "d15_line_entropy": f"with t as (select doc_id, unnest(string_split(text, chr(10))) as value, cast(generate_subscripts(string_split(text, chr(10)), 1) - 1 as int) as line_no from documents) select doc_id, line_no from t where strlen(value) >= 20 and round({ENTROPY}, 9) > 4.0",
     "b16_validity": SCORED + "select doc_id, start_position, detector_name, secret_type in ('AWS Access Key', 'GitHub Token') or confidence > 0.8 as is_valid from l",

@@ -12,7 +12,7 @@ from leakdrift.functions import checks
 from leakdrift.operators import oplog, rules, scan, team
 from leakdrift.plans import policy, records, state
 from leakdrift.plans.oracles import ORACLES as SQL
-from leakdrift.plans.oracles import RULES
+from leakdrift.plans.oracles import ENTROPY_RULE, RULES
 from leakdrift.sources.corpus import corpus, op_log, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,6 +208,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "rule_id", "match_type", "text", F.col("start").alias("start_position"), F.col("end").alias("end_position"), "confidence")
 
 
+@query("e02_entropy_rule")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An entropy rule on all texts: the places of windows that are likely secrets."""
+    found = rules.execute(corpus(spark, sf_dir), [ENTROPY_RULE])
+    return found.select("doc_id", "text", F.col("start").alias("start_position"), F.col("end").alias("end_position"), T.rounded(F.col("confidence")).alias("confidence"))
+
+
 @query("d05_analyse")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tokens(spark, sf_dir).select("value", T.analyse(F.col("value")).alias("e"))
