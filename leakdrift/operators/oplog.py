@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,11 +21,39 @@ def metrics(log: DataFrame) -> DataFrame:
     )
 
 
-def trailing_rate(log: DataFrame, seconds: int = 600) -> DataFrame:
-    """At each operation, the service's operations per minute over the last `seconds`, this one included."""
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    last = Window.partitionBy("service").orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
-    return log.select("event_id", "service", F.round(F.count("*").over(last) / (seconds / 60), 6).alias("per_minute"))
+#: Seconds of a service's log that one task sorts: a hot service is spread over as many tasks as it has such spans.
+SPAN = 86_400
+
+
+def span_of(at: Column, width_s: int) -> Column:
+    return F.floor(at / (width_s * 1_000_000))
+
+
+def trailing_rate(log: DataFrame, seconds: int = 600, width_s: int = SPAN) -> DataFrame:
+    """At each operation, the service's operations per minute over the last `seconds`, this one included.
+
+    A span of a service has its own rows and those that its first ones look back to.
+    """
+    at, back = F.unix_micros(F.col("ts").cast("timestamp")), seconds * 1_000_000
+    rows = log.select("event_id", "service", at.alias("_at")).withColumn("_own", span_of(F.col("_at"), width_s))
+    rows = rows.withColumn("_span", F.explode_outer(F.sequence(F.col("_own"), span_of(F.col("_at") + back, width_s))))
+    last = Window.partitionBy("service", "_span").orderBy("_at").rangeBetween(-back, 0)
+    rows = rows.withColumn("_n", F.count("*").over(last)).where(F.col("_own").eqNullSafe(F.col("_span")))
+    return rows.select("event_id", "service", F.round(F.col("_n") / (seconds / 60), 6).alias("per_minute"))
+
+
+def with_row_before(rows: DataFrame, columns: list[str], name: str, width_s: int = SPAN) -> DataFrame:
+    """rows (service, ts, event_id, more) with a struct of the columns of the service's row before; null for its first.
+
+    Rows are sorted within spans; each span's first row gets the last of the spans before, of which there is one row each.
+    """
+    span = span_of(F.unix_micros(F.col("ts").cast("timestamp")), width_s)
+    rows = rows.withColumn("_span", span)
+    own = F.lag(F.struct(*columns)).over(Window.partitionBy("service", "_span").orderBy("ts", "event_id"))
+    ends = rows.groupBy("service", "_span").agg(F.max_by(F.struct(*columns), F.struct("ts", "event_id")).alias("_end"))
+    ends = ends.select(F.col("service").alias("_s"), F.col("_span").alias("_p"), F.lag("_end").over(Window.partitionBy("service").orderBy("_span")).alias("_carried"))
+    out = rows.withColumn("_lag", own).join(ends, F.col("service").eqNullSafe(F.col("_s")) & F.col("_span").eqNullSafe(F.col("_p")), "left")
+    return out.withColumn(name, F.coalesce("_lag", "_carried")).drop("_span", "_lag", "_carried", "_s", "_p")
 
 
 def alerts(log: DataFrame, slow_ms: float = 1000, critical_ms: float = 5000) -> DataFrame:
@@ -82,9 +110,8 @@ def paired(log: DataFrame, start: str = "Read", end: str = "Write") -> DataFrame
     end has a pair where the service's start or end before it is a start. Ties of time are in the order of event_id.
     """
     rows = log.where(F.col("op_type").isin(start, end))
-    turn = Window.partitionBy("service").orderBy("ts", "event_id")
-    before = F.lag(F.struct("op_type", "event_id", "ts")).over(turn)
-    rows = rows.withColumn("_before", before).where((F.col("op_type") == end) & (F.col("_before.op_type") == start))
+    rows = with_row_before(rows, ["op_type", "event_id", "ts"], "_before")
+    rows = rows.where((F.col("op_type") == end) & (F.col("_before.op_type") == start))
     us = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_before.ts").cast("timestamp"))
     return rows.select("service", F.col("_before.event_id").alias("start_id"), F.col("event_id").alias("end_id"), us.alias("micros"))
 

@@ -88,6 +88,7 @@ def chunks(rows: DataFrame, size: int) -> DataFrame:
 
 
 def reassembled(parts: DataFrame) -> DataFrame:
+    """(doc_id, chunk_no, chunk) to (doc_id, payload): the chunks in their order, put together in one step."""
     found = F.array_sort(F.collect_list(F.struct("chunk_no", "chunk")))
-    whole = F.aggregate(F.col("x"), F.lit(b""), lambda acc, p: F.concat(acc, p["chunk"]))
+    whole = F.unhex(F.array_join(F.transform(F.col("x"), lambda p: F.hex(p["chunk"])), ""))
     return parts.groupBy("doc_id").agg(found.alias("x")).select("doc_id", whole.alias("payload"))

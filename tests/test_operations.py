@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from leakdrift.operators import oplog, team
@@ -44,6 +45,7 @@ def run_stream(rows, path, out):
 def test_a_finding_comes_once_over_batches(spark, tmp_path):
     at = dt.datetime(2024, 1, 1)
     schema = "ts timestamp, file_path string, start_position long, end_position long"
+    (tmp_path / "in").mkdir()
     found = distinct_findings(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in"))
     for k, rows in enumerate([[(at, "a", 0, 5), (at, "a", 0, 5), (at, "b", 0, 5)], [(at + dt.timedelta(minutes=5), "a", 0, 5), (at, "a", 1, 5)]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
@@ -109,6 +111,22 @@ def test_ends_meet_the_open_start(spark):
     assert sorted((r.start_id, r.end_id, r.micros) for r in found) == [(3, 5, 2_000_000), (7, 8, 0)]
 
 
+@pytest.mark.parametrize("width", [1, 7, 86_400])
+def test_rows_before_and_trailing_rates_over_spans(spark, width):
+    import random
+
+    rng = random.Random(width)
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, at + dt.timedelta(seconds=rng.randrange(60)), rng.choice(["Read", "Write"]), rng.choice([1, 2, None]), 1.0, True) for i in range(120)]
+    log = spark.createDataFrame(rows, LOG)
+    ordered = sorted(rows, key=lambda r: (r[1], r[0]))
+    got = {r.event_id: r.b and r.b.event_id for r in oplog.with_row_before(log, ["event_id"], "b", width).collect()}
+    rate = {r.event_id: r.per_minute for r in oplog.trailing_rate(log, 10, width).collect()}
+    for k, (i, ts, _, s, _, _) in enumerate(ordered):
+        assert got[i] == next((r[0] for r in reversed(ordered[:k]) if r[3] == s), None)
+        assert rate[i] == sum(r[3] == s and dt.timedelta(0) <= ts - r[1] <= dt.timedelta(seconds=10) for r in rows) * 6
+
+
 def test_component_health_is_the_last_status(spark):
     found = {r.service: (r.status, r.issues, r.overall) for r in oplog.component_health(small_log(spark)).collect()}
     assert found == {1: ("Healthy", 1, "Critical"), 2: ("Critical", 3, "Critical"), None: ("Healthy", 0, "Critical")}
