@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakdrift.llm.common import BROADCAST_IDS, connected_components, let, table, written
+from leakdrift.llm.common import BROADCAST_IDS, connected_components, let, table, with_hubs, written
 
 #: Characters of a shingle; a shorter line is one shingle.
 WIDTH = 8
@@ -220,9 +220,9 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     firsts = written(firsts.withColumn("id", F.monotonically_increasing_id()))
     sigs = written(signatures(lines.select("h1", "h2", "line")).join(firsts.select("h1", "h2", "id"), ["h1", "h2"]).drop("h1", "h2"))
     linked = written(line_links(firsts, sigs, docs, threshold))
-    linked = firsts.select("id", "at").join(linked.withColumnRenamed("node", "id"), "id")
-    heads = linked.groupBy("component").agg(F.min("at").alias("head"))
-    lost = linked.join(heads, "component").where("at <> head").select("id", F.lit(True).alias("gone"))
+    linked = written(firsts.select("id", "at").join(linked.withColumnRenamed("node", "id"), "id"))
+    heads = linked.groupBy("component").agg(F.min("at").alias("head"), F.count("*").alias("n"))
+    lost = with_hubs(linked, heads, ["component"], linked.count()).where("at <> head").select("id", F.lit(True).alias("gone"))
     # Every line with a word whose place isn't the first of its text, or whose text is lost, goes.
     doubtful = firsts.select("id", "h1", "h2", "at", "n").join(written(lost), "id", "left").where("n > 1 or gone")
     gone = places.join(doubtful.select("h1", "h2", "at", "gone"), ["h1", "h2"]).where(
