@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leakdrift.functions import text as T
 from leakdrift.functions import checks
 from leakdrift.operators import oplog, rules, scan, team
-from leakdrift.plans import policy, records, state
+from leakdrift.plans import inventory, policy, records, state
 from leakdrift.plans.oracles import ORACLES as SQL
 from leakdrift.plans.oracles import ENTROPY_RULE, RULES
 from leakdrift.sources.corpus import corpus, op_log, table
@@ -326,6 +326,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES: dict[str, str] = dict(SQL)
-for part in (policy, state, records):
+for part in (policy, state, records, inventory):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
