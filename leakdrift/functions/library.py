@@ -57,10 +57,10 @@ FALSE_PARTS = [
     "ffffffff", "deadbeef", "cafebabe", "test1234", "admin123", "user1234",
 ]
 # Words that make a value prose.
-COMMON_WORDS = (
-    "the and for are but not you all can had was one our out day get has him his how its may new now old see two way "
-    "who boy did man car dog cat run"
-).split()
+COMMON_WORDS = [
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "was", "one", "our", "out", "day", "get", "has", "him", "his",
+    "how", "its", "may", "new", "now", "old", "see", "two", "way", "who", "boy", "did", "man", "car", "dog", "cat", "run",
+]
 # Parts of common values that are no secrets.
 NON_SECRETS = [
     "localhost", "127.0.0.1", "example.com", "test.com", "placeholder", "your_key_here", "insert_key_here", "todo",
@@ -69,10 +69,10 @@ NON_SECRETS = [
 # Expressions of values that post-processing leaves out.
 IGNORED_VALUES = ["example", "test", "placeholder", "your_.*_here", "insert_.*_here", "12345", "password123", "changeme", "dummy", "fake"]
 # What the walk leaves out.
-EXCLUDED_EXTENSIONS = (
-    "exe dll so dylib bin obj lib a png jpg jpeg gif bmp svg ico mp4 avi mov wmv zip tar gz rar 7z bz2 pdf doc docx xls "
-    "xlsx ppt pptx"
-).split()
+EXCLUDED_EXTENSIONS = [
+    "exe", "dll", "so", "dylib", "bin", "obj", "lib", "a", "png", "jpg", "jpeg", "gif", "bmp", "svg", "ico", "mp4", "avi", "mov", "wmv",
+    "zip", "tar", "gz", "rar", "7z", "bz2", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx",
+]
 # Parts of paths that the walk leaves out.
 EXCLUDED_PARTS = ["node_modules", "target", ".git", ".svn", ".hg", "build", "dist", "vendor", ".cargo"]
 MAX_FILE_BYTES = 10 * 1024 * 1024

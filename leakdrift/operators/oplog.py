@@ -72,12 +72,38 @@ def health(found: DataFrame) -> DataFrame:
     return found.agg(worst.alias("w")).select(F.when(F.col("w") == 2, "Critical").when(F.col("w") == 1, "Degraded").otherwise("Healthy").alias("status"))
 
 
-def failure_runs(log: DataFrame, threshold: int = 3) -> DataFrame:
+def failures_in_a_row(log: DataFrame, width_s: int = SPAN) -> DataFrame:
+    """Each failure of a service with `attempt`, its number in the run of failures without a success between, and `run`,
+    the (ts, event_id) of the run's first.
+
+    Runs are counted within spans. A span says how many failures it ends with and where these began; what a span without
+    a success before goes on from is the sum over the spans since the last one that had a success.
+    """
+    log = log.withColumn("_span", span_of(F.unix_micros(F.col("ts").cast("timestamp")), width_s))
+    turn = Window.partitionBy("service", "_span").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = log.withColumn("_island", F.sum(F.col("success").cast("int")).over(turn))
+    own = Window.partitionBy("service", "_span", "_island").orderBy("ts", "event_id")
+    at = F.struct("ts", "event_id")
+    failed = rows.where("not success").withColumn("_k", F.row_number().over(own)).withColumn("_first", F.first(at).over(own))
+    islands = rows.groupBy("service", "_span", "_island").agg(F.count_if(~F.col("success")).alias("_n"), F.min(F.when(~F.col("success"), at)).alias("_from"))
+    # The last island of a span is what follows its last success, or all of it where it has none.
+    tails = islands.groupBy("service", "_span").agg(F.max("_island").alias("_any"), F.max_by(F.struct("_n", "_from"), "_island").alias("_t"))
+    spans = Window.partitionBy("service").orderBy("_span")
+    tails = tails.withColumn("_chain", F.sum((F.col("_any") > 0).cast("int")).over(spans))
+    chain = Window.partitionBy("service", "_chain").orderBy("_span").rowsBetween(Window.unboundedPreceding, 0)
+    tails = tails.withColumn("_sum", F.sum("_t._n").over(chain)).withColumn("_start", F.min("_t._from").over(chain))
+    tails = tails.select(F.col("service").alias("_s"), F.col("_span").alias("_p"), F.lag("_sum").over(spans).alias("_sum"), F.lag("_start").over(spans).alias("_start"))
+    failed = failed.join(tails, F.col("service").eqNullSafe(F.col("_s")) & F.col("_span").eqNullSafe(F.col("_p")), "left")
+    goes_on = F.col("_island") == 0
+    attempt = F.col("_k") + F.when(goes_on, F.coalesce("_sum", F.lit(0))).otherwise(0)
+    run = F.when(goes_on, F.coalesce("_start", "_first")).otherwise(F.col("_first"))
+    return failed.withColumn("attempt", attempt.cast("int")).withColumn("run", run).select(*[c for c in log.columns if c != "_span"], "attempt", "run")
+
+
+def failure_runs(log: DataFrame, threshold: int = 3, width_s: int = SPAN) -> DataFrame:
     """Runs of at least `threshold` failures of a service without a success between: service, first and last time, length."""
-    turn = Window.partitionBy("service").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = log.withColumn("island", F.sum(F.col("success").cast("int")).over(turn)).where("not success")
-    runs = rows.groupBy("service", "island").agg(F.min("ts").alias("opened"), F.max("ts").alias("last_ts"), F.count("*").alias("failures"))
-    return runs.where(F.col("failures") >= threshold).drop("island")
+    runs = failures_in_a_row(log, width_s).groupBy("service", "run").agg(F.min("ts").alias("opened"), F.max("ts").alias("last_ts"), F.count("*").alias("failures"))
+    return runs.where(F.col("failures") >= threshold).drop("run")
 
 
 def durations(log: DataFrame) -> DataFrame:
@@ -132,16 +158,15 @@ def component_health(log: DataFrame, slow_ms: float = 1000) -> DataFrame:
     return rows.select("service", name(F.col("last")).alias("status"), "issues", name(F.col("all_worst")).alias("overall"))
 
 
-def retry_audit(log: DataFrame, base_ms: int = 100, most_ms: int = 10_000) -> DataFrame:
+def retry_audit(log: DataFrame, base_ms: int = 100, most_ms: int = 10_000, width_s: int = SPAN) -> DataFrame:
     """Each repeated failure of a service without a success between: its attempt number, the wait that exponential
     backoff asks for before it (doubled from base_ms, most_ms at most), the wait there was, and whether that was too short.
     """
-    turn = Window.partitionBy("service").orderBy("ts", "event_id")
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    island = F.sum(F.col("success").cast("int")).over(turn.rowsBetween(Window.unboundedPreceding, 0))
-    rows = log.select("service", "event_id", "ts", "success", at.alias("_at"), island.alias("_island")).where("not success")
-    turn = Window.partitionBy("service", "_island").orderBy("ts", "event_id")
-    rows = rows.withColumn("attempt", F.row_number().over(turn)).withColumn("waited", F.col("_at") - F.lag("_at").over(turn))
+    # The row before one of a run that isn't its first is of the run.
+    rows = with_row_before(log.select("service", "event_id", "ts", "success"), ["ts"], "_before", width_s)
+    rows = failures_in_a_row(rows, width_s)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = rows.withColumn("waited", micros("ts") - micros("_before.ts"))
     asked = F.least(F.lit(base_ms) * F.pow(F.lit(2.0), F.col("attempt") - 2), F.lit(float(most_ms)))
     rows = rows.where("attempt > 1").withColumn("asked_ms", asked.cast("long"))
     return rows.select("service", "event_id", "attempt", "asked_ms", F.col("waited").alias("waited_us"), (F.col("waited") < F.col("asked_ms") * 1000).alias("too_early"))

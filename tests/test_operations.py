@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leakdrift.operators import oplog, team
 from leakdrift.sources.corpus import directory
-from leakdrift.streaming.operations import distinct_findings, low_throughput, scan_stream, windowed_metrics
+from leakdrift.streaming.operations import distinct_findings, low_throughput, routed, scan_stream, windowed_memory, windowed_metrics
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
@@ -72,6 +72,35 @@ def test_slow_minutes_and_sliding_windows(spark, tmp_path):
     assert got == [(at - dt.timedelta(minutes=1), 600, 0), (at, 605, 5), (at + dt.timedelta(minutes=1), 5, 5)]
 
 
+def test_events_go_to_their_level_once(spark, tmp_path):
+    schema = "id long, severity string"
+    (tmp_path / "in").mkdir()
+    events = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    for k, rows in enumerate([[(1, "Critical"), (2, "Info"), (3, "odd"), (4, None)], [(5, "Warning")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        for _ in range(2):
+            routed(events, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(120)
+    got = sorted((r.id, r.level) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(1, "error"), (2, "info"), (3, "info"), (4, "info"), (5, "warn")]
+
+
+def test_memory_by_sliding_hours(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    schema = "event_id long, service long, ts timestamp, usage long"
+    mib = 1024 * 1024
+    rows = [(1, 1, at, 10 * mib), (2, 1, at + dt.timedelta(minutes=30), 40 * mib), (3, 1, at + dt.timedelta(minutes=50), 20 * mib), (4, 1, at + dt.timedelta(hours=2), 5 * mib)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    usage = windowed_memory(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in"), slide="1 hour")
+    run_stream(usage, tmp_path, f"{tmp_path}/out")
+    spark.createDataFrame([(5, 1, at + dt.timedelta(minutes=1), 99 * mib), (6, 2, at + dt.timedelta(hours=9), mib)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/b")
+    run_stream(usage, tmp_path, f"{tmp_path}/out")
+    spark.createDataFrame([(7, 2, at + dt.timedelta(hours=9), mib)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/c")
+    run_stream(usage, tmp_path, f"{tmp_path}/out")
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    # The row that came after the watermark had passed its hour isn't there.
+    assert got == [(at, 1, 20.0, 40.0, 70 / 3, 10 / 3000), (at + dt.timedelta(hours=2), 1, 5.0, 5.0, 5.0, 0.0)]
+
+
 def test_directory_source(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.env").write_text("secret=1")
@@ -127,6 +156,27 @@ def test_rows_before_and_trailing_rates_over_spans(spark, width):
         assert rate[i] == sum(r[3] == s and dt.timedelta(0) <= ts - r[1] <= dt.timedelta(seconds=10) for r in rows) * 6
 
 
+@pytest.mark.parametrize("width", [1, 4, 13, 86_400])
+def test_failures_in_a_row_over_spans(spark, width):
+    import random
+
+    rng = random.Random(width)
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, at + dt.timedelta(seconds=rng.randrange(80)), "Read", rng.choice([1, 2, None]), 1.0, rng.random() < 0.25) for i in range(150)]
+    log, state, want, runs = spark.createDataFrame(rows, LOG), {}, [], {}
+    for i, ts, _, s, _, ok in sorted(rows, key=lambda r: (r[1], r[0])):
+        n, first = (0, None) if ok else (state.get(s, (0, None))[0] + 1, state.get(s, (0, None))[1] or i)
+        state[s] = (n, first)
+        if not ok:
+            want.append((i, n, first))
+            opened = runs.get((s, first), (ts,))[0]
+            runs[s, first] = (opened, ts, n)
+    got = [(r.event_id, r.attempt, r.run.event_id) for r in oplog.failures_in_a_row(log, width).collect()]
+    assert sorted(got) == sorted(want)
+    found = sorted(((r.service, r.opened, r.last_ts, r.failures) for r in oplog.failure_runs(log, 2, width).collect()), key=str)
+    assert found == sorted(((s, a, b, n) for (s, _), (a, b, n) in runs.items() if n >= 2), key=str)
+
+
 def test_component_health_is_the_last_status(spark):
     found = {r.service: (r.status, r.issues, r.overall) for r in oplog.component_health(small_log(spark)).collect()}
     assert found == {1: ("Healthy", 1, "Critical"), 2: ("Critical", 3, "Critical"), None: ("Healthy", 0, "Critical")}
