@@ -165,7 +165,8 @@ def test_failures_in_a_row_over_spans(spark, width):
     rows = [(i, at + dt.timedelta(seconds=rng.randrange(80)), "Read", rng.choice([1, 2, None]), 1.0, rng.random() < 0.25) for i in range(150)]
     log, state, want, runs = spark.createDataFrame(rows, LOG), {}, [], {}
     for i, ts, _, s, _, ok in sorted(rows, key=lambda r: (r[1], r[0])):
-        n, first = (0, None) if ok else (state.get(s, (0, None))[0] + 1, state.get(s, (0, None))[1] or i)
+        n, first = state.get(s, (0, None))
+        n, first = (0, None) if ok else (n + 1, i if first is None else first)
         state[s] = (n, first)
         if not ok:
             want.append((i, n, first))
