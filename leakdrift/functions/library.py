@@ -40,6 +40,17 @@ PATTERNS = [
     SecretPattern("Environment Secret", r"(?i)(api_key|secret|password|token|auth|credential)\s*[:=]\s*[A-Za-z0-9/+=]{8,}", "Environment Secret", 0.60, ("api_key", "secret", "password", "token", "auth", "credential")),
 ]
 
+# Words near a pattern's match that speak for it, and words near or in it that speak against it, by name;
+# and words in any match that do.
+CONTEXT_WORDS = {
+    "AWS Access Key ID": ["aws", "amazon", "access", "key"],
+    "AWS Secret Access Key": ["secret", "aws"],
+    "GitHub Personal Access Token": ["github", "token", "pat"],
+    "GitHub Classic Token": ["github", "token", "oauth"],
+}
+IGNORE_WORDS = {"Environment Secret": ["example", "test", "placeholder", "your_", "my_"]}
+NO_SECRET_WORDS = ["example", "sample", "test", "placeholder", "dummy"]
+
 # Severity of each type of the library; every other type has 5.
 SEVERITY = {
     "AWS Access Key": 10, "AWS Secret Key": 10, "AWS Session Token": 10, "GitHub Personal Access Token": 9,

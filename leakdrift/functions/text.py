@@ -287,6 +287,20 @@ def adjusted(base: Column, value: Column, context: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), out))
 
 
+def pattern_adjusted(name: Column, base: Column, value: Column, context: Column) -> Column:
+    """The confidence of a pattern's match by the pattern's own words; an option, which the scan doesn't use by itself."""
+    low, own = F.lower(context), F.lower(value)
+    out = base
+    for pattern, words in L.CONTEXT_WORDS.items():
+        for w in words:
+            out = out + F.when((name == pattern) & low.contains(w), 0.1).otherwise(0.0)
+    for pattern, words in L.IGNORE_WORDS.items():
+        for w in words:
+            out = out - F.when((name == pattern) & (low.contains(w) | own.contains(w)), 0.2).otherwise(0.0)
+    out = out - F.when(any_part(own, L.NO_SECRET_WORDS), 0.3).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), out))
+
+
 def composite(adjusted_base: Column, value: Column, shannon: Column, path: Column) -> Column:
     """The confidence of a finding: entropy, length, classes, kind of file and false positives as factors, in order."""
     n, k, ext = F.octet_length(value), class_count(value), extension(path)

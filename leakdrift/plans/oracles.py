@@ -202,6 +202,9 @@ ALL_STAGES = SCORED.split("s0 as (")[0].replace(matches("c", [p.regex for p in L
  f as (select * from s qualify row_number() over (partition by doc_id, start_position, end_position order by stage, seq) = 1),
  r as (select *, case when strlen(value) > 50 then left(value, 47) || '...' else value end as shown from f)
 """
+BY_PATTERN = "p.confidence" + "".join(f" + case when detector_name = {q(n)} and contains(lower(ctx), {q(w)}) then cast(0.1 as double) else 0 end" for n, ws in L.CONTEXT_WORDS.items() for w in ws)
+BY_PATTERN += "".join(f" - case when detector_name = {q(n)} and (contains(lower(ctx), {q(w)}) or contains(lower(value), {q(w)})) then cast(0.2 as double) else 0 end" for n, ws in L.IGNORE_WORDS.items() for w in ws)
+BY_PATTERN += " - case when " + " or ".join(f"contains(lower(value), {q(w)})" for w in L.NO_SECRET_WORDS) + " then cast(0.3 as double) else 0 end"
 
 ORACLES = {
     "c25_scan_content": ALL_STAGES + f"""select doc_id, file_path, shown as value, secret_type, start_position, end_position, line_number, column_number, stage, confidence,
@@ -210,6 +213,7 @@ ORACLES = {
       d as (select *, lag(shown) over w as b_value, lag(file_path) over w as b_path from k window w as (order by confidence desc, doc_id, start_position, end_position, secret_type))
       select doc_id, shown as value, secret_type, confidence from d where b_value is null or b_value <> shown or b_path <> file_path""",
     "c02_find_all_matches": f"with c as ({C}), {matches('c', [p.regex for p in L.PATTERNS])} select doc_id, seq, value, start_position, end_position, line_number, column_number from m",
+    "c04_pattern_context": SCORED + f"select doc_id, seq, start_position, floor(greatest(0.0, least(1.0, {BY_PATTERN})) * 1e6 + cast(0.51 as double)) / 1e6 as confidence from s1 join p using (seq)",
     "c05_hook_scan": f"with c as ({C}), {HOOKS}, n(seq, name) as (values {', '.join(f'({k}, {q(n)})' for k, n in enumerate(L.HOOK_PATTERNS))}) select doc_id, file_path as line_number, name, value, start_position as col_bytes from m join n using (seq)",
     "c06_content_warnings": f"with c as ({C}), w as (select doc_id, file_path, {WARN} as warnings from c) select doc_id, file_path, warnings from w where warnings <> ''",
     "c19_composite_confidence": SCORED + "select doc_id, seq, start_position, confidence, round(h, 6) as entropy_score from s",

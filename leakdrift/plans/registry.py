@@ -52,6 +52,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.pattern_matches(corpus(spark, sf_dir)).select("doc_id", "seq", "value", "start_position", "end_position", "line_number", "column_number")
 
 
+@query("c04_pattern_context")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scan.pattern_matches(corpus(spark, sf_dir))
+    sure = T.pattern_adjusted(F.col("name"), F.col("base_confidence"), F.col("value"), F.col("context"))
+    return rows.select("doc_id", "seq", "start_position", T.rounded(sure).alias("confidence"))
+
+
 @query("c05_hook_scan")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.hook_lines(corpus(spark, sf_dir)).select("doc_id", "line_number", "name", "value", "col_bytes")

@@ -52,6 +52,13 @@ def test_contextual_values(spark):
     assert [(r.doc_id, r.value, r.start_position) for r in found] == [(1, "Zq8w7e6r5t", 12)]
 
 
+def test_a_pattern_s_own_words(spark):
+    rows = [("GitHub Classic Token", 0.7, "a" * 40, "see github oauth"), ("GitHub Classic Token", 0.7, "test" * 10, ""), ("Environment Secret", 0.6, "token=my_thing1", "your_ example"), ("AWS Access Key ID", 0.95, "AKIA", "aws key")]
+    df = spark.createDataFrame(rows, "n string, b double, v string, c string")
+    got = [round(r[0], 9) for r in df.select(T.pattern_adjusted(F.col("n"), F.col("b"), F.col("v"), F.col("c"))).collect()]
+    assert got == [0.9, 0.4, 0.0, 1.0]
+
+
 def test_empty_tables_and_the_limit(spark):
     none = spark.createDataFrame([], DOCS)
     assert scan.scan_content(none).count() == 0 and scan.hook_lines(none).count() == 0 and scan.content_warnings(none).count() == 0
