@@ -69,34 +69,57 @@ def spans(text: Column, regex: str, group: int = 0, keep=None) -> Column:  # noq
     condition on the value. A text of more than a few matches is measured once between them, however many there are. Null
     texts and texts without match have an empty array and cost one search.
     """
+    found = let(parts_of(text, regex, group), lambda m: placed(text, m, group, keep)).cast(SPAN)
+    return F.when(text.rlike(regex), found).otherwise(F.array().cast(SPAN))
+
+
+def parts_of(text: Column, regex: str, group: int = 0, *more: Column) -> Column:
+    """What spans are made of: the text between the matches, the matches, and with a group what it and the one before it are."""
     pattern = F.lit(regex)
     parts = {"gaps": F.split(text, regex, -1), "whole": F.regexp_extract_all(text, pattern, F.lit(0))}
     if group:
         parts |= {"lead": F.regexp_extract_all(text, pattern, F.lit(1)), "value": F.regexp_extract_all(text, pattern, F.lit(group))}
+    return F.struct(*more, *[c.alias(k) for k, c in parts.items()])
 
-    def placed(m: Column) -> Column:
-        values = m["value"] if group else m["whole"]
-        places = F.sequence(F.lit(0), F.size(values) - 1)
-        measured = F.struct(F.transform(m["gaps"], extent).alias("g"), F.transform(m["whole"], extent).alias("w"))
-        step = lambda e: lambda i: F.when(i > 0, after(F.get(e["w"], i - 1), F.get(e["g"], i))).otherwise(F.get(e["g"], i))
-        ends = let(measured, lambda e: running(F.transform(places, step(e))))
 
-        def one(place: Column, i: Column) -> Column:
-            if not group:
-                return let(place, lambda p: span(F.get(values, i), p))
-            both = F.struct(place.alias("x"), extent(F.coalesce(F.get(m["lead"], i), F.lit(""))).alias("y"))
-            return let(both, lambda p: let(after(p["x"], p["y"]), lambda q: span(F.get(values, i), q)))
+def placed(text: Column, m: Column, group: int = 0, keep=None) -> Column:  # noqa: ANN001
+    """The spans of parts_of() a text."""
+    values = m["value"] if group else m["whole"]
+    places = F.sequence(F.lit(0), F.size(values) - 1)
+    measured = F.struct(F.transform(m["gaps"], extent).alias("g"), F.transform(m["whole"], extent).alias("w"))
+    step = lambda e: lambda i: F.when(i > 0, after(F.get(e["w"], i - 1), F.get(e["g"], i))).otherwise(F.get(e["g"], i))
+    ends = let(measured, lambda e: running(F.transform(places, step(e))))
 
-        def alone(i: Column) -> Column:
-            parts = F.concat(F.slice(m["gaps"], 1, i + 1), F.slice(m["whole"], 1, i))
-            return let(F.left(text, F.length(F.array_join(parts, ""))), extent)
+    def one(place: Column, i: Column) -> Column:
+        if not group:
+            return let(place, lambda p: span(F.get(values, i), p))
+        both = F.struct(place.alias("x"), extent(F.coalesce(F.get(m["lead"], i), F.lit(""))).alias("y"))
+        return let(both, lambda p: let(after(p["x"], p["y"]), lambda q: span(F.get(values, i), q)))
 
-        some = F.filter(places, lambda i: keep(F.get(values, i))) if keep else places
-        # A few values are placed by a pass over the text each, which is short; of many all parts are measured.
-        return let(some, lambda s: F.when(F.size(s) <= FEW, F.transform(s, lambda i: one(alone(i), i))).otherwise(let(ends, lambda e: F.transform(s, lambda i: one(F.get(e, i), i)))))
+    def alone(i: Column) -> Column:
+        parts = F.concat(F.slice(m["gaps"], 1, i + 1), F.slice(m["whole"], 1, i))
+        return let(F.left(text, F.length(F.array_join(parts, ""))), extent)
 
-    found = let(F.struct(*[c.alias(k) for k, c in parts.items()]), placed).cast(SPAN)
-    return F.when(text.rlike(regex), found).otherwise(F.array().cast(SPAN))
+    some = F.filter(places, lambda i: keep(F.get(values, i))) if keep else places
+    # A few values are placed by a pass over the text each, which is short; of many all parts are measured.
+    return let(some, lambda s: F.when(F.size(s) <= FEW, F.transform(s, lambda i: one(alone(i), i))).otherwise(let(ends, lambda e: F.transform(s, lambda i: one(F.get(e, i), i)))))
+
+
+def spans_of_all(text: Column, low: Column, patterns: list[tuple[str, str, tuple[str, ...]]], group: int = 0) -> Column:
+    """Tagged spans (seq, name, m) of several patterns (name, regex, strings of which a text with a match has one).
+
+    What is done with matches stands once in the plan, however many patterns there are.
+    """
+
+    def parts(k: int, name: str, regex: str, needs: tuple[str, ...]) -> Column:
+        some = text.rlike(regex)
+        if needs:
+            some = reduce(lambda a, b: a | b, [low.contains(x) for x in needs]) & some
+        return F.when(some, parts_of(text, regex, group, F.lit(k).alias("seq"), F.lit(name).alias("name")))
+
+    every = F.array_compact(F.array(*[parts(k, *p) for k, p in enumerate(patterns)]))
+    tagged = lambda m: F.transform(placed(text, m, group).cast(SPAN), lambda s: F.struct(m["seq"].alias("seq"), m["name"].alias("name"), s.alias("m")))
+    return F.flatten(F.transform(every, tagged))
 
 
 def word_spans(text: Column, word: str, radius: int) -> Column:
@@ -137,14 +160,6 @@ def word_spans(text: Column, word: str, radius: int) -> Column:
     return F.when(text.rlike(regex), found).otherwise(F.array().cast(SPAN))
 
 
-def first_matches(text: Column, low: Column, regex: str, needs: tuple[str, ...], group: int = 0, keep=None) -> Column:  # noqa: ANN001
-    """spans() of texts that hold one of the lower-case strings without which the regex can't match."""
-    found = spans(text, regex, group, keep)
-    if not needs:
-        return found
-    return F.when(reduce(lambda a, b: a | b, [low.contains(x) for x in needs]), found).otherwise(F.array().cast(SPAN))
-
-
 def entropy(value: Column) -> Column:
     """Shannon entropy: shares are counts of code points by the length in bytes, summed in code-point order."""
     chars = F.array_sort(F.array_distinct(F.filter(F.split(value, ""), lambda c: c != "")))

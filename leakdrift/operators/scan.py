@@ -23,7 +23,7 @@ def tagged(found: Column, seq: int, name: str) -> Column:
 
 def library_spans(patterns: list[L.SecretPattern], low: Column) -> Column:
     """Tagged matches of all patterns in the column content, whose lower-case text is given."""
-    return F.concat(*[tagged(T.first_matches(F.col("content"), low, p.regex, p.needs), k, p.name) for k, p in enumerate(patterns)])
+    return T.spans_of_all(F.col("content"), low, [(p.name, p.regex, p.needs) for p in patterns])
 
 
 def with_context(found: Column, content: Column) -> Column:
@@ -141,7 +141,7 @@ CONTEXTUAL = {k: rf"""(?i)({k}[:\s=]+["']?)({r})["']?""" for k, r in L.CONTEXTUA
 
 
 def contextual_spans(content: Column, low: Column) -> Column:
-    return F.concat(*[tagged(T.first_matches(content, low, r, (k,), group=2), i, k) for i, (k, r) in enumerate(CONTEXTUAL.items())])
+    return T.spans_of_all(content, low, [(k, r, (k,)) for k, r in CONTEXTUAL.items()], group=2)
 
 
 def contextual_holds() -> Column:
