@@ -19,6 +19,8 @@ SUMMARY = f"service long, chunk long, closed array<{STATE}>, wakes array<struct<
 STATES = "event_id long, service long, state string, outcome string, after string"
 
 State = tuple[int, int]
+#: Rows that a task gives at once, about: chunks can be small.
+FRAME = 5_000
 
 
 def step(state: State, at: int, success: bool, threshold: int, timeout: int) -> tuple[str, str, State]:
@@ -106,10 +108,15 @@ def breaker_states(log: DataFrame, threshold: int = 5, timeout_ms: int = 60_000,
     rows = rows.withColumn("chunk", F.floor(F.col("at") / (chunk_s * 1_000_000)))
 
     def summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, out = ["service", "chunk", "closed", "wakes"], []
         for rows in runs_of(batches, ["service", "chunk"]):
             closed, wakes = summary(rows["at"].to_numpy(), rows["success"].to_numpy(dtype=bool), threshold, timeout)
             named = [{"n": n, "since": s} for n, s in closed], [{"until": u, "n": n, "since": s} for u, n, s in wakes]
-            yield pd.DataFrame([(rows["service"].iloc[0], rows["chunk"].iloc[0], *named)], columns=["service", "chunk", "closed", "wakes"])
+            out.append((rows["service"].iloc[0], rows["chunk"].iloc[0], *named))
+            if len(out) >= FRAME:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        yield pd.DataFrame(out, columns=columns)
 
     def before(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = None, (0, -1)
@@ -123,12 +130,16 @@ def breaker_states(log: DataFrame, threshold: int = 5, timeout_ms: int = 60_000,
             yield pd.DataFrame(out, columns=["service", "chunk", "n", "since"])
 
     def replayed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, out = ["event_id", "service", "state", "outcome", "after"], []
         for rows in runs_of(batches, ["service", "chunk"]):
-            state, out = (int(rows["n"].iloc[0]), int(rows["since"].iloc[0])), []
+            state = (int(rows["n"].iloc[0]), int(rows["since"].iloc[0]))
             for event_id, service, when, success in zip(rows["event_id"], rows["service"], rows["at"].tolist(), rows["success"].tolist(), strict=True):
                 met, outcome, state = step(state, when, success, threshold, timeout)
                 out.append((event_id, service, met, outcome, "Open" if state[0] >= threshold else "Closed"))
-            yield pd.DataFrame(out, columns=["event_id", "service", "state", "outcome", "after"])
+            if len(out) >= FRAME:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        yield pd.DataFrame(out, columns=columns)
 
     dealt = rows.repartition("service", "chunk").sortWithinPartitions("service", "chunk", "at", "event_id")
     found = dealt.mapInPandas(summaries, SUMMARY)
