@@ -143,6 +143,22 @@ def test_grants(spark):
     assert {r.key_id: (sorted(r.grants), r.removed) for r in left.collect()} == {10: ([2], 2), 20: ([4], 0)}
 
 
+def test_grants_are_made_in_their_keys_rows(spark):
+    keys = spark.createDataFrame([(k % 4, k, T0) for k in range(50)], "team int, key_id int, created_at timestamp")
+    people = spark.createDataFrame([(t, m, m % 3 > 0) for t in range(3) for m in range(40)] + [(1, None, True), (1, 1, True)], "team int, member int, active boolean")
+    blob = lambda m: F.concat_ws("/", F.col("key_id").cast("string"), m.cast("string"))
+    held = objects.issued(keys, people, blob)
+    want = objects.issued(keys, people, blob(F.col("member")))
+    assert {r.key_id: (r.team, r.grants, r.expires_at) for r in held.collect()} == {r.key_id: (r.team, r.grants, r.expires_at) for r in want.collect()}
+    one = spark.createDataFrame([(1, 3), (3, 5)], "team int, member int")
+    more = objects.without_members(objects.granted_to(held, one, blob), people.where("member = 4"))
+    got = {r.key_id: (len(r.grants), r.grants.get(3), r.grants.get(5), r.removed) for r in more.collect()}
+    assert got == {k: ((26, 26, 25, 1)[k % 4] - (k % 4 == 0), f"{k}/3" if k % 4 == 1 else None, f"{k}/5", int(k % 4 < 3)) for k in range(50)}
+    # Keys are dealt out once; grants never move.
+    plan = more._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert (plan.count("Join"), plan.count("BroadcastHashJoin"), plan.count("REPARTITION_BY_NUM")) == (3, 3, 1), plan
+
+
 def test_rotation(spark):
     k = lambda c: F.lit(c * 16)
     rows = spark.createDataFrame([(1, 1, "a"), (2, 2, "b"), (3, 3, "c"), (4, 1, None), (5, None, "e")], "i int, key_id int, t string").withColumn("content", F.aes_encrypt("t", k("o"), F.lit("GCM")))
