@@ -45,6 +45,15 @@ def test_leaving(spark):
     assert sorted((r.member, r.active) for r in members.deactivated(people, gone).collect()) == [(1, True), (2, False), (9, False)]
 
 
+def test_grants_of_those_who_stay_are_no_rows(spark):
+    people = spark.createDataFrame([(1, m, "Member", m % 2 == 0) for m in range(200)], "team int, member int, role string, active boolean")
+    keys = objects.issued(spark.createDataFrame([(1, k, T0) for k in range(30)], "team int, key_id int, created_at timestamp"), people, F.lit("b"))
+    gone = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (1, None)], "team int, member int")
+    summary = members.offboarded(people, keys, gone, F.lit(T0), "ann")[2]
+    assert sorted((r.member, r.keys_revoked) for r in summary.collect()) == [(2, 30), (3, 0), (4, 30)]
+    assert "explode(map_keys(" not in summary._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_skip_reasons_and_hook(spark):
     paths = [("a/b.rs", 5), ("a/.env", 5), ("x.PNG", 5), ("x.properties", 5), ("node_modules/x.js", 5), ("big.rs", 11 * 1024 * 1024), ("Makefile", 5), ("a.exe", 5)]
     df = spark.createDataFrame(paths, "p string, n int")
