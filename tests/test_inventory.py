@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leakdrift.functions import inventory as V
-from leakdrift.operators import members, objects
+from leakdrift.operators import members, objects, team
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -79,3 +79,13 @@ def test_lists(spark):
     assert {r.file_path for r in V.search(files, "Z").collect()} == {"b/Z.txt"} and V.search(files, "").count() == 4 and V.search(files, "", hidden=False).count() == 3
     found = spark.createDataFrame([("dir",), ("dir",), ("b/Z.txt",)], "file_path string")
     assert {r.file_path: r.has_secrets for r in V.with_secrets(files, found).collect()} == {"dir": True, "b/Z.txt": True, "a/y.enc": False, "c/.x": False}
+
+
+def test_more_grants_are_dealt_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(team, "PART_ROWS", 100, raising=False)
+    lines = spark.createDataFrame([(i % 1500, i % 7) for i in range(3000)], "l_partkey long, l_suppkey long")
+    held = team.grants(lines)
+    assert held.rdd.getNumPartitions() == 30 and team.grants(lines.limit(0)).count() == 0
+    people = spark.createDataFrame([(m, m != 3) for m in range(8)], "member long, active boolean")
+    got = [(r.member, r.key_id) for r in team.key_ids(held.unionByName(held), people).collect()]
+    assert sorted(got) == sorted({(i % 7, i % 1500) for i in range(3000) if i % 7 != 3})
