@@ -106,3 +106,12 @@ def test_warnings_and_errors_are_worked_out_once(spark):
     plan = optimised(checks.rollup(values.select(checks.password_errors(F.col("value")).alias("found")), "found"))
     assert plan.count("Password is very weak") == 1, plan
     assert sorted(tuple(r) for r in checks.rollup(values.select(checks.password_errors(F.col("value")).alias("found")), "found").collect()) == [("password", "Critical", 2), ("password", "Warning", 2)]
+
+
+def test_long_tokens_are_the_tokens_that_are_long_enough(spark):
+    words = ["a" * k + x for k in range(8, 13) for x in ("", "é9", "-_", "😀z")]
+    text = " ".join(words) + "\n" + ",".join(reversed(words)) + "bcdefghijkl"
+    frame = spark.createDataFrame([(text,), ("",), ("short words only",)], "t string")
+    long = lambda v: F.length(v) >= 10
+    got = frame.select(T.spans(F.col("t"), scan.LONG_TOKEN).alias("x"), T.spans(F.col("t"), scan.TOKEN, keep=long).alias("y")).collect()
+    assert all(r.x == r.y for r in got) and len(got[0].x) > 20 and got[2].x == []
