@@ -179,3 +179,14 @@ def test_checks_of_input(spark):
     enc = checks.encrypted_path(F.col("p"))
     got = paths.select(enc, checks.decrypted_path(enc), checks.decrypted_path(F.col("p"))).collect()
     assert [tuple(r) for r in got] == [("a/b.txt.enc", "a/b.txt", "a/b.decrypted"), ("a/b.dat.enc", "a/b.dat", "a/b.decrypted"), ("a.d/.env.dat.enc", "a.d/.env.dat", "a.d/.env.decrypted")]
+
+
+def test_runs_of_few_symbols_are_not_measured(monkeypatch):
+    from leakdrift.functions import text as T
+    from leakdrift.functions import windows as W
+
+    asked = []
+    measure = W.run_windows
+    monkeypatch.setattr(W, "run_windows", lambda run, *more: asked.append(run) or measure(run, *more))
+    W.text_windows("abcdefghijk" * 3 + " " + "=-" * 40 + " aB3dE6gH9jK2mN5pQ8sT1", 20, 22, T.DEFAULT)
+    assert asked == ["aB3dE6gH9jK2mN5pQ8sT1"]
