@@ -16,8 +16,12 @@ BANDS = BINS // ROWS
 #: Only shingles whose hash is under a line's bar are sorted into bins: so many of them are expected, all where the
 #: line has no more. Lines of similar lengths have nearly the same bar.
 UNDER = 40
-#: Pairs that agree in fewer bins are no candidates; at a similarity of 0.8 that happens to one pair in 2,000.
-AGREE = 13
+#: Pairs are candidates whose unlike bins are at most half of the bins that either has, and SPARE; at a similarity of 0.8
+#: that leaves out one pair in 2,000. Bins that are empty in both say nothing.
+SPARE = 1
+#: 64-bit words of a line's odd sketch. Sketches of two sets differ in no more bits than the sets in elements, so that
+#: what is left out by them has a smaller similarity for certain.
+WORDS = 16
 #: Documents whose needed lines are sent to every task at most; more are joined by a shuffle.
 BROADCAST_DOCS = 100_000
 #: Lines of a bucket that one task compares with as many others at once.
@@ -30,17 +34,20 @@ def wide(line: Column) -> Column:
     return F.encode(line, "UTF-32")
 
 
-def shingles(line: Column, width: int = WIDTH) -> Column:
-    """Distinct hashes of a line's character shingles."""
+def hashes(line: Column, width: int = WIDTH) -> Column:
+    """Hashes of a line's character shingles."""
     last = F.greatest(F.length(line) - width, F.lit(0))
     return let(
         wide(line),
-        lambda b: F.array_distinct(
-            F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substr(b, i * 4 + 1, F.lit(4 * width))))
-        ),
+        lambda b: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substr(b, i * 4 + 1, F.lit(4 * width)))),
     )
 
 
+def shingles(line: Column) -> Column:
+    """Distinct hashes of a line's character shingles."""
+    return F.array_distinct(hashes(line))
+
+
 def hash_1(line: Column) -> Column:
     return F.xxhash64(line)
 
@@ -77,9 +84,16 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def keyed(sigs: DataFrame) -> DataFrame:
-    """(id, m0, ...) to (id, key): a row for each band that has any value. A value tells its bin."""
-    bands = [[F.col(least(b * ROWS + k)) for k in range(ROWS)] for b in range(BINS // ROWS)]
-    keys = [F.when(F.coalesce(*ms).isNotNull(), F.xxhash64(F.lit(b), *ms)) for b, ms in enumerate(bands)]
+    """(id, m0, ...) to (id, key): a row for each band that has any value. A value tells its bin.
+
+    A band of one value takes the next band's bins too, or each frequent shingle would make a bucket.
+    """
+    bands = [[F.col(least(b * ROWS + k)) for k in range(ROWS)] for b in range(BANDS)]
+    keys = []
+    for b, ms in enumerate(bands):
+        values = sum(m.isNotNull().cast("int") for m in ms)
+        key = F.when(values > 1, F.xxhash64(F.lit(b), *ms))
+        keys.append(key.when(values == 1, F.xxhash64(F.lit(b), *ms, *bands[(b + 1) % BANDS])))
     return sigs.select("id", F.explode(F.array(*keys)).alias("key")).where("key is not null")
 
 
@@ -98,15 +112,37 @@ def digests() -> list[Column]:
 
 
 def digests_agree(x: str, y: str) -> Column:
-    """In how many bins the digests of two lines are equal. All of it is generated code."""
-    unlike = F.lit(0)
-    for k in range(BINS // 8):
-        d = F.col(f"{x}.w{k}").bitwiseXOR(F.col(f"{y}.w{k}"))
-        any_bit = d
+    """Whether the digests of two lines are alike. All of it is generated code."""
+
+    def bytes_set(word: Column) -> Column:
+        any_bit = word
         for i in range(1, 8):
-            any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(d, i))
-        unlike = unlike + F.bit_count(any_bit.bitwiseAND(F.lit(0x0101010101010101)))
-    return F.lit(BINS) - unlike
+            any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(word, i))
+        return F.bit_count(any_bit.bitwiseAND(F.lit(0x0101010101010101)))
+
+    pairs = [(F.col(f"{x}.w{k}"), F.col(f"{y}.w{k}")) for k in range(BINS // 8)]
+    unlike = sum(bytes_set(p.bitwiseXOR(q)) for p, q in pairs)
+    either = sum(bytes_set(p.bitwiseOR(q)) for p, q in pairs)
+    return 2 * unlike <= either + 2 * SPARE
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(id, line) to id, size, o0, o1, ...: the number of a line's distinct shingles and their odd sketch, in which each
+    flips a bit."""
+    rows = texts.select("id", F.explode(shingles(F.col("line"))).alias("x"))
+    rows = rows.select("id", F.shiftrightunsigned("x", 58).cast("int").alias("bit"), F.pmod("x", F.lit(WORDS)).alias("word"))
+    bit = F.expr("shiftleft(1L, bit)")
+    words = [F.bit_xor(F.when(F.col("word") == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"o{k}") for k in range(WORDS)]
+    return rows.groupBy("id").agg(F.count("*").alias("size"), *words)
+
+
+def sketches_allow(x: str, y: str, threshold: float) -> Column:
+    """False only for lines whose shingle sets are less similar than the threshold: of n and m elements, they would
+    differ in (1 - threshold) / (1 + threshold) * (n + m) at most."""
+    n, m = F.col(f"{x}.size"), F.col(f"{y}.size")
+    unlike = sum(F.bit_count(F.col(f"{x}.o{k}").bitwiseXOR(F.col(f"{y}.o{k}"))) for k in range(WORDS))
+    most = (n + m) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-3)
+    return (F.abs(n - m) <= most) & (unlike <= most)
 
 
 def bucketed(sigs: DataFrame) -> DataFrame:
@@ -127,36 +163,67 @@ def with_digests(slots: DataFrame, sigs: DataFrame) -> DataFrame:
     return slots.join(sigs.select("id", *digests()), "id")
 
 
-def candidates(slots: DataFrame) -> DataFrame:
+def with_hub(slots: DataFrame, columns: list[str], alike: Column) -> DataFrame:
     """(a, b): lines with the least line of their bucket. A bucket of n lines makes n pairs."""
-    mine = [f"w{k}" for k in range(BINS // 8)]
-    pairs = slots.where("id <> hub").select("id", "hub", *mine).distinct().alias("l")
-    hubs = slots.where("id = hub").select("hub", *mine).distinct().alias("r")
-    both = pairs.join(hubs, (F.col("l.hub") == F.col("r.hub")) & (digests_agree("l", "r") >= AGREE))
+    pairs = slots.where("id <> hub").select("id", "hub", *columns).distinct().alias("l")
+    hubs = slots.where("id = hub").select("hub", *columns).distinct().alias("r")
+    both = pairs.join(hubs, (F.col("l.hub") == F.col("r.hub")) & alike)
     return both.select(F.col("l.hub").alias("a"), F.col("l.id").alias("b"))
 
 
-def crossing(slots: DataFrame, links: DataFrame) -> DataFrame:
+DIGEST = [f"w{k}" for k in range(BINS // 8)]
+SKETCH = ["size", *[f"o{k}" for k in range(WORDS)]]
+
+
+def candidates(slots: DataFrame) -> DataFrame:
+    """(a, b): lines with the least line of their bucket, where the digests are alike."""
+    return with_hub(slots, DIGEST, digests_agree("l", "r"))
+
+
+def against_all(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join of a bucket's `minor` lines with all its lines, by key, ours and theirs.
+
+    Buckets are dealt to chunks by a hash, and a pair of chunks is one key of the join, so that no task has a large
+    bucket to itself.
+    """
+    rows = rows.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).drop("n")
+    rows = written(rows.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int")))
+    minors = rows.where("minor").groupBy("key").agg(F.collect_set("chunk").alias("ours"))
+    left = rows.where("minor").withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    right = rows.withColumnRenamed("chunk", "theirs").join(minors, "key").withColumn("ours", F.explode("ours"))
+    return left.withColumnRenamed("chunk", "ours"), right
+
+
+def same_chunks() -> Column:
+    return (F.col("l.key") == F.col("r.key")) & (F.col("l.ours") == F.col("r.ours")) & (F.col("l.theirs") == F.col("r.theirs"))
+
+
+def near_others(slots: DataFrame, stars: DataFrame) -> DataFrame:
+    """(id): all lines that any candidate pair of a bucket has; stars are the pairs with the least lines."""
+    met = written(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    rows = slots.where("n > 2").join(met.withColumn("met", F.lit(True)), "id", "left")
+    rows = rows.select("id", "key", "n", *DIGEST, F.col("met").isNull().alias("minor"))
+    left, right = against_all(rows)
+    alike = (F.col("l.id") != F.col("r.id")) & digests_agree("l", "r")
+    return met.unionByName(left.alias("l").join(right.alias("r"), same_chunks() & alike, "left_semi").select("id").distinct())
+
+
+def crossing(slots: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
     """(a, b): all candidate pairs of a bucket's lines that the links leave in different components.
 
-    What isn't in a bucket's largest component meets all lines of other components. Buckets are dealt to chunks by
-    a hash, and a pair of chunks is one key of the join, so that no task has a large bucket to itself; its condition
-    is held against the digests before a pair is made. A pair of several buckets comes once.
+    What isn't in a bucket's largest component meets all lines of other components, but for the least line, which has
+    met all. The condition is held against sketches before a pair is made. A pair of several buckets comes once.
     """
     parts = connected_components(links).withColumnRenamed("node", "id")
-    rows = slots.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).drop("hub", "n")
+    rows = slots.where("n > 2 and id <> hub").drop("hub")
     rows = written(rows.join(parts, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"))
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("big"), F.count("*").alias("m"))
     rows = rows.join(largest.where("m > 1").select("key", "big"), "key").withColumn("minor", F.col("comp") != F.col("big"))
-    rows = written(rows.drop("big").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int")))
-    minors = rows.where("minor").groupBy("key").agg(F.collect_set("chunk").alias("ours"))
-    left = rows.where("minor").withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    left = left.withColumnRenamed("chunk", "ours").alias("l")
-    right = rows.withColumnRenamed("chunk", "theirs").join(minors, "key").withColumn("ours", F.explode("ours")).alias("r")
-    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "ours", "theirs")]
+    left, right = against_all(rows.drop("big"))
     apart = (F.col("l.comp") != F.col("r.comp")) & (~F.col("r.minor") | (F.col("l.id") < F.col("r.id")))
-    both = left.join(right, [*same, apart, digests_agree("l", "r") >= AGREE])
+    alike = sketches_allow("l", "r", threshold)
+    both = left.alias("l").join(right.alias("r"), same_chunks() & apart & alike)
     a, b = F.col("l.id"), F.col("r.id")
     return both.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
@@ -177,29 +244,32 @@ def texts_of(ids: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
     return written(rows.select("id", "line").dropDuplicates(["id"]))
 
 
-def confirmed(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of at least the threshold."""
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), firsts, docs)
-    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
-    rows = rows.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    # Generators keep the optimiser from moving the condition before the sets, where each would be made several times.
-    rows = rows.select("a", "b", F.inline(F.array(F.struct(shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y")))))
-    counts = F.struct(F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("both"))
-    rows = rows.select("a", "b", F.inline(F.array(counts)))
+def confirmed(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of at least the threshold; texts has id, line and size."""
+    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("size").alias("n")), "a")
+    rows = rows.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("size").alias("m")), "b")
+    both = F.size(F.array_intersect(hashes(F.col("x")), hashes(F.col("y"))))
+    # A generator keeps the optimiser from moving the condition before the count, which would be made several times.
+    rows = rows.select("a", "b", "n", "m", F.explode(F.array(both)).alias("both"))
     return written(rows.where(F.col("both") >= F.lit(threshold) * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b"))
 
 
 def line_links(firsts: DataFrame, sigs: DataFrame, docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(node, component) of the different lines, by id, that are linked with others.
 
-    Lines are compared with the least lines of their buckets first; then every candidate pair of a bucket that still
-    lies in two components is compared too, so that no link is lost which could change a component.
+    Lines that have a candidate in any bucket are read and sketched. They are compared with the least lines of their
+    buckets first; then every candidate pair of a bucket that still lies in two components is compared too, so that no
+    link is lost which could change a component.
     """
     slots = written(with_digests(bucketed(sigs), sigs))
-    links = confirmed(written(candidates(slots)), firsts, docs, threshold)
-    pairs = written(crossing(slots, links))
+    texts = texts_of(written(near_others(slots, candidates(slots))), firsts, docs)
+    known = written(sketches(texts))
+    texts = written(texts.join(known.select("id", "size"), "id"))
+    slots = written(slots.drop(*DIGEST).join(known, "id"))
+    links = confirmed(with_hub(slots, SKETCH, sketches_allow("l", "r", threshold)), texts, threshold)
+    pairs = written(crossing(slots, links, threshold))
     if not pairs.isEmpty():
-        links = links.unionByName(confirmed(pairs, firsts, docs, threshold))
+        links = links.unionByName(confirmed(pairs, texts, threshold))
     return connected_components(links)
 
 
@@ -217,7 +287,8 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     lines = numbered(docs.select("doc_id", "text"))
     places = written(lines.select("doc_id", "pos", "h1", "h2"))
     firsts = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("n"))
-    firsts = written(firsts.withColumn("id", F.monotonically_increasing_id()))
+    # Lines that are repeated most have the least ids and so are the hubs of their buckets.
+    firsts = written(firsts.withColumn("id", F.monotonically_increasing_id() - F.shiftleft(F.least("n", F.lit(1000)).cast("long"), 52)))
     sigs = written(signatures(lines.select("h1", "h2", "line")).join(firsts.select("h1", "h2", "id"), ["h1", "h2"]).drop("h1", "h2"))
     linked = written(line_links(firsts, sigs, docs, threshold))
     linked = written(firsts.select("id", "at").join(linked.withColumnRenamed("node", "id"), "id"))

@@ -339,3 +339,22 @@ def test_components_of_stars_paths_and_random_links(spark):
     found = common.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
     assert len(found) == len(root)
     assert {r.node: r.component for r in found} == {x: find(x) for x in root}
+
+
+def test_few_lines_of_a_template_that_are_not_similar_are_held_against_full_sets(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = "".join(rng.choice(list("abcdefghij "), 400))
+    texts = []
+    for _ in range(150):  # five of 400 places differ from the template, which changes about 40 shingles of each
+        chars = list(base)
+        for k in rng.choice(400, 5, replace=False):
+            chars[k] = chr(0x4E00 + int(rng.integers(20_000)))
+        texts.append("".join(chars))
+    sets = [{t[k : k + lines.WIDTH] for k in range(len(t) - lines.WIDTH + 1)} for t in texts]
+    similar = [(i, j) for i in range(150) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    counts, real = [], lines.confirmed
+    monkeypatch.setattr(lines, "confirmed", lambda pairs, *more: (counts.append(pairs.count()), real(pairs, *more))[1])
+    docs = spark.createDataFrame([(i, t, "s", "x") for i, t in enumerate(texts)], DOCS)
+    kept = {r.doc_id for r in lines.dedup_lines(docs).collect() if r.n_kept}
+    assert kept == set(components(range(150), similar).values())
+    assert sum(counts) <= len(similar) + 1500, (counts, len(similar))
