@@ -36,11 +36,8 @@ def wide(line: Column) -> Column:
 
 def hashes(line: Column, width: int = WIDTH) -> Column:
     """Hashes of a line's character shingles."""
-    last = F.greatest(F.length(line) - width, F.lit(0))
-    return let(
-        wide(line),
-        lambda b: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substr(b, i * 4 + 1, F.lit(4 * width)))),
-    )
+    starts = F.sequence(F.lit(1), 4 * F.greatest(F.length(line) - width, F.lit(0)) + 1, F.lit(4))
+    return let(wide(line), lambda b: F.transform(starts, lambda i: F.xxhash64(F.substr(b, i, F.lit(4 * width)))))
 
 
 def shingles(line: Column) -> Column:
@@ -69,10 +66,11 @@ def least(k: int) -> str:
 
 def signatures(lines: DataFrame) -> DataFrame:
     """(h1, h2, line) to one row for each different line: h1, h2 and m0, m1, ..., the least shingle hash of each bin
-    that has any, else null.
+    that has any, else null. Lines without a shingle under the bar have no row.
 
     Shingles are rows of a generator inside one generated loop, which few leave: those under the line's bar, of which
-    bins are partial minima before the shuffle, so that repeated lines are one row for each task at most.
+    bins are partial minima before the shuffle, so that repeated lines are one row for each task at most. A filter leaves
+    the other bins' minima alone, where a condition on the value would write all of them for each shingle.
     """
     last = F.greatest(F.length("line") - WIDTH, F.lit(0))
     rows = lines.select("h1", "h2", wide(F.col("line")).alias("b"), last.alias("last"))
@@ -80,7 +78,7 @@ def signatures(lines: DataFrame) -> DataFrame:
     rows = rows.select("h1", "h2", "last", F.hash(F.substr("b", F.col("i") * 4 + 1, F.lit(4 * WIDTH))).alias("x"))
     bar = F.lit(float(UNDER) * 2**32) / (F.col("last") + 1) - F.lit(float(2**31))
     rows = rows.where(F.col("x") < bar).select("h1", "h2", "x", F.pmod("x", F.lit(BINS)).alias("bin"))
-    return rows.groupBy("h1", "h2").agg(*[F.min(F.when(F.col("bin") == k, F.col("x"))).alias(least(k)) for k in range(BINS)])
+    return rows.groupBy("h1", "h2").agg(*[F.expr(f"min(x) filter (where bin = {k})").alias(least(k)) for k in range(BINS)])
 
 
 def keyed(sigs: DataFrame) -> DataFrame:
@@ -131,8 +129,7 @@ def sketches(texts: DataFrame) -> DataFrame:
     flips a bit."""
     rows = texts.select("id", F.explode(shingles(F.col("line"))).alias("x"))
     rows = rows.select("id", F.shiftrightunsigned("x", 58).cast("int").alias("bit"), F.pmod("x", F.lit(WORDS)).alias("word"))
-    bit = F.expr("shiftleft(1L, bit)")
-    words = [F.bit_xor(F.when(F.col("word") == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"o{k}") for k in range(WORDS)]
+    words = [F.coalesce(F.expr(f"bit_xor(shiftleft(1L, bit)) filter (where word = {k})"), F.lit(0).cast("long")).alias(f"o{k}") for k in range(WORDS)]
     return rows.groupBy("id").agg(F.count("*").alias("size"), *words)
 
 
@@ -148,14 +145,12 @@ def sketches_allow(x: str, y: str, threshold: float) -> Column:
 def bucketed(sigs: DataFrame) -> DataFrame:
     """(id, key, hub, n): the lines of each bucket of more than one, with its least line and its size.
 
-    Least lines are grouped minima that are pre-aggregated. Keys of lines that share none with another never move again
-    where the keys of buckets are few enough to be sent to every task; else the join is one whose hot keys are split.
+    Nearly all keys are those of one line, so the keys are shuffled once, as they are, for the buckets' least lines and
+    for what is joined with them; these are a row for each bucket, and the lines of a large one only stream past its row.
     """
-    slots = keyed(sigs)
-    hubs = written(slots.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"))
-    small = hubs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    met = slots.join(F.broadcast(hubs) if small else hubs, "key")
-    return written(met)
+    slots = keyed(sigs).repartition("key")
+    hubs = slots.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    return written(slots.join(hubs.hint("shuffle_hash"), "key"))
 
 
 def with_digests(slots: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -288,8 +283,11 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     places = written(lines.select("doc_id", "pos", "h1", "h2"))
     firsts = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("n"))
     # Lines that are repeated most have the least ids and so are the hubs of their buckets.
+    # Both sides are grouped by the hash, so that they meet without another shuffle.
+    firsts = firsts.hint("shuffle_hash").join(signatures(lines.select("h1", "h2", "line")), ["h1", "h2"], "left")
     firsts = written(firsts.withColumn("id", F.monotonically_increasing_id() - F.shiftleft(F.least("n", F.lit(1000)).cast("long"), 52)))
-    sigs = written(signatures(lines.select("h1", "h2", "line")).join(firsts.select("h1", "h2", "id"), ["h1", "h2"]).drop("h1", "h2"))
+    sigs = firsts.select("id", *[least(k) for k in range(BINS)])
+    firsts = firsts.select("id", "h1", "h2", "at", "n")
     linked = written(line_links(firsts, sigs, docs, threshold))
     linked = written(firsts.select("id", "at").join(linked.withColumnRenamed("node", "id"), "id"))
     heads = linked.groupBy("component").agg(F.min("at").alias("head"), F.count("*").alias("n"))
@@ -300,7 +298,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         F.coalesce("gone", F.lit(False)) | ~F.struct("doc_id", "pos").eqNullSafe(F.col("at"))
     )
     gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("_gone"))
-    rows = docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g._id")), "left")
+    rows = docs.alias("d").join(gone.hint("shuffle_hash").alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g._id")), "left")
     n_lines = F.coalesce(F.size(F.filter(F.split("d.text", "\n"), lambda x: x.rlike(HAS_WORD))), F.lit(0))
     kept = F.array_join(F.filter(F.split("d.text", "\n"), lambda x, i: ~F.array_contains("g._gone", i)), "\n")
     text = F.when(F.col("g._gone").isNull(), F.col("d.text")).otherwise(kept).alias("text")

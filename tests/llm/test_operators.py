@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leakdrift.llm import common, extraction, formatting, licenses, lines, mixing, neardup, packing, quality, toxicity, vectors
 
@@ -358,3 +359,23 @@ def test_few_lines_of_a_template_that_are_not_similar_are_held_against_full_sets
     kept = {r.doc_id for r in lines.dedup_lines(docs).collect() if r.n_kept}
     assert kept == set(components(range(150), similar).values())
     assert sum(counts) <= len(similar) + 1500, (counts, len(similar))
+
+
+def test_keys_of_lines_are_shuffled_once_and_minima_are_filtered(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), 200)) for _ in range(20)]
+    # The last line has one shingle, which can be over the line's bar: it stays without a signature.
+    texts += [t + "." for t in texts] + [c * 5000 for c in "abcdefgh"]
+    docs = spark.createDataFrame([(i, t, "a", "x") for i, t in enumerate(texts)], DOCS)
+    assert {r.doc_id for r in lines.dedup_lines(docs).collect() if r.n_kept} == {*range(20), *range(40, 48)}
+    sigs = lines.signatures(lines.numbered(docs.select("doc_id", "text")).select("h1", "h2", "line"))
+    assert "FILTER (WHERE" in sigs._jdf.queryExecution().optimizedPlan().toString()
+    sigs = common.written(sigs.withColumn("id", F.monotonically_increasing_id()))
+    monkeypatch.setattr(lines, "written", lambda df: df)
+    slots = lines.bucketed(sigs)
+    rows = slots.collect()
+    plan = slots._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert rows and plan.count("ReusedExchange") == 1
+    for r in rows:
+        own = [x.id for x in rows if x.key == r.key]
+        assert (r.hub, r.n) == (min(own), len(own)) and r.n > 1
