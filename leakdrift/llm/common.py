@@ -62,6 +62,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def shuffled_join(df: DataFrame, other: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """df joined with other, with neither sent to every task, whatever sizes Spark expects.
+
+    It sizes a table by its files, compressed, and what an explode makes by the row before it, so that under its
+    threshold there may be tables of a hundred times that, which would go through the driver.
+    """
+    return df.join(other.hint("merge"), on, how)
+
+
 #: Ids that are sent to every task at most; more of them are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -69,7 +78,7 @@ BROADCAST_IDS = 500_000
 def sized_semi_join(df: DataFrame, ids: DataFrame, key: str, bound: int = BROADCAST_IDS) -> DataFrame:
     """Rows of df whose key is in ids, without moving df as long as the ids are few."""
     small = ids.limit(bound + 1).count() <= bound
-    return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
+    return df.join(F.broadcast(ids), key, "left_semi") if small else shuffled_join(df, ids, key, "left_semi")
 
 
 #: Nodes with more rows than this, and more than a thousandth of all rows, are hubs; there are fewer than 1,000 of them.
@@ -83,7 +92,7 @@ def with_least(rows: DataFrame, least: DataFrame, n_rows: int) -> DataFrame:
     """
     hubs = F.broadcast(least.where(F.col("n") > max(HUB_ROWS, n_rows // HUBS)).select("u", F.col("m").alias("hub")))
     rows = rows.join(hubs, "u", "left")
-    rest = rows.where("hub is null").join(least, "u").select("u", "v", "m")
+    rest = shuffled_join(rows.where("hub is null"), least, "u").select("u", "v", "m")
     return rest.unionByName(rows.where("hub is not null").select("u", "v", F.col("hub").alias("m")))
 
 
@@ -95,14 +104,14 @@ def with_hubs(rows: DataFrame, small: DataFrame, key: list[str], n_rows: int) ->
     more = [c for c in small.columns if c not in key and c != "n"]
     hubs = small.where(F.col("n") > max(HUB_ROWS, n_rows // HUBS)).select(*key, F.struct(*more).alias("_hub"))
     both = rows.join(F.broadcast(hubs), key, "left")
-    rest = both.where("_hub is null").drop("_hub").join(small.select(*key, *more), key)
+    rest = shuffled_join(both.where("_hub is null").drop("_hub"), small.select(*key, *more), key)
     return rest.unionByName(both.where("_hub is not null").select("*", "_hub.*").select(*rest.columns))
 
 
 def least_of_component(parts: DataFrame, names: DataFrame, n_rows: int) -> DataFrame:
     """(node, component) of components to (node, component): the least `least` of names (node, least) in each of them."""
     rows = parts.select(F.col("component").alias("u"), F.col("node").alias("v"))
-    least = parts.join(names, "node").groupBy(F.col("component").alias("u")).agg(F.min("least").alias("m"), F.count("*").alias("n"))
+    least = shuffled_join(parts, names, "node").groupBy(F.col("component").alias("u")).agg(F.min("least").alias("m"), F.count("*").alias("n"))
     return with_least(rows, least, n_rows).select(F.col("v").alias("node"), F.col("m").alias("component"))
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leakdrift.llm.common import connected_components, least_of_component, sized_semi_join, small_batches, table, with_hubs, written
+from leakdrift.llm.common import connected_components, least_of_component, shuffled_join, sized_semi_join, small_batches, table, with_hubs, written
 
 #: MinHash samples; BANDS * ROWS of them make the bands. At a similarity of 0.8 a pair shares no band with
 #: probability (1 - 0.8 ** 4) ** 28 = 4e-7.
@@ -308,11 +308,11 @@ def full_sets(reps: DataFrame, classes: DataFrame, docs: DataFrame, width: int)
             out = {"doc_id": batch["doc_id"], "s": [s.tobytes() for s in found], "n_shingles": [len(s) for s in found], "f1": signed[:, 0], "f2": signed[:, 1]}
             yield pd.DataFrame(out)
 
-    wanted = classes.join(reps, "rep", "left_semi").select("rep", F.col("least").alias("doc_id"), *KEY)
+    wanted = shuffled_join(classes, reps, "rep", "left_semi").select("rep", F.col("least").alias("doc_id"), *KEY)
     # No null id has a class. Of a function over batches no condition is moved before the join, as it is of a column's.
     found = sized_semi_join(docs.select("doc_id", "text"), wanted.select("doc_id").distinct(), "doc_id")
     found = found.mapInPandas(sets, "doc_id long, s binary, n_shingles long, f1 long, f2 long")
-    return found.join(wanted, ["doc_id", *KEY]).dropDuplicates(["rep"]).select("rep", "s")
+    return shuffled_join(found, wanted, ["doc_id", *KEY]).dropDuplicates(["rep"]).select("rep", "s")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -329,8 +329,8 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
 
     need = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     full = written(full_sets(need, classes, docs, width))
-    one = pairs.join(full.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
-    one = one.join(full.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
+    one = shuffled_join(pairs, full.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
+    one = shuffled_join(one, full.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     return written(one.where(alike("sa", "sb")).select("a", "b"))
 
 
@@ -356,52 +356,52 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = classes.select("rep", "bands", "sketch")
     slots = reps.select("rep", F.posexplode("bands").alias("band", "value"))
     full = slots.groupBy("band", "value").agg(F.count("*").alias("size")).where("size > 1")
-    slots = slots.join(full, ["band", "value"]).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
+    slots = shuffled_join(slots, full, ["band", "value"]).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
     slots = written(slots.withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int")).drop("size"))
-    members = written(reps.join(slots.select("rep").distinct(), "rep", "left_semi"))
+    members = written(shuffled_join(reps, slots.select("rep").distinct(), "rep", "left_semi"))
 
     def labelled(links: DataFrame | None) -> DataFrame:
         if links is None:
             return slots.withColumn("comp", F.col("rep"))
         parts = connected_components(links).withColumnRenamed("node", "rep")
-        return slots.join(parts, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        return shuffled_join(slots, parts, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
 
     def open_buckets(rows: DataFrame) -> DataFrame:
         """The rows of buckets that hold more than one component."""
         mixed = rows.groupBy("band", "value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band", "value")
-        return rows.join(mixed, ["band", "value"], "left_semi")
+        return shuffled_join(rows, mixed, ["band", "value"], "left_semi")
 
     # Forests within chunks.
     bucket = ["band", "value", "chunk"]
-    pairs = in_frames(labelled(None).join(members, "rep"), bucket, forests, FRAME)
+    pairs = in_frames(shuffled_join(labelled(None), members, "rep"), bucket, forests, FRAME)
     links = confirmed(written(pairs.distinct()), classes, docs, width, percent)
     # Forests over some documents of each component, for buckets of more than one chunk.
     rows = open_buckets(labelled(links).where("chunks > 1"))
     turn = F.row_number().over(Window.partitionBy("band", "value", "chunk", "comp").orderBy(F.xxhash64("rep")))
     rows = rows.withColumn("turn", turn).where(F.col("turn") <= 8)
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("comp", "turn"), F.ceil(F.col("chunks") / 8).cast("int")))
-    pairs = in_frames(rows.join(members, "rep"), bucket, forests, FRAME)
+    pairs = in_frames(shuffled_join(rows, members, "rep"), bucket, forests, FRAME)
     links = written(links.unionByName(confirmed(written(pairs.distinct()), classes, docs, width, percent)))
     # Everything that still lies in different components: what isn't in a bucket's largest one meets all others.
     rows = written(open_buckets(labelled(links)))
     full = full_sets(rows.select("rep").distinct(), classes, docs, width)
-    members = written(members.join(full, "rep"))
-    whole = in_frames(rows.where("chunks = 1").join(members, "rep"), bucket, joining(percent), FULL_FRAME)
+    members = written(shuffled_join(members, full, "rep"))
+    whole = in_frames(shuffled_join(rows.where("chunks = 1"), members, "rep"), bucket, joining(percent), FULL_FRAME)
     rows = rows.where("chunks > 1")
     sizes = rows.groupBy("band", "value", "comp").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("band", "value").agg(F.max_by("comp", F.struct("n", "comp")).alias("big"))
-    rows = rows.join(largest, ["band", "value"]).withColumn("minor", F.col("comp") != F.col("big"))
+    rows = shuffled_join(rows, largest, ["band", "value"]).withColumn("minor", F.col("comp") != F.col("big"))
     minors = rows.where("minor").groupBy("band", "value").agg(F.collect_set("chunk").alias("ours"))
-    right = rows.join(minors, ["band", "value"]).withColumn("ours", F.explode("ours"))
+    right = shuffled_join(rows, minors, ["band", "value"]).withColumn("ours", F.explode("ours"))
     right = right.select("band", "value", "ours", F.col("chunk").alias("theirs"), "rep", "comp", "minor", F.lit(False).alias("left"), F.lit(True).alias("right"))
     left = rows.where("minor").withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     left = left.select("band", "value", F.col("chunk").alias("ours"), "theirs", "rep", "comp", "minor", F.lit(True).alias("left"), F.lit(False).alias("right"))
-    pairs = in_frames(left.unionByName(right).join(members, "rep"), ["band", "value", "ours", "theirs"], crossing(percent), FULL_FRAME)
+    pairs = in_frames(shuffled_join(left.unionByName(right), members, "rep"), ["band", "value", "ours", "theirs"], crossing(percent), FULL_FRAME)
     links = links.unionByName(written(whole.unionByName(pairs)))
     n_rows = real.count()
     names = classes.select(F.col("rep").alias("node"), "least")
     parts = least_of_component(written(connected_components(links)), names, n_rows).withColumnRenamed("node", "rep")
-    named = written(classes.join(parts, "rep", "left").select(*KEY, "n", F.coalesce("component", "least").alias("component_id")))
+    named = written(shuffled_join(classes, parts, "rep", "left").select(*KEY, "n", F.coalesce("component", "least").alias("component_id")))
     out = with_hubs(real.select("doc_id", *KEY), named, KEY, n_rows).select("doc_id", "n_shingles", "component_id")
     alone = found.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
