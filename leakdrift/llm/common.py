@@ -115,12 +115,18 @@ def least_of_component(parts: DataFrame, names: DataFrame, n_rows: int) -> DataF
     return with_least(rows, least, n_rows).select(F.col("v").alias("node"), F.col("m").alias("component"))
 
 
+def with_links(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b): links that join the components (node, component) as they are, and more links; fewer rounds than from the start."""
+    return parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links.select("a", "b"))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) links of any ordered type to (node, component): the smallest node that each reaches.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014), each a grouped minimum and a join, until
     nothing changes; needs O(log^2 n) rounds, and more than max_rounds are an error. Self-links and nulls are
-    ignored. A hub with very many links is pre-aggregated in the minimum, and its rows stay where they are.
+    ignored. A hub with very many links is pre-aggregated in the minimum, and its rows stay where they are. In what has
+    settled no row repeats.
     """
     edges = written(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
@@ -136,7 +142,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = with_least(large, least, count)
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        # Rows may repeat, but there are never more than before: each u has one of v = m at least, which become one.
+        edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))))
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(new) == state:
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakdrift.llm.common import BROADCAST_IDS, connected_components, let, table, with_hubs, written
+from leakdrift.llm.common import BROADCAST_IDS, connected_components, let, shuffled_join, table, with_hubs, with_links, written
 
 #: Characters of a shingle; a shorter line is one shingle.
 WIDTH = 8
@@ -155,14 +155,14 @@ def bucketed(sigs: DataFrame) -> DataFrame:
 
 def with_digests(slots: DataFrame, sigs: DataFrame) -> DataFrame:
     """Adds the digest of each slot's line."""
-    return slots.join(sigs.select("id", *digests()), "id")
+    return shuffled_join(slots, sigs.select("id", *digests()), "id")
 
 
 def with_hub(slots: DataFrame, columns: list[str], alike: Column) -> DataFrame:
     """(a, b): lines with the least line of their bucket. A bucket of n lines makes n pairs."""
     pairs = slots.where("id <> hub").select("id", "hub", *columns).distinct().alias("l")
     hubs = slots.where("id = hub").select("hub", *columns).distinct().alias("r")
-    both = pairs.join(hubs, (F.col("l.hub") == F.col("r.hub")) & alike)
+    both = shuffled_join(pairs, hubs, (F.col("l.hub") == F.col("r.hub")) & alike)
     return both.select(F.col("l.hub").alias("a"), F.col("l.id").alias("b"))
 
 
@@ -185,7 +185,7 @@ def against_all(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = written(rows.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int")))
     minors = rows.where("minor").groupBy("key").agg(F.collect_set("chunk").alias("ours"))
     left = rows.where("minor").withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    right = rows.withColumnRenamed("chunk", "theirs").join(minors, "key").withColumn("ours", F.explode("ours"))
+    right = shuffled_join(rows.withColumnRenamed("chunk", "theirs"), minors, "key").withColumn("ours", F.explode("ours"))
     return left.withColumnRenamed("chunk", "ours"), right
 
 
@@ -196,29 +196,29 @@ def same_chunks() -> Column:
 def near_others(slots: DataFrame, stars: DataFrame) -> DataFrame:
     """(id): all lines that any candidate pair of a bucket has; stars are the pairs with the least lines."""
     met = written(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    rows = slots.where("n > 2").join(met.withColumn("met", F.lit(True)), "id", "left")
+    rows = shuffled_join(slots.where("n > 2"), met.withColumn("met", F.lit(True)), "id", "left")
     rows = rows.select("id", "key", "n", *DIGEST, F.col("met").isNull().alias("minor"))
     left, right = against_all(rows)
     alike = (F.col("l.id") != F.col("r.id")) & digests_agree("l", "r")
-    return met.unionByName(left.alias("l").join(right.alias("r"), same_chunks() & alike, "left_semi").select("id").distinct())
+    return met.unionByName(shuffled_join(left.alias("l"), right.alias("r"), same_chunks() & alike, "left_semi").select("id").distinct())
 
 
-def crossing(slots: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): all candidate pairs of a bucket's lines that the links leave in different components.
+def crossing(slots: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all candidate pairs of a bucket's lines that are in different components (node, component).
 
     What isn't in a bucket's largest component meets all lines of other components, but for the least line, which has
     met all. The condition is held against sketches before a pair is made. A pair of several buckets comes once.
     """
-    parts = connected_components(links).withColumnRenamed("node", "id")
+    parts = parts.withColumnRenamed("node", "id")
     rows = slots.where("n > 2 and id <> hub").drop("hub")
-    rows = written(rows.join(parts, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"))
+    rows = written(shuffled_join(rows, parts, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"))
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("big"), F.count("*").alias("m"))
-    rows = rows.join(largest.where("m > 1").select("key", "big"), "key").withColumn("minor", F.col("comp") != F.col("big"))
+    rows = shuffled_join(rows, largest.where("m > 1").select("key", "big"), "key").withColumn("minor", F.col("comp") != F.col("big"))
     left, right = against_all(rows.drop("big"))
     apart = (F.col("l.comp") != F.col("r.comp")) & (~F.col("r.minor") | (F.col("l.id") < F.col("r.id")))
     alike = sketches_allow("l", "r", threshold)
-    both = left.alias("l").join(right.alias("r"), same_chunks() & apart & alike)
+    both = shuffled_join(left.alias("l"), right.alias("r"), same_chunks() & apart & alike)
     a, b = F.col("l.id"), F.col("r.id")
     return both.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
@@ -229,10 +229,11 @@ def texts_of(ids: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
     Where rows share a doc_id, the line that has the hash is taken.
     """
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    need = firsts.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+    need = firsts.join(F.broadcast(ids), "id", "left_semi") if small else shuffled_join(firsts, ids, "id", "left_semi")
     need = need.groupBy(F.col("at.doc_id").alias("_id")).agg(F.collect_list(F.struct("id", "at.pos", "h1", "h2")).alias("need"))
-    few = need.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
-    rows = docs.select("doc_id", "text").join(F.broadcast(need) if few else need, F.col("doc_id").eqNullSafe(F.col("_id")))
+    few = small and need.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
+    texts, same = docs.select("doc_id", "text"), F.col("doc_id").eqNullSafe(F.col("_id"))
+    rows = texts.join(F.broadcast(need), same) if few else shuffled_join(texts, need, same)
     rows = rows.select("need", F.split("text", "\n").alias("ls"))
     rows = rows.select(F.inline(F.transform("need", lambda x: F.struct(x["id"].alias("id"), x["h1"].alias("h1"), x["h2"].alias("h2"), F.get("ls", x["pos"]).alias("line")))))
     rows = rows.where((F.col("h1") == hash_1(F.col("line"))) & (F.col("h2") == hash_2(F.col("line"))))
@@ -241,8 +242,8 @@ def texts_of(ids: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose shingle sets have a Jaccard similarity of at least the threshold; texts has id, line and size."""
-    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("size").alias("n")), "a")
-    rows = rows.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("size").alias("m")), "b")
+    rows = shuffled_join(pairs, texts.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("size").alias("n")), "a")
+    rows = shuffled_join(rows, texts.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("size").alias("m")), "b")
     both = F.size(F.array_intersect(hashes(F.col("x")), hashes(F.col("y"))))
     # A generator keeps the optimiser from moving the condition before the count, which would be made several times.
     rows = rows.select("a", "b", "n", "m", F.explode(F.array(both)).alias("both"))
@@ -259,13 +260,12 @@ def line_links(firsts: DataFrame, sigs: DataFrame, docs: DataFrame, threshold: f
     slots = written(with_digests(bucketed(sigs), sigs))
     texts = texts_of(written(near_others(slots, candidates(slots))), firsts, docs)
     known = written(sketches(texts))
-    texts = written(texts.join(known.select("id", "size"), "id"))
-    slots = written(slots.drop(*DIGEST).join(known, "id"))
+    texts = written(shuffled_join(texts, known.select("id", "size"), "id"))
+    slots = written(shuffled_join(slots.drop(*DIGEST), known, "id"))
     links = confirmed(with_hub(slots, SKETCH, sketches_allow("l", "r", threshold)), texts, threshold)
-    pairs = written(crossing(slots, links, threshold))
-    if not pairs.isEmpty():
-        links = links.unionByName(confirmed(pairs, texts, threshold))
-    return connected_components(links)
+    parts = connected_components(links)
+    pairs = written(crossing(slots, parts, threshold))
+    return parts if pairs.isEmpty() else connected_components(with_links(parts, confirmed(pairs, texts, threshold)))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -289,12 +289,12 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     sigs = firsts.select("id", *[least(k) for k in range(BINS)])
     firsts = firsts.select("id", "h1", "h2", "at", "n")
     linked = written(line_links(firsts, sigs, docs, threshold))
-    linked = written(firsts.select("id", "at").join(linked.withColumnRenamed("node", "id"), "id"))
+    linked = written(shuffled_join(firsts.select("id", "at"), linked.withColumnRenamed("node", "id"), "id"))
     heads = linked.groupBy("component").agg(F.min("at").alias("head"), F.count("*").alias("n"))
     lost = with_hubs(linked, heads, ["component"], linked.count()).where("at <> head").select("id", F.lit(True).alias("gone"))
     # Every line with a word whose place isn't the first of its text, or whose text is lost, goes.
-    doubtful = firsts.select("id", "h1", "h2", "at", "n").join(written(lost), "id", "left").where("n > 1 or gone")
-    gone = places.join(doubtful.select("h1", "h2", "at", "gone"), ["h1", "h2"]).where(
+    doubtful = shuffled_join(firsts.select("id", "h1", "h2", "at", "n"), written(lost), "id", "left").where("n > 1 or gone")
+    gone = shuffled_join(places, doubtful.select("h1", "h2", "at", "gone"), ["h1", "h2"]).where(
         F.coalesce("gone", F.lit(False)) | ~F.struct("doc_id", "pos").eqNullSafe(F.col("at"))
     )
     gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("_gone"))

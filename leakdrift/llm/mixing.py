@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leakdrift.llm.common import table, written
+from leakdrift.llm.common import shuffled_join, table, written
 
 #: Each source's random order is dealt to this many equal ranges of the key.
 RANGES = 1024
@@ -103,7 +103,7 @@ def mix_documents(docs: DataFrame, **options: object) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text")))
     k, p = keyed.withColumn("_nth", nth).alias("k"), plan.alias("p")
     same = [F.col(f"k.{a}").eqNullSafe(F.col(f"p.{b}")) for a, b in (("doc_id", "doc_id"), ("source", "source"), ("_size", "size"))]
-    rows = k.join(p, same[0] & same[1] & same[2]).withColumn("_taken", F.element_at("p.takes", F.col("k._nth")))
+    rows = shuffled_join(k, p, same[0] & same[1] & same[2]).withColumn("_taken", F.element_at("p.takes", F.col("k._nth")))
     size = F.greatest(F.col("k._size"), F.lit(1).cast("long"))
     whole = F.when(F.col("k._size") > 0, F.floor(F.col("_taken") / size)).otherwise(
         F.floor(F.col("p.target") / F.greatest("p.source_size", F.lit(1).cast("long")))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leakdrift.llm.common import connected_components, least_of_component, shuffled_join, sized_semi_join, small_batches, table, with_hubs, written
+from leakdrift.llm.common import connected_components, least_of_component, shuffled_join, sized_semi_join, small_batches, table, with_hubs, with_links, written
 
 #: MinHash samples; BANDS * ROWS of them make the bands. At a similarity of 0.8 a pair shares no band with
 #: probability (1 - 0.8 ** 4) ** 28 = 4e-7.
@@ -360,11 +360,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     slots = written(slots.withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int")).drop("size"))
     members = written(shuffled_join(reps, slots.select("rep").distinct(), "rep", "left_semi"))
 
-    def labelled(links: DataFrame | None) -> DataFrame:
-        if links is None:
+    def labelled(parts: DataFrame | None) -> DataFrame:
+        if parts is None:
             return slots.withColumn("comp", F.col("rep"))
-        parts = connected_components(links).withColumnRenamed("node", "rep")
-        return shuffled_join(slots, parts, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        return shuffled_join(slots, parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
 
     def open_buckets(rows: DataFrame) -> DataFrame:
         """The rows of buckets that hold more than one component."""
@@ -376,31 +375,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = in_frames(shuffled_join(labelled(None), members, "rep"), bucket, forests, FRAME)
     links = confirmed(written(pairs.distinct()), classes, docs, width, percent)
     # Forests over some documents of each component, for buckets of more than one chunk.
-    rows = open_buckets(labelled(links).where("chunks > 1"))
-    turn = F.row_number().over(Window.partitionBy("band", "value", "chunk", "comp").orderBy(F.xxhash64("rep")))
-    rows = rows.withColumn("turn", turn).where(F.col("turn") <= 8)
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("comp", "turn"), F.ceil(F.col("chunks") / 8).cast("int")))
-    pairs = in_frames(shuffled_join(rows, members, "rep"), bucket, forests, FRAME)
-    links = written(links.unionByName(confirmed(written(pairs.distinct()), classes, docs, width, percent)))
+    parts, large = connected_components(links), not slots.where("chunks > 1").isEmpty()
+    if large:
+        rows = open_buckets(labelled(parts).where("chunks > 1"))
+        turn = F.row_number().over(Window.partitionBy("band", "value", "chunk", "comp").orderBy(F.xxhash64("rep")))
+        rows = rows.withColumn("turn", turn).where(F.col("turn") <= 8)
+        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("comp", "turn"), F.ceil(F.col("chunks") / 8).cast("int")))
+        pairs = in_frames(shuffled_join(rows, members, "rep"), bucket, forests, FRAME)
+        parts = connected_components(with_links(parts, confirmed(written(pairs.distinct()), classes, docs, width, percent)))
     # Everything that still lies in different components: what isn't in a bucket's largest one meets all others.
-    rows = written(open_buckets(labelled(links)))
+    rows = written(open_buckets(labelled(parts)))
     full = full_sets(rows.select("rep").distinct(), classes, docs, width)
     members = written(shuffled_join(members, full, "rep"))
     whole = in_frames(shuffled_join(rows.where("chunks = 1"), members, "rep"), bucket, joining(percent), FULL_FRAME)
-    rows = rows.where("chunks > 1")
-    sizes = rows.groupBy("band", "value", "comp").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("band", "value").agg(F.max_by("comp", F.struct("n", "comp")).alias("big"))
-    rows = shuffled_join(rows, largest, ["band", "value"]).withColumn("minor", F.col("comp") != F.col("big"))
-    minors = rows.where("minor").groupBy("band", "value").agg(F.collect_set("chunk").alias("ours"))
-    right = shuffled_join(rows, minors, ["band", "value"]).withColumn("ours", F.explode("ours"))
-    right = right.select("band", "value", "ours", F.col("chunk").alias("theirs"), "rep", "comp", "minor", F.lit(False).alias("left"), F.lit(True).alias("right"))
-    left = rows.where("minor").withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    left = left.select("band", "value", F.col("chunk").alias("ours"), "theirs", "rep", "comp", "minor", F.lit(True).alias("left"), F.lit(False).alias("right"))
-    pairs = in_frames(shuffled_join(left.unionByName(right), members, "rep"), ["band", "value", "ours", "theirs"], crossing(percent), FULL_FRAME)
-    links = links.unionByName(written(whole.unionByName(pairs)))
+    if large:
+        rows = rows.where("chunks > 1")
+        sizes = rows.groupBy("band", "value", "comp").agg(F.count("*").alias("n"))
+        largest = sizes.groupBy("band", "value").agg(F.max_by("comp", F.struct("n", "comp")).alias("big"))
+        rows = shuffled_join(rows, largest, ["band", "value"]).withColumn("minor", F.col("comp") != F.col("big"))
+        minors = rows.where("minor").groupBy("band", "value").agg(F.collect_set("chunk").alias("ours"))
+        right = shuffled_join(rows, minors, ["band", "value"]).withColumn("ours", F.explode("ours"))
+        right = right.select("band", "value", "ours", F.col("chunk").alias("theirs"), "rep", "comp", "minor", F.lit(False).alias("left"), F.lit(True).alias("right"))
+        left = rows.where("minor").withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        left = left.select("band", "value", F.col("chunk").alias("ours"), "theirs", "rep", "comp", "minor", F.lit(True).alias("left"), F.lit(False).alias("right"))
+        pairs = in_frames(shuffled_join(left.unionByName(right), members, "rep"), ["band", "value", "ours", "theirs"], crossing(percent), FULL_FRAME)
+        whole = whole.unionByName(pairs)
+    links = written(whole)
+    if not links.isEmpty():
+        parts = connected_components(with_links(parts, links))
     n_rows = real.count()
     names = classes.select(F.col("rep").alias("node"), "least")
-    parts = least_of_component(written(connected_components(links)), names, n_rows).withColumnRenamed("node", "rep")
+    parts = least_of_component(written(parts), names, n_rows).withColumnRenamed("node", "rep")
     named = written(shuffled_join(classes, parts, "rep", "left").select(*KEY, "n", F.coalesce("component", "least").alias("component_id")))
     out = with_hubs(real.select("doc_id", *KEY), named, KEY, n_rows).select("doc_id", "n_shingles", "component_id")
     alone = found.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakdrift.llm.common import small_batches, table, written
+from leakdrift.llm.common import shuffled_join, small_batches, table, written
 
 END_ID = 1
 #: Pieces that one task packs at most, about; more pieces make more groups.
@@ -277,11 +277,11 @@ def pack(found: DataFrame, capacity: int = 4096, group: int = GROUP, full: float
         return first
     fills = first.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
     under = fills.where(F.col("fill") < int(capacity * full)).select("sequence_id")
-    again = written(first.join(under, "sequence_id", "left_semi"))
+    again = written(shuffled_join(first, under, "sequence_id", "left_semi"))
     groups = max(1, -(-again.count() // group))
     again = again.withColumn("g", F.pmod(F.xxhash64(F.lit(1), "doc_id", "piece", "ids_crc32"), F.lit(groups)))
     again = again.groupBy("g").applyInArrow(packer(1), PACKED)
-    return first.join(under, "sequence_id", "left_anti").select(*again.columns).unionByName(again)
+    return shuffled_join(first, under, "sequence_id", "left_anti").select(*again.columns).unionByName(again)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakdrift.llm.common import small_batches, table
+from leakdrift.llm.common import shuffled_join, small_batches, table
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Features are hashed to so many places.
@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     marks = labels.where("doc_id is not null").select("doc_id", *[c.cast("double").alias(k) for k, c in categories.items()])
     marks = marks.groupBy("doc_id").agg(*[F.max(k).alias(k) for k in categories])
     # Only ids that have a document, so that no others use up the sample.
-    marks = marks.join(docs.select("doc_id"), "doc_id", "left_semi")
+    marks = shuffled_join(marks, docs.select("doc_id"), "doc_id", "left_semi")
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     @F.pandas_udf("binary")

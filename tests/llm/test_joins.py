@@ -4,12 +4,12 @@ import re
 
 import pytest
 
-from leakdrift.llm import common, neardup
+from leakdrift.llm import common, lines, neardup
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("module, query", [(neardup, neardup.op6_minhash_near_dedup)])
+@pytest.mark.parametrize("module, query", [(neardup, neardup.op6_minhash_near_dedup), (lines, lines.op10_line_dedup)])
 def test_every_join_says_how_it_is_made(spark, monkeypatch, module, query):
     plans, real = [], common.written
 
