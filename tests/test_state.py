@@ -159,6 +159,28 @@ def test_grants_are_made_in_their_keys_rows(spark):
     assert (plan.count("Join"), plan.count("BroadcastHashJoin"), plan.count("REPARTITION_BY_NUM")) == (3, 3, 1), plan
 
 
+def test_grants_of_all_keys_of_a_team_take_their_steps_once(spark, tmp_path):
+    parts = [(k, None if k % 7 == 0 else k % 30) for k in range(1, 120)]
+    suppliers = [(m, m % 20, -1.0 if m in (3, 21, 45) else 1.0) for m in range(1, 60)] + [(60, 0, -1.0)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    want = {}
+    for key, p_size in parts:
+        team = None if p_size is None else p_size % 25
+        archived = dt.datetime(2024, 1, 1) + dt.timedelta(days=key % 200 + 90) <= dt.datetime(2024, 6, 1)
+        own = [(m, b >= 0) for m, t, b in suppliers if t == team]
+        held = {m for m, active in own if active} | ({-1 - team} if own and not archived else set())
+        left = held - {min((m for m, _ in own), default=None)}
+        digest = lambda m: hashlib.sha256(f"{key}:{m}".encode()).hexdigest()  # noqa: B023, E731
+        text = ",".join(f"{m}={digest(m)}" for m in sorted(left, key=lambda m: f"{m}="))
+        want[key] = (archived, len(held) - len(left), len(left), hashlib.md5(text.encode()).hexdigest())
+    rows = queries.k11_grants(spark, str(tmp_path))
+    assert {r.key_id: (r.archived, r.removed, r.n_grants, r.grants_md5) for r in rows.collect()} == want
+    # A grant is made in one place, and no map of a key's grants is copied or filtered.
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1 and plan.index("sha2(") < plan.index("Join"), plan
+
+
 def test_rotation(spark):
     k = lambda c: F.lit(c * 16)
     rows = spark.createDataFrame([(1, 1, "a"), (2, 2, "b"), (3, 3, "c"), (4, 1, None), (5, None, "e")], "i int, key_id int, t string").withColumn("content", F.aes_encrypt("t", k("o"), F.lit("GCM")))
