@@ -90,7 +90,11 @@ def with_least(rows: DataFrame, least: DataFrame, n_rows: int) -> DataFrame:
 
     The m of hubs are sent to every task, fewer than HUBS whatever the links are, so that no task has all of a hub's rows.
     """
-    hubs = F.broadcast(least.where(F.col("n") > max(HUB_ROWS, n_rows // HUBS)).select("u", F.col("m").alias("hub")))
+    if n_rows <= HUB_ROWS:  # there can be no hub
+        return shuffled_join(rows, least, "u").select("u", "v", "m")
+    # No m is null; that it is said here makes both of the plan's joins with hubs one broadcast.
+    hubs = least.where(F.col("m").isNotNull() & (F.col("n") > max(HUB_ROWS, n_rows // HUBS)))
+    hubs = F.broadcast(hubs.select("u", F.col("m").alias("hub")))
     rows = rows.join(hubs, "u", "left")
     rest = shuffled_join(rows.where("hub is null"), least, "u").select("u", "v", "m")
     return rest.unionByName(rows.where("hub is not null").select("u", "v", F.col("hub").alias("m")))

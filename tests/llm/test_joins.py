@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from leakdrift.llm import common, lines, neardup
 
@@ -32,3 +33,15 @@ def test_slots_of_all_bands_are_not_broadcast(spark):
     sizes = slots.groupBy("value").count()
     plan = common.shuffled_join(slots, sizes, "value")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_hubs_are_broadcast_once_and_only_where_there_can_be_any(spark, tmp_path):
+    spark.range(5000).selectExpr("id % 3 as u", "id + 3 as v").write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    many = common.with_least(rows, least, 5000)
+    assert {(r.u, r.v, r.m) for r in many.collect()} == {(k % 3, k + 3, k % 3 + 3) for k in range(5000)}
+    plan = many._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert plan.count("BroadcastExchange") == 1, plan
+    few = common.with_least(rows.where("v < 200"), least, 197)
+    assert few.count() == 197 and "roadcast" not in few._jdf.queryExecution().optimizedPlan().toString()
